@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from hourline.llm import bpe
 from hourline.llm.common import table
+from hourline.llm.simhash import op3_simhash
 from hourline.llm.mixing import OP8_SQL, op8_mixing
 
 
@@ -14,5 +15,5 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op3_simhash": op3_simhash, "op8_mixing": op8_mixing, "op10_byte_bpe": op10_byte_bpe}
 SQL = {"op8_mixing": OP8_SQL}
