@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 
 from hourline.llm import bpe
 from hourline.llm.common import table
+from hourline.llm.language import op6_language_id
+from hourline.llm.quality import OP4_SQL, op4_quality_rules
+from hourline.llm.urls import op9_url_filters
 from hourline.llm.simhash import op3_simhash
 from hourline.llm.mixing import OP8_SQL, op8_mixing
 
@@ -15,5 +18,12 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op8_mixing": op8_mixing, "op10_byte_bpe": op10_byte_bpe}
-SQL = {"op8_mixing": OP8_SQL}
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_language_id": op6_language_id,
+    "op8_mixing": op8_mixing,
+    "op9_url_filters": op9_url_filters,
+    "op10_byte_bpe": op10_byte_bpe,
+}
+SQL = {"op4_quality_rules": OP4_SQL, "op8_mixing": OP8_SQL}
