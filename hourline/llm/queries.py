@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 
 from hourline.llm import bpe
 from hourline.llm.common import table
+from hourline.llm.licenses import op1_license_scans
+from hourline.llm.neighbours import op5_neighbours
+from hourline.llm.warc import OP7_SQL, op7_warc
 from hourline.llm.language import op6_language_id
 from hourline.llm.quality import OP4_SQL, op4_quality_rules
 from hourline.llm.urls import op9_url_filters
@@ -19,11 +22,14 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scans": op1_license_scans,
     "op3_simhash": op3_simhash,
     "op4_quality_rules": op4_quality_rules,
+    "op5_neighbours": op5_neighbours,
     "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_url_filters": op9_url_filters,
     "op10_byte_bpe": op10_byte_bpe,
 }
-SQL = {"op4_quality_rules": OP4_SQL, "op8_mixing": OP8_SQL}
+SQL = {"op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL, "op8_mixing": OP8_SQL}
