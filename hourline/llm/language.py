@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourline.llm.common import table
@@ -116,22 +116,27 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) ->
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), list(got["lang"])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits and DIM x bits numbers
+def predictor(spark: SparkSession, model: Model):
+    """A function from a text column to a struct of lang_pred, score and ambiguous."""
+    held = spark.sparkContext.broadcast(model)  # languages x bits and DIM x bits numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    def said(texts: pd.Series) -> pd.DataFrame:
         m = held.value
-        for b in batches:
-            ok = np.array([bool(m.languages) and t is not None and _LETTER.search(t) is not None for t in b["t"]], dtype=bool)
-            pred, score = np.full(len(b), "und", dtype=object), np.zeros(len(b))
-            if ok.any():
-                best, score[ok] = m.predict(np.stack([features(t, m.weight.shape[0]) for t in b["t"][ok]]))
-                pred[ok] = np.array(m.languages, dtype=object)[best]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": pred, "score": score, "ambiguous": score < AMBIGUOUS})
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+        ok = np.array([bool(m.languages) and t is not None and _LETTER.search(t) is not None for t in texts], dtype=bool)
+        pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+        if ok.any():
+            best, score[ok] = m.predict(np.stack([features(t, m.weight.shape[0]) for t in texts[ok]]))
+            pred[ok] = np.array(m.languages, dtype=object)[best]
+        return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": score < AMBIGUOUS})
+
+    return said
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score and ambiguous of every row."""
+    said = predictor(docs.sparkSession, model)(F.col(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), said.alias("said")).select("doc_id", "said.*")
 
 
 def held_out(doc_id: Column) -> Column:

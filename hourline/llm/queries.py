@@ -12,6 +12,7 @@ from hourline.llm.neighbours import op5_neighbours
 from hourline.llm.warc import OP7_SQL, op7_warc
 from hourline.llm.language import op6_language_id
 from hourline.llm.quality import OP4_SQL, op4_quality_rules
+from hourline.llm.suffix import op2_suffix_dedup
 from hourline.llm.urls import op9_url_filters
 from hourline.llm.simhash import op3_simhash
 from hourline.llm.mixing import OP8_SQL, op8_mixing
@@ -23,6 +24,7 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scans": op1_license_scans,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_neighbours": op5_neighbours,
