@@ -13,8 +13,9 @@ the order of suffixes up to ``length`` bytes matters, so the sort stops there.
    which are sorted in turn. Equal neighbours are repeats of at least ``length`` bytes.
 3. Remaining suffixes. Windows that start between sampled suffixes are merged in only where the sample leaves doubt: they
    lie around a repeated anchor, are not covered by repeats yet, and have a named triple in every three phrases. For each
-   of their anchors all windows of all texts with the same anchor and offset are compared as whole 200-byte prefixes, by
-   two independent 64-bit fingerprints.
+   of their anchors the bytes that such windows span are compared as a whole in all texts; where they differ, windows
+   are compared as prefixes of ``length`` bytes, each distinct context giving its windows once. Both comparisons, and
+   that of the strings of names, are of two independent 64-bit fingerprints.
 
 All steps are joins and aggregates over hashes and positions; groups of any size are spread. Texts are handled in blocks
 of ``BLOCK`` bytes. A null text has no bytes; repeated rows are texts of their own, so both copies of a row repeat.
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.common import table, written
+from hourline.llm.common import forget, table, written
 
 LENGTH, ANCHOR, BLOCK = 200, 100, 1 << 20
 #: One in so many places starts a phrase.
@@ -127,15 +128,15 @@ def _frame(parts: list[tuple], names: str) -> pd.DataFrame:
 
 
 def _per_row(make, names: str):
-    """A map over (rid, t, facts) batches; make(rid, raw, facts) yields tuples of equally long arrays."""
+    """A map over batches of rid, t and arrays of facts; make(rid, raw, *facts) yields tuples of equally long arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for b in batches:
-                facts = b["facts"] if "facts" in b else [None] * len(b)
+                facts = [b[c] for c in b.columns if c not in ("rid", "t")]
                 parts, held = [], 0
-                for rid, t, f in zip(b["rid"], b["t"], facts):
-                    for part in make(rid, _bytes(t), f):
+                for rid, t, *f in zip(b["rid"], b["t"], *facts):
+                    for part in make(rid, _bytes(t), *f):
                         parts.append(part)
                         held += len(part[0])
                     if held > 500_000:
@@ -151,12 +152,8 @@ def _rid(rid: int, n: int) -> np.ndarray:
 
 
 def _facts(rows: DataFrame, *cols: str) -> DataFrame:
-    """rid and facts, an array of its rows' structs."""
-    return rows.groupBy("rid").agg(F.collect_list(F.struct(*cols)).alias("facts"))
-
-
-def _of(facts, *names: str) -> list[np.ndarray]:
-    return [np.array([f[n] for f in facts], dtype=np.int64) for n in names]
+    """rid and arrays of the columns of its rows, all in the same order."""
+    return rows.groupBy("rid").agg(*[F.collect_list(c).alias(c) for c in cols])
 
 
 def _regions(raw: np.ndarray, anchors: np.ndarray, length: int, anchor: int) -> list[tuple[int, int]]:
@@ -171,12 +168,12 @@ def _phrases(raw: np.ndarray) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, anchor: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """rows: docs' columns with their row number rid; and rid, facts (array of pos, len): repeated pieces of rows that have any."""
+    """rows: docs' columns with their row number rid; and rid, pos, len (arrays): the repeated pieces of rows that have any."""
     anchor = anchor or length // 2
     rows = written(docs.withColumn("rid", F.monotonically_increasing_id()))
     texts = rows.select("rid", F.col(text_col).alias("t"))
 
-    def anchors_of(rid, raw, _):
+    def anchors_of(rid, raw):
         for at, block in _blocks(raw, length):
             p = np.unique(elected(block, length, anchor))
             yield _rid(rid, len(p)), _long(Prints(block).of(p, p + anchor)), p + at
@@ -186,10 +183,10 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     anchors = written(long_.mapInPandas(_per_row(anchors_of, "rid h pos"), "rid long, h long, pos long"))
     twice = written(anchors.groupBy("h").count().where("count > 1").select("h"))
     cand = written(anchors.join(twice, "h").select("rid", "pos"))
+    forget(twice)
     near = texts.join(_facts(cand, "pos"), "rid")
 
-    def triples_of(rid, raw, facts):
-        (places,) = _of(facts, "pos")
+    def triples_of(rid, raw, places):
         for lo, hi in _regions(raw, places, length, anchor):
             block = raw[lo:hi]
             b = _phrases(block)
@@ -206,31 +203,40 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranks = written(found.repartitionByRange(parts, *three).sortWithinPartitions(*three).withColumn("name", F.monotonically_increasing_id()))
     named = written(triples.join(ranks, three).select("rid", "reg", "idx", "pos", "len", "name"))
+    forget(triples, ranks)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for rid, facts in zip(b["rid"], b["facts"]):
-                at = {(f["reg"], f["idx"]): (f["pos"], f["len"], f["name"]) for f in facts}
-                for (reg, i), (pos, _, _) in at.items():
-                    key, span, j = [], 0, i
-                    while span < length and (x := at.get((reg, j))) is not None:
-                        key.append(x[2])
-                        span, j = span + x[1], j + 3
-                    if span >= length:
-                        out.append((rid, pos, span, key))
-            yield pd.DataFrame(out, columns=["rid", "pos", "len", "key"])
-
-    keyed = written(_facts(named, "reg", "idx", "pos", "len", "name").mapInPandas(prefixes, "rid long, pos long, len long, key array<long>"))
-    equal = written(keyed.select("rid", "pos", "key").distinct().groupBy("key").count().where("count > 1").select("key"))
-    sure = written(keyed.join(equal, "key").select("rid", "pos", "len").distinct())
+            with np.errstate(over="ignore"):
+                for rid, place, pos, size, name in zip(b["rid"], b["place"], b["pos"], b["len"], b["name"]):
+                    order = np.argsort(place, kind="stable")
+                    place, pos, size, name = place[order], pos[order], size[order], _mix(name[order].astype(np.uint64))
+                    n = len(place)
+                    after = np.searchsorted(place, place + 3)
+                    after[after == n] = -1
+                    after[(after >= 0) & (place[after] != place + 3)] = -1
+                    at, span, one, two = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                    while len(go := np.flatnonzero((span < length) & (at >= 0))):
+                        k = at[go]
+                        one[go], two[go] = _mix(one[go] * _U(_BASES[0]) ^ name[k]), _mix(two[go] * _U(_BASES[1]) + name[k])
+                        span[go] += size[k]
+                        at[go] = after[k]
+                    ok = np.flatnonzero(span >= length)
+                    out.append((_rid(rid, len(ok)), pos[ok], span[ok], _long(one[ok]), _long(two[ok])))
+            yield _frame(out, "rid pos len one two")
+
+    placed = named.select("rid", (F.col("reg") * (1 << 24) + F.col("idx")).alias("place"), "pos", "len", "name")
+    keyed = written(_facts(placed, "place", "pos", "len", "name").mapInPandas(prefixes, "rid long, pos long, len long, one long, two long").distinct())
+    equal = written(keyed.groupBy("one", "two").agg(F.count_distinct("rid", "pos").alias("n")).where("n > 1").select("one", "two"))
+    sure = written(keyed.join(equal, ["one", "two"]).select("rid", "pos", "len"))
+    forget(keyed, equal)
 
     kinds = lambda df, kind, n: df.select("rid", F.lit(kind).alias("kind"), "pos", F.col(n).alias("len"))
     known = kinds(cand.withColumn("len", F.lit(0)), 0, "len").unionByName(kinds(named, 1, "len")).unionByName(kinds(sure, 2, "len"))
     known = texts.join(_facts(known, "kind", "pos", "len"), "rid")
 
-    def doubtful(rid, raw, facts):
-        kind, pos, size = _of(facts, "kind", "pos", "len")
+    def doubtful(rid, raw, kind, pos, size):
         n = len(raw) - length + 1
         places, names, sure = pos[kind == 0], pos[kind == 1], kind == 2
         open_ = _inside(n, places + anchor - length, places + 1)
@@ -257,40 +263,58 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
 
     doubts = known.mapInPandas(_per_row(doubtful, "h least most"), "h long, least long, most long")
     doubts = written(doubts.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most")))
-    asked = texts.join(_facts(anchors.join(doubts, "h"), "pos", "least", "most"), "rid")
-
-    def windows_of(rid, raw, facts):
-        pos, least, most = _of(facts, "pos", "least", "most")
-        order = np.unique(pos, return_index=True)[1]
-        pos, least, most = pos[order], least[order], most[order]
+    forget(cand, named)
+    asked = written(anchors.join(doubts, "h").select("rid", "pos", "least", "most"))
+    forget(anchors, doubts)
+
+    def contexts_of(rid, raw, pos, least, most):
+        start, end = np.maximum(pos - most, 0), np.minimum(pos - least + length, len(raw))
+        for at in range(0, len(raw), BLOCK):
+            block, k = raw[at : at + BLOCK + 2 * length], np.flatnonzero((start >= at) & (start < at + BLOCK))
+            if len(k):
+                s, e = start[k] - at, end[k] - at
+                yield _rid(rid, len(k)), pos[k], start[k], end[k], _long(Prints(block).of(s, e)), _long(Prints(block, _BASES[1]).of(s, e) ^ _mix((pos[k] - start[k]).astype(np.uint64)))
+
+    names = "rid pos start end c d"
+    contexts = texts.join(_facts(asked, "pos", "least", "most"), "rid").mapInPandas(_per_row(contexts_of, names), ", ".join(f"{c} long" for c in names.split()))
+    contexts = written(contexts.where(F.col("end") - F.col("start") >= length))
+    forget(asked)
+    # where all the bytes around an anchor are found twice, so are their windows, and one of the places speaks for all
+    groups = written(contexts.groupBy("c", "d").agg(F.count_distinct("rid", "pos").alias("n"), F.min(F.struct("rid", "pos", "start", "end")).alias("first")))
+    whole = contexts.join(groups.where("n > 1").select("c", "d"), ["c", "d"]).select("rid", F.col("start").alias("pos"), (F.col("end") - F.col("start")).alias("len"))
+    first = groups.select("first.*", F.when(F.col("n") > 1, 1).otherwise(0).cast("long").alias("done"))
+
+    def windows_of(rid, raw, start, end, done):
+        n = len(raw) - length + 1
+        want, known = _inside(n, start, end - length + 1), _inside(n, start[done == 1], end[done == 1] - length + 1)
         for at, block in _blocks(raw, length):
-            a = elected(block, length, anchor)
-            k = np.searchsorted(pos, a + at)
-            k[k == len(pos)] = 0
-            p = np.flatnonzero((pos[k] == a + at) & (a - np.arange(len(a)) >= least[k]) & (a - np.arange(len(a)) <= most[k]))
+            p = np.flatnonzero(want[at : at + BLOCK])
             if len(p):
-                yield _rid(rid, len(p)), p + at, _long(Prints(block).of(p, p + length)), _long(Prints(block, _BASES[1]).of(p, p + length))
-
-    windows = written(asked.mapInPandas(_per_row(windows_of, "rid pos h g"), "rid long, pos long, h long, g long"))
-    same = written(windows.groupBy("h", "g").count().where("count > 1").select("h", "g"))
-    more = windows.join(same, ["h", "g"]).select("rid", "pos", F.lit(length).cast("long").alias("len"))
+                yield _rid(rid, len(p)), p + at, known[p + at].astype(np.int64), _long(Prints(block).of(p, p + length)), _long(Prints(block, _BASES[1]).of(p, p + length))
+
+    names = "rid pos done h g"
+    windows = texts.join(_facts(first, "start", "end", "done"), "rid").mapInPandas(_per_row(windows_of, names), ", ".join(f"{c} long" for c in names.split()))
+    windows = written(windows)
+    same = written(windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("done").alias("done")).where("n > 1 and done = 0").select("h", "g"))
+    more = windows.where("done = 0").join(same, ["h", "g"]).select("rid", "pos", F.lit(length).cast("long").alias("len"))
+    more = written(whole.unionByName(more))
+    forget(contexts, groups, windows, same)
     return rows, _facts(sure.unionByName(more), "pos", "len")
 
 
 def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """docs' columns and n_bytes, n_removed, spans (array of start, end: removed bytes) and kept (binary, the remaining bytes) of every row."""
     rows, found = repeats(docs, text_col, length)
-    joined = rows.join(found, "rid", "left")
+    joined = rows.join(found.withColumnsRenamed({"pos": "_pos", "len": "_len"}), "rid", "left")
     spans = "array<struct<start:long,end:long>>"
 
-    def run(t: pd.Series, facts: pd.Series) -> pd.DataFrame:
+    def run(t: pd.Series, places: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         out = []
-        for x, f in zip(t, facts):
+        for x, pos, size in zip(t, places, sizes):
             raw = x.encode() if x is not None else b""
-            if f is None or not len(f):
+            if pos is None or not len(pos):
                 out.append((len(raw), 0, [], raw))
                 continue
-            pos, size = _of(f, "pos", "len")
             s, e = _spans(pos, pos + size)
             edges = [0, *np.stack([s, e], 1).ravel().tolist(), len(raw)]
             kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
@@ -298,7 +322,7 @@ def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> Dat
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept"])
 
     cut = F.pandas_udf(run, f"n_bytes long, n_removed long, spans {spans}, kept binary")
-    return joined.withColumn("cut", cut(F.col(text_col), "facts")).select(*docs.columns, "cut.*")
+    return joined.withColumn("cut", cut(F.col(text_col), "_pos", "_len")).select(*docs.columns, "cut.*")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
