@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from hourline.plans import forecasting, labels_and_shapes, pixels_and_spine, series  # noqa: F401  (they register their queries)
+from hourline.plans.registry import QUERIES, SQL  # noqa: F401
