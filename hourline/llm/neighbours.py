@@ -28,11 +28,13 @@ SAMPLE, ROWS_PER_PART, MOST_PARTS, RECALL = 6000, 2500, 256, 0.98
 CHUNK, QUERIES = 8192, 1024
 
 
-def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and v (array<double>) of the rows that take part."""
+def clean(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
+    """id and v (array<double>) of the rows that take part; of the most frequent length unless dim is given."""
     v = F.col(vec_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col(id_col).isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0))
+    if dim is not None:
+        return rows.where(F.size("v") == dim)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
@@ -160,7 +162,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 out.append(got)
             yield b.assign(parts=out)
 
-    asked = clean(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
+    one = rows.select(F.size("v").alias("n")).first()
+    asked = clean(queries, id_col, vec_col, one["n"] if one else 0).groupBy("id").agg(F.min("v").alias("v"))
     asked = written(asked.mapInPandas(route, "id long, v array<double>, parts array<int>").select("id", "v", F.explode("parts").alias("part")))
     load = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
     cuts = spark.createDataFrame([(p, -(-n // CHUNK), -(-load.get(p, 1) // QUERIES)) for p, n in size.items()] or [(0, 1, 1)], "part int, chunks int, lots int")
