@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each of the two generations of the memos (pieces, pairs); older ones are forgotten and made anew.
-MEMO = 500_000
+MEMO = 200_000
 #: Texts of more characters are cut into pieces a batch at a time.
 LONG, BATCH = 4_000_000, 200_000
 

@@ -139,7 +139,7 @@ def _per_row(make, names: str):
                     for part in make(rid, _bytes(t), *f):
                         parts.append(part)
                         held += len(part[0])
-                    if held > 500_000:
+                    if held > 100_000:
                         yield _frame(parts, names)
                         parts, held = [], 0
                 yield _frame(parts, names)
