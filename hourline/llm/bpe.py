@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each of the two generations of the memos (pieces, pairs); older ones are forgotten and made anew.
-MEMO = 200_000
+MEMO = 100_000
 #: Texts of more characters are cut into pieces a batch at a time.
-LONG, BATCH = 4_000_000, 200_000
+LONG, BATCH = 500_000, 100_000
 
 
 class Memo(dict):
@@ -68,7 +68,6 @@ class Codec:
         self.length = {v: len(k) for k, v in self.rank.items()}
         self.fits = Memo(lambda ab: self.compatible(ab >> 32, ab & 0xFFFFFFFF))
         self.shorter = Memo(self._shorter)
-        self.back = Memo(lambda ids: self.decode(ids.split(",")))
         self.csv = Memo(lambda piece: ",".join(map(str, self.piece(piece.encode().decode("latin-1")))))
 
     def merged(self, s: str) -> list[int]:
@@ -183,7 +182,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         for part in c.chunks(text):
             joined = ",".join(part)
             ids.update(f",{joined}".encode() if n else joined.encode())
-            back.update(b"".join(map(c.back.__getitem__, part)))
+            back.update(c.decode(joined.split(",")))
             n += joined.count(",") + 1
         return n, ids.hexdigest(), back.hexdigest()
 
