@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ends every SQL execution by dropping its shuffle files; written tables don't need them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Without it, collected lists are grouped by sorting: once for both steps and the join after, a group at a time.
+HASH_LISTS = "spark.sql.execution.useObjectHashAggregateExec"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +32,14 @@ def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
+    before = spark.conf.get(CLEANUP, "false"), spark.conf.get(HASH_LISTS, "true")
     try:
         spark.conf.set(CLEANUP, "true")
+        spark.conf.set(HASH_LISTS, "false")
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before[0])
+        spark.conf.set(HASH_LISTS, before[1])
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

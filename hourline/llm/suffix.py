@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 
 from hourline.llm.common import forget, table, written
 
-LENGTH, ANCHOR, BLOCK = 200, 100, 1 << 20
+LENGTH, ANCHOR, BLOCK = 200, 100, 1 << 18
 #: One in so many places starts a phrase.
 PHRASE = 16
+#: Joins with tables of distinct hashes, which lie evenly, build a partition of those and don't sort the other side.
+HASH = "shuffle_hash"
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -152,8 +154,8 @@ def _rid(rid: int, n: int) -> np.ndarray:
 
 
 def _facts(rows: DataFrame, *cols: str) -> DataFrame:
-    """rid and arrays of the columns of its rows, all in the same order."""
-    return rows.groupBy("rid").agg(*[F.collect_list(c).alias(c) for c in cols])
+    """rid and arrays of the columns of its rows, all in the same order; dealt out as rows, since few of a rid lie together."""
+    return rows.repartition("rid").groupBy("rid").agg(*[F.collect_list(c).alias(c) for c in cols])
 
 
 def _regions(raw: np.ndarray, anchors: np.ndarray, length: int, anchor: int) -> list[tuple[int, int]]:
@@ -182,7 +184,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     long_ = texts.where(F.octet_length("t") >= length)
     anchors = written(long_.mapInPandas(_per_row(anchors_of, "rid h pos"), "rid long, h long, pos long"))
     twice = written(anchors.groupBy("h").count().where("count > 1").select("h"))
-    cand = written(anchors.join(twice, "h").select("rid", "pos"))
+    cand = written(anchors.join(twice.hint(HASH), "h").select("rid", "pos"))
     forget(twice)
     near = texts.join(_facts(cand, "pos"), "rid")
 
@@ -202,7 +204,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     found = triples.groupBy(*three).count().where("count > 1").select(*three)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranks = written(found.repartitionByRange(parts, *three).sortWithinPartitions(*three).withColumn("name", F.monotonically_increasing_id()))
-    named = written(triples.join(ranks, three).select("rid", "reg", "idx", "pos", "len", "name"))
+    named = written(triples.join(ranks.hint(HASH), three).select("rid", "reg", "idx", "pos", "len", "name"))
     forget(triples, ranks)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +231,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     placed = named.select("rid", (F.col("reg") * (1 << 24) + F.col("idx")).alias("place"), "pos", "len", "name")
     keyed = written(_facts(placed, "place", "pos", "len", "name").mapInPandas(prefixes, "rid long, pos long, len long, one long, two long").distinct())
     equal = written(keyed.groupBy("one", "two").agg(F.count_distinct("rid", "pos").alias("n")).where("n > 1").select("one", "two"))
-    sure = written(keyed.join(equal, ["one", "two"]).select("rid", "pos", "len"))
+    sure = written(keyed.join(equal.hint(HASH), ["one", "two"]).select("rid", "pos", "len"))
     forget(keyed, equal)
 
     kinds = lambda df, kind, n: df.select("rid", F.lit(kind).alias("kind"), "pos", F.col(n).alias("len"))
@@ -264,7 +266,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     doubts = known.mapInPandas(_per_row(doubtful, "h least most"), "h long, least long, most long")
     doubts = written(doubts.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most")))
     forget(cand, named)
-    asked = written(anchors.join(doubts, "h").select("rid", "pos", "least", "most"))
+    asked = written(anchors.join(doubts.hint(HASH), "h").select("rid", "pos", "least", "most"))
     forget(anchors, doubts)
 
     def contexts_of(rid, raw, pos, least, most):
@@ -281,7 +283,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     forget(asked)
     # where all the bytes around an anchor are found twice, so are their windows, and one of the places speaks for all
     groups = written(contexts.groupBy("c", "d").agg(F.count_distinct("rid", "pos").alias("n"), F.min(F.struct("rid", "pos", "start", "end")).alias("first")))
-    whole = contexts.join(groups.where("n > 1").select("c", "d"), ["c", "d"]).select("rid", F.col("start").alias("pos"), (F.col("end") - F.col("start")).alias("len"))
+    whole = contexts.join(groups.where("n > 1").select("c", "d").hint(HASH), ["c", "d"]).select("rid", F.col("start").alias("pos"), (F.col("end") - F.col("start")).alias("len"))
     first = groups.select("first.*", F.when(F.col("n") > 1, 1).otherwise(0).cast("long").alias("done"))
 
     def windows_of(rid, raw, start, end, done):
@@ -296,10 +298,12 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     windows = texts.join(_facts(first, "start", "end", "done"), "rid").mapInPandas(_per_row(windows_of, names), ", ".join(f"{c} long" for c in names.split()))
     windows = written(windows)
     same = written(windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("done").alias("done")).where("n > 1 and done = 0").select("h", "g"))
-    more = windows.where("done = 0").join(same, ["h", "g"]).select("rid", "pos", F.lit(length).cast("long").alias("len"))
+    more = windows.where("done = 0").join(same.hint(HASH), ["h", "g"]).select("rid", "pos", F.lit(length).cast("long").alias("len"))
     more = written(whole.unionByName(more))
     forget(contexts, groups, windows, same)
-    return rows, _facts(sure.unionByName(more), "pos", "len")
+    found = written(_facts(sure.unionByName(more), "pos", "len"))
+    forget(sure, more)
+    return rows, found
 
 
 def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -311,18 +315,22 @@ def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> Dat
     def run(t: pd.Series, places: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         out = []
         for x, pos, size in zip(t, places, sizes):
-            raw = x.encode() if x is not None else b""
-            if pos is None or not len(pos):
-                out.append((len(raw), 0, [], raw))
+            if x is None:
+                out.append((0, [], None))
                 continue
+            raw = x.encode()
             s, e = _spans(pos, pos + size)
             edges = [0, *np.stack([s, e], 1).ravel().tolist(), len(raw)]
             kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
-            out.append((len(raw), len(raw) - len(kept), [{"start": a, "end": z} for a, z in zip(s.tolist(), e.tolist())], kept))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept"])
-
-    cut = F.pandas_udf(run, f"n_bytes long, n_removed long, spans {spans}, kept binary")
-    return joined.withColumn("cut", cut(F.col(text_col), "_pos", "_len")).select(*docs.columns, "cut.*")
+            out.append((len(raw) - len(kept), [{"start": a, "end": z} for a, z in zip(s.tolist(), e.tolist())], kept))
+        return pd.DataFrame(out, columns=["n_removed", "spans", "kept"])
+
+    # texts that nothing is cut from don't go to Python
+    cut = F.pandas_udf(run, f"n_removed long, spans {spans}, kept binary")
+    text = F.col(text_col)
+    joined = joined.withColumn("_cut", cut(F.when(F.col("_pos").isNotNull(), text), "_pos", "_len"))
+    kept = F.coalesce("_cut.kept", text.cast("binary"), F.lit(b""))
+    return joined.select(*docs.columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "_cut.n_removed", "_cut.spans", kept.alias("kept"))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
