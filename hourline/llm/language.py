@@ -27,6 +27,8 @@ from hourline.llm.common import table
 PER_LANGUAGE, DIM, BITS, AMBIGUOUS = 1500, 2048, 15, 0.5
 #: A chunk of a long text, of which the n-grams are counted at once.
 CHUNK = 1 << 20
+#: Texts whose features are held at once.
+SLICE = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -125,9 +127,10 @@ def predictor(spark: SparkSession, model: Model):
         m = held.value
         ok = np.array([bool(m.languages) and t is not None and _LETTER.search(t) is not None for t in texts], dtype=bool)
         pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-        if ok.any():
-            best, score[ok] = m.predict(np.stack([features(t, m.weight.shape[0]) for t in texts[ok]]))
-            pred[ok] = np.array(m.languages, dtype=object)[best]
+        places = np.flatnonzero(ok)
+        for k in (places[i : i + SLICE] for i in range(0, len(places), SLICE)):
+            best, score[k] = m.predict(np.stack([features(t, m.weight.shape[0]) for t in texts.iloc[k]]))
+            pred[k] = np.array(m.languages, dtype=object)[best]
         return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": score < AMBIGUOUS})
 
     return said
