@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourline.llm.common import short_batches
+
 #: Entries of each of the two generations of the memos (pieces, pairs); older ones are forgotten and made anew.
 MEMO = 100_000
 #: Texts of more characters are cut into pieces a batch at a time.
@@ -151,6 +153,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id and ids array<int>."""
+    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,6 +178,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each text, decodes the ids again and returns id, n_tokens, ids_sha256 and decoded_sha256."""
+    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def row(c: Codec, text: str) -> tuple[int, str, str]:

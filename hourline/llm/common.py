@@ -14,6 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Without it, collected lists are grouped by sorting: once for both steps and the join after, a group at a time.
 HASH_LISTS = "spark.sql.execution.useObjectHashAggregateExec"
+#: Rows that go to Python at once; texts are long, and a batch is held by Spark and by Python.
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keeps the session's batches for Python at or below this many rows, since texts may be long."""
+    now = int(spark.conf.get(ROWS))
+    if not 0 < now <= rows:
+        spark.conf.set(ROWS, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,19 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, bucket: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    With a bucket column, rows are dealt out by its hash once, and later joins on it don't shuffle them again.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     before = spark.conf.get(CLEANUP, "false"), spark.conf.get(HASH_LISTS, "true")
     try:
         spark.conf.set(CLEANUP, "true")
         spark.conf.set(HASH_LISTS, "false")
-        df.write.option("compression", "zstd").parquet(path)
+        if bucket is None:
+            df.write.option("compression", "zstd").parquet(path)
+        else:
+            name = f"scratch_{uuid.uuid4().hex}"
+            dealt = df.repartition(parts, bucket).write.option("compression", "zstd").option("path", path)
+            dealt.bucketBy(parts, bucket).format("parquet").saveAsTable(name)
     finally:
         spark.conf.set(CLEANUP, before[0])
         spark.conf.set(HASH_LISTS, before[1])
-    out = spark.read.schema(df.schema).parquet(path)
+    if bucket is None:
+        out = spark.read.schema(df.schema).parquet(path)
+    else:  # the files stay when the name goes
+        out = spark.table(name).select(*df.columns)
+        spark.sql(f"drop table {name}")
     out.scratch = path
     return out
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourline.llm.common import table
+from hourline.llm.common import short_batches, table
 
 PER_LANGUAGE, DIM, BITS, AMBIGUOUS = 1500, 2048, 15, 0.5
 #: A chunk of a long text, of which the n-grams are counted at once.
@@ -101,6 +101,7 @@ def train(x: np.ndarray, lang: list[str], bits: int = BITS, steps: int = 150, ri
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) -> tuple[np.ndarray, list[str]]:
     """Features and language of the bounded sample of docs (doc_id, text, lang)."""
+    short_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null")
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not n:
@@ -120,6 +121,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) ->
 
 def predictor(spark: SparkSession, model: Model):
     """A function from a text column to a struct of lang_pred, score and ambiguous."""
+    short_batches(spark)
     held = spark.sparkContext.broadcast(model)  # languages x bits and DIM x bits numbers
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")

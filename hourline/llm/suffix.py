@@ -24,7 +24,6 @@ Rows keep apart by a row number that is written down first. Columns other than t
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.common import forget, table, written
+from hourline.llm.common import forget, short_batches, table, written
 
 LENGTH, ANCHOR, BLOCK = 200, 100, 1 << 18
 #: One in so many places starts a phrase.
@@ -98,6 +97,16 @@ def _blocks(raw: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, raw[at : at + BLOCK + length - 1]
 
 
+def _around(raw: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks that hold the windows of these starts and little else, each with its place and the starts inside it."""
+    if len(starts):
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * length) + 1):
+            for at in range(int(run[0]), int(run[-1]) + 1, BLOCK):
+                p = run[np.searchsorted(run, at) : np.searchsorted(run, at + BLOCK)] - at
+                if len(p):
+                    yield at, raw[at : at + int(p[-1]) + length], p
+
+
 def _bytes(text) -> np.ndarray:
     return np.frombuffer(text.encode() if text is not None else b"", dtype=np.uint8)
 
@@ -153,6 +162,26 @@ def _rid(rid: int, n: int) -> np.ndarray:
     return np.full(n, rid, np.int64)
 
 
+def _whole_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by rid, cut where rid changes."""
+    held, n, most = [], 0, 50_000
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n < most:
+            continue
+        held = [pd.concat(held, ignore_index=True)]
+        rid = held[0]["rid"].to_numpy()
+        cut = int(np.searchsorted(rid, rid[-1]))
+        if cut:
+            yield held[0].iloc[:cut]
+            held[0] = held[0].iloc[cut:]
+        n = len(held[0])
+        most = max(50_000, 2 * n)
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _facts(rows: DataFrame, *cols: str) -> DataFrame:
     """rid and arrays of the columns of its rows, all in the same order; dealt out as rows, since few of a rid lie together."""
     return rows.repartition("rid").groupBy("rid").agg(*[F.collect_list(c).alias(c) for c in cols])
@@ -166,32 +195,35 @@ def _regions(raw: np.ndarray, anchors: np.ndarray, length: int, anchor: int) ->
 
 def _phrases(raw: np.ndarray) -> np.ndarray:
     """Where phrases start."""
-    return np.flatnonzero(_eights(raw) % _U(PHRASE) == 0)
+    return np.concatenate([np.flatnonzero(_eights(raw[i : i + BLOCK + 7]) % _U(PHRASE) == 0) + i for i in range(0, max(len(raw), 1), BLOCK)])
 
 
 def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, anchor: int | None = None) -> tuple[DataFrame, DataFrame]:
     """rows: docs' columns with their row number rid; and rid, pos, len (arrays): the repeated pieces of rows that have any."""
     anchor = anchor or length // 2
-    rows = written(docs.withColumn("rid", F.monotonically_increasing_id()))
+    short_batches(docs.sparkSession)
+    rows = written(docs.withColumn("rid", F.monotonically_increasing_id()), bucket="rid")
     texts = rows.select("rid", F.col(text_col).alias("t"))
 
     def anchors_of(rid, raw):
+        last = -1  # blocks share the last bytes of windows, so two of them can elect one place
         for at, block in _blocks(raw, length):
-            p = np.unique(elected(block, length, anchor))
+            p = elected(block, length, anchor)  # never falls from window to window
+            p = p[np.r_[True, p[1:] != p[:-1]] & (p + at > last)]
+            last = max(last, at + int(p.max(initial=0)))
             yield _rid(rid, len(p)), _long(Prints(block).of(p, p + anchor)), p + at
 
-    # blocks share the last bytes of windows, so two of them can elect one place
     long_ = texts.where(F.octet_length("t") >= length)
     anchors = written(long_.mapInPandas(_per_row(anchors_of, "rid h pos"), "rid long, h long, pos long"))
-    twice = written(anchors.groupBy("h").count().where("count > 1").select("h"))
+    twice = anchors.groupBy("h").count().where("count > 1").select("h")
     cand = written(anchors.join(twice.hint(HASH), "h").select("rid", "pos"))
-    forget(twice)
-    near = texts.join(_facts(cand, "pos"), "rid")
+    near = texts.join(_facts(cand, "pos").hint(HASH), "rid")
 
     def triples_of(rid, raw, places):
+        phrases = _phrases(raw)
         for lo, hi in _regions(raw, places, length, anchor):
             block = raw[lo:hi]
-            b = _phrases(block)
+            b = phrases[np.searchsorted(phrases, lo) : np.searchsorted(phrases, hi - 7)] - lo
             n = len(b) - 3
             if n > 1:
                 one = Prints(block).of(b[:-1], b[1:])
@@ -208,35 +240,35 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
     forget(triples, ranks)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
+        for b in _whole_rows(batches):
+            rid, place, pos, size = (b[c].to_numpy() for c in ("rid", "place", "pos", "len"))
+            n, after = len(rid), np.full(len(rid), -1)
+            for k in (1, 2):  # between a place and the third after it lies one sampled place at most
+                i = np.flatnonzero((rid[k:] == rid[:-k]) & (place[k:] == place[:-k] + 3))
+                after[i] = i + k
+            at, span, one, two = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             with np.errstate(over="ignore"):
-                for rid, place, pos, size, name in zip(b["rid"], b["place"], b["pos"], b["len"], b["name"]):
-                    order = np.argsort(place, kind="stable")
-                    place, pos, size, name = place[order], pos[order], size[order], _mix(name[order].astype(np.uint64))
-                    n = len(place)
-                    after = np.searchsorted(place, place + 3)
-                    after[after == n] = -1
-                    after[(after >= 0) & (place[after] != place + 3)] = -1
-                    at, span, one, two = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                    while len(go := np.flatnonzero((span < length) & (at >= 0))):
-                        k = at[go]
-                        one[go], two[go] = _mix(one[go] * _U(_BASES[0]) ^ name[k]), _mix(two[go] * _U(_BASES[1]) + name[k])
-                        span[go] += size[k]
-                        at[go] = after[k]
-                    ok = np.flatnonzero(span >= length)
-                    out.append((_rid(rid, len(ok)), pos[ok], span[ok], _long(one[ok]), _long(two[ok])))
-            yield _frame(out, "rid pos len one two")
+                name = _mix(b["name"].to_numpy().astype(np.uint64))
+                while len(go := np.flatnonzero((span < length) & (at >= 0))):
+                    k = at[go]
+                    one[go], two[go] = _mix(one[go] * _U(_BASES[0]) ^ name[k]), _mix(two[go] * _U(_BASES[1]) + name[k])
+                    span[go] += size[k]
+                    at[go] = after[k]
+            ok = np.flatnonzero(span >= length)
+            ok = ok[np.lexsort((pos[ok], rid[ok]))]  # blocks overlap, and give one place alike
+            ok = ok[np.r_[True, (rid[ok][1:] != rid[ok][:-1]) | (pos[ok][1:] != pos[ok][:-1])][: len(ok)]]
+            yield _frame([(rid[ok], pos[ok], span[ok], _long(one[ok]), _long(two[ok]))], "rid pos len one two")
 
     placed = named.select("rid", (F.col("reg") * (1 << 24) + F.col("idx")).alias("place"), "pos", "len", "name")
-    keyed = written(_facts(placed, "place", "pos", "len", "name").mapInPandas(prefixes, "rid long, pos long, len long, one long, two long").distinct())
-    equal = written(keyed.groupBy("one", "two").agg(F.count_distinct("rid", "pos").alias("n")).where("n > 1").select("one", "two"))
+    placed = placed.repartition("rid").sortWithinPartitions("rid", "place")
+    keyed = written(placed.mapInPandas(prefixes, "rid long, pos long, len long, one long, two long"))
+    equal = keyed.groupBy("one", "two").count().where("count > 1").select("one", "two")
     sure = written(keyed.join(equal.hint(HASH), ["one", "two"]).select("rid", "pos", "len"))
-    forget(keyed, equal)
+    forget(keyed)
 
     kinds = lambda df, kind, n: df.select("rid", F.lit(kind).alias("kind"), "pos", F.col(n).alias("len"))
     known = kinds(cand.withColumn("len", F.lit(0)), 0, "len").unionByName(kinds(named, 1, "len")).unionByName(kinds(sure, 2, "len"))
-    known = texts.join(_facts(known, "kind", "pos", "len"), "rid")
+    known = texts.join(_facts(known, "kind", "pos", "len").hint(HASH), "rid")
 
     def doubtful(rid, raw, kind, pos, size):
         n = len(raw) - length + 1
@@ -245,23 +277,21 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
         s, e = _spans(pos[sure], pos[sure] + size[sure])
         keep = e - s >= length
         open_ &= ~_inside(n, s[keep], e[keep] - length + 1)
-        for lo, hi in _regions(raw, places, length, anchor):
-            b = _phrases(raw[lo:hi]) + lo
-            if len(b) > 5:
-                has = np.isin(b, names)
-                i = np.flatnonzero(~(has[:-5] | has[1:-4] | has[2:-3]))
-                no = b[i + 5] - length <= b[i]
-                open_ &= ~_inside(n, b[i[no] + 5] - length, b[i[no]] + 1)
-        for at, block in _blocks(raw, length):
-            p = np.flatnonzero(open_[at : at + BLOCK])
-            if len(p):
-                a = elected(block, length, anchor)[p]
-                d = a - p
-                u, k = np.unique(a, return_inverse=True)
-                least, most = np.full(len(u), length), np.zeros(len(u), np.int64)
-                np.minimum.at(least, k, d)
-                np.maximum.at(most, k, d)
-                yield _long(Prints(block).of(u, u + anchor)), least, most
+        b = _phrases(raw) if open_.any() else pos[:0]
+        if len(b) > 5:
+            has = np.isin(b, names)
+            i = np.flatnonzero(~(has[:-5] | has[1:-4] | has[2:-3]))
+            least = b[i + 5] + 8 - length  # the window holds the bytes that the last phrase's end depends on, too
+            no = least <= b[i]
+            open_ &= ~_inside(n, least[no], b[i[no]] + 1)
+        for at, block, p in _around(raw, np.flatnonzero(open_), length):
+            a = elected(block, length, anchor)[p]
+            d = a - p
+            u, k = np.unique(a, return_inverse=True)
+            least, most = np.full(len(u), length), np.zeros(len(u), np.int64)
+            np.minimum.at(least, k, d)
+            np.maximum.at(most, k, d)
+            yield _long(Prints(block).of(u, u + anchor)), least, most
 
     doubts = known.mapInPandas(_per_row(doubtful, "h least most"), "h long, least long, most long")
     doubts = written(doubts.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most")))
@@ -278,24 +308,22 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
                 yield _rid(rid, len(k)), pos[k], start[k], end[k], _long(Prints(block).of(s, e)), _long(Prints(block, _BASES[1]).of(s, e) ^ _mix((pos[k] - start[k]).astype(np.uint64)))
 
     names = "rid pos start end c d"
-    contexts = texts.join(_facts(asked, "pos", "least", "most"), "rid").mapInPandas(_per_row(contexts_of, names), ", ".join(f"{c} long" for c in names.split()))
+    contexts = texts.join(_facts(asked, "pos", "least", "most").hint(HASH), "rid").mapInPandas(_per_row(contexts_of, names), ", ".join(f"{c} long" for c in names.split()))
     contexts = written(contexts.where(F.col("end") - F.col("start") >= length))
     forget(asked)
     # where all the bytes around an anchor are found twice, so are their windows, and one of the places speaks for all
-    groups = written(contexts.groupBy("c", "d").agg(F.count_distinct("rid", "pos").alias("n"), F.min(F.struct("rid", "pos", "start", "end")).alias("first")))
+    groups = written(contexts.groupBy("c", "d").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "start", "end")).alias("first")))
     whole = contexts.join(groups.where("n > 1").select("c", "d").hint(HASH), ["c", "d"]).select("rid", F.col("start").alias("pos"), (F.col("end") - F.col("start")).alias("len"))
     first = groups.select("first.*", F.when(F.col("n") > 1, 1).otherwise(0).cast("long").alias("done"))
 
     def windows_of(rid, raw, start, end, done):
         n = len(raw) - length + 1
         want, known = _inside(n, start, end - length + 1), _inside(n, start[done == 1], end[done == 1] - length + 1)
-        for at, block in _blocks(raw, length):
-            p = np.flatnonzero(want[at : at + BLOCK])
-            if len(p):
-                yield _rid(rid, len(p)), p + at, known[p + at].astype(np.int64), _long(Prints(block).of(p, p + length)), _long(Prints(block, _BASES[1]).of(p, p + length))
+        for at, block, p in _around(raw, np.flatnonzero(want), length):
+            yield _rid(rid, len(p)), p + at, known[p + at].astype(np.int64), _long(Prints(block).of(p, p + length)), _long(Prints(block, _BASES[1]).of(p, p + length))
 
     names = "rid pos done h g"
-    windows = texts.join(_facts(first, "start", "end", "done"), "rid").mapInPandas(_per_row(windows_of, names), ", ".join(f"{c} long" for c in names.split()))
+    windows = texts.join(_facts(first, "start", "end", "done").hint(HASH), "rid").mapInPandas(_per_row(windows_of, names), ", ".join(f"{c} long" for c in names.split()))
     windows = written(windows)
     same = written(windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("done").alias("done")).where("n > 1 and done = 0").select("h", "g"))
     more = windows.where("done = 0").join(same.hint(HASH), ["h", "g"]).select("rid", "pos", F.lit(length).cast("long").alias("len"))
@@ -309,7 +337,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ancho
 def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """docs' columns and n_bytes, n_removed, spans (array of start, end: removed bytes) and kept (binary, the remaining bytes) of every row."""
     rows, found = repeats(docs, text_col, length)
-    joined = rows.join(found.withColumnsRenamed({"pos": "_pos", "len": "_len"}), "rid", "left")
+    joined = rows.join(found.withColumnsRenamed({"pos": "_pos", "len": "_len"}).hint(HASH), "rid", "left")
     spans = "array<struct<start:long,end:long>>"
 
     def run(t: pd.Series, places: pd.Series, sizes: pd.Series) -> pd.DataFrame:
