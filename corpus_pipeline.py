@@ -10,10 +10,9 @@ from __future__ import annotations
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourline.llm import bpe, language, mixing, simhash, suffix
+from hourline.llm import bpe, language, mixing, nearcopies, suffix
 from hourline.llm.common import table, written
 
 
@@ -24,11 +23,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_n", one).where("_n = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Keeps the document of the smallest id of each component of near copies (Jaccard of five-word shingles 0.8 or more)."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    named = rows.where("doc_id is not null")
+    found = nearcopies.near_copies(named, "_row")
+    order = F.struct("doc_id", F.xxhash64("text"), "_row")
+    ranked = named.select("_row", order.alias("order")).join(found, F.col("_row") == F.col("id"))
+    first = ranked.groupBy("component_id").agg(F.min("order").alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,17 +34,20 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64 bits of one text."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; a shorter text is one shingle, a text without words has none."""
     import xxhash
 
     words = _WORDS.findall((text or "").encode().lower())
-    if not words:
-        return 0
     h, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) < shingle:
-        return h(join(words), seed)
-    hashes = np.fromiter((h(join(z), seed) for z in zip(*(words[i:] for i in range(shingle)))), dtype="<u8", count=len(words) - shingle + 1)
+    if 0 < len(words) < shingle:
+        return np.array([h(join(words), seed)], dtype="<u8")
+    n = max(len(words) - shingle + 1, 0)
+    return np.fromiter((h(join(z), seed) for z in zip(*(words[i:] for i in range(shingle)))), dtype="<u8", count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without any."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -52,6 +55,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The 64 bits of one text."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a long) of every row."""
     short_batches(docs.sparkSession)

@@ -42,3 +42,31 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_near_copies(spark):
+    def jaccard(a, b):
+        x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    r, rows = np.random.default_rng(5), []
+    for k in range(60):  # every base beside two copies of a few words each; some copies fall below 0.8
+        base = [f"w{k}x{i}" if i % 3 else f"W{k}x{i}" for i in range(300)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(2):
+            copy = list(base)
+            for i in r.choice(300, r.integers(1, 9), replace=False):
+                copy[i] += "new"
+            rows.append((len(rows), " ".join(copy).lower()))
+    texts = dict(rows)
+    root = {i: i for i in texts}
+    for _ in range(3):
+        for k in range(0, len(texts), 3):
+            for i, j in ((k, k + 1), (k, k + 2), (k + 1, k + 2)):
+                if jaccard(texts[i], texts[j]) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    near = [jaccard(texts[k], texts[k + 1]) for k in range(0, len(texts), 3)]
+    assert sum(0.8 <= j < 0.95 for j in near) > 20 and any(0.7 < j < 0.8 for j in near)
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    assert kept == {i for i in root if root[i] == i}
