@@ -120,3 +120,16 @@ def test_licenses(spark):
     got = {r.doc_id: (r.license, r.basis, r.from_dir) for r in out}
     assert got == {1: ("MIT", "file", None), 2: ("MIT", "inherited", "a"), 3: ("Apache-2.0", "header", None), 4: (None, "none", None), 5: (None, "none", None), 6: ("MIT", "inherited", "a")}
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+SHORT = {"All rights reserved.": "Proprietary", "Released under the MIT License.": "MIT", "Apache License 2.0": "Apache-2.0", "3-clause BSD License": "BSD-3-Clause", "GNU GPL version 3": "GPL-3.0", "GNU GPL version 2": "GPL-2.0", "GNU LGPL version 3": "LGPL-3.0", "Mozilla Public License 2.0": "MPL-2.0", "CC BY 4.0": "CC-BY-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC0 1.0": "CC0-1.0"}
+
+
+def test_short_licences(spark):
+    rows = [(100, "d/LICENSE", "Released under the MIT License."), (101, "e/LICENSE.md", PROSE + "\nReleased under the MIT License.\nAll rights reserved.")]
+    for i, t in enumerate(SHORT):
+        rows += [(i, f"alone/{i}/x.py", PROSE + "\n" + t + "\n" + PROSE), (50 + i, f"d/{i}.py", PROSE + "\n" + t + "\n" + PROSE)]
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[101] == ("MIT", "file")
+    for i, t in enumerate(SHORT):
+        assert got[i] == got[50 + i] == (SHORT[t], "header"), t
