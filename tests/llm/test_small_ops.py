@@ -133,3 +133,21 @@ def test_short_licences(spark):
     assert got[101] == ("MIT", "file")
     for i, t in enumerate(SHORT):
         assert got[i] == got[50 + i] == (SHORT[t], "header"), t
+
+
+def test_licence_texts(spark):
+    t = licenses.TEMPLATES
+    wrap = lambda x, mark="": "\n".join(mark + " ".join(x.split()[i : i + 9]) for i in range(0, len(x.split()), 9))
+    holder = "Copyright (c) 2020, Jane Doe. All rights reserved.\n\n"
+    cases = [("MIT", "LICENSE", "Copyright (c) 2020 Jane Doe\n\n" + wrap(licenses.MIT)), ("BSD-3-Clause", "LICENSE", holder + wrap(t["BSD-3-Clause-text"]))]
+    cases += [("BSD-2-Clause", "LICENSE", holder + wrap(licenses.BSD)), ("GPL-3.0", "COPYING", "  GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n" + PROSE)]
+    cases += [(k, "a.py", f"# SPDX-License-Identifier: {k}\n{PROSE}") for k in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause")]
+    cases += [("GPL-3.0", "a.py", wrap(licenses.GNU.format("", 3), "# ") + "\n" + PROSE), ("LGPL-3.0", "a.c", wrap(licenses.GNU.format("Lesser ", 3), " * ") + "\n" + PROSE)]
+    cases += [("Apache-2.0", "a.py", wrap(t["Apache-2.0-header"], "// ") + "\n" + PROSE), ("MIT", "a.txt", PROSE + ". Released under the MIT License. " + PROSE)]
+    cases += [(None, "a.py", PROSE + "\nSPDX-License-Identifier: Zlib\n" + PROSE), (None, "a.py", PROSE + " we ask permission to go. " + PROSE)]
+    rows = [(i, f"{i}/{name}", text) for i, (_, name, text) in enumerate(cases)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[0] for c in cases]
+    import re
+
+    assert all(re.search(licenses.ANCHORS, v) for v in t.values())
