@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.common import short_batches
 
 #: Entries of each of the two generations of the memos (pieces, pairs); older ones are forgotten and made anew.
-MEMO = 100_000
+MEMO = 200_000
+#: Longer pieces are encoded each time, so that the memos are bounded in bytes, too.
+LONG_PIECE = 64
 #: Texts of more characters are cut into pieces a batch at a time.
 LONG, BATCH = 500_000, 100_000
 
@@ -31,11 +32,13 @@ LONG, BATCH = 500_000, 100_000
 class Memo(dict):
     """make(key), remembered for the keys in use: when full, the last generation but one is forgotten."""
 
-    def __init__(self, make, size: int = MEMO):
+    def __init__(self, make, size: int = MEMO, keeps=None):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.keeps, self.old = make, size, keeps, {}
 
     def __missing__(self, key):
+        if self.keeps is not None and not self.keeps(key):
+            return self.make(key)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -63,21 +66,26 @@ class Codec:
         self.decimal = {str(v): k for k, v in ranks.items()}
         self.split = regex.compile(pattern)
         self.find = ahocorasick.Automaton()
+        self.halves: dict[int, tuple[int, int]] = {}  # the last merge of each token
         for s, i in self.rank.items():
-            if len(s) == 1 or self.merged(s) == [i]:  # others are no result of merges
+            if len(s) == 1 or self.merged(s, last := []) == [i]:  # others are no result of merges
                 self.find.add_word(s, i)
+                if len(s) > 1:
+                    self.halves[i] = tuple(last)
         self.find.make_automaton()
         self.length = {v: len(k) for k, v in self.rank.items()}
         self.fits = Memo(lambda ab: self.compatible(ab >> 32, ab & 0xFFFFFFFF))
         self.shorter = Memo(self._shorter)
-        self.csv = Memo(lambda piece: ",".join(map(str, self.piece(piece.encode().decode("latin-1")))))
+        self.csv = Memo(lambda piece: ",".join(map(str, self.piece(piece.encode().decode("latin-1")))), keeps=lambda piece: len(piece) <= LONG_PIECE)
 
-    def merged(self, s: str) -> list[int]:
-        """The merges by rank, done one by one; for the few bytes of one or two tokens."""
+    def merged(self, s: str, last: list[int] | None = None) -> list[int]:
+        """The merges by rank, done one by one; for the few bytes of one or two tokens. last: gets the two tokens of the last merge."""
         parts, rank, none = list(s), self.rank.get, 1 << 40
         ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
+            if last is not None:
+                last[:] = self.rank[parts[i]], self.rank[parts[i + 1]]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del ranks[i]
             if i:
@@ -87,7 +95,22 @@ class Codec:
         return [self.rank[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        return self.merged(self.token[a] + self.token[b]) == [a, b]
+        """Whether the merges of a and b run as if apart: with them undone last first, no merge across the border would come first.
+
+        Equal ranks go from left to right, so a merge across is too late for the left token's merge of its rank, not for the right's.
+        """
+        halves, token, rank, none = self.halves, self.token, self.rank, 1 << 40
+        before = none
+        while True:
+            if 2 * rank.get(token[a] + token[b], none) < before:
+                return False
+            left, right = halves.get(a), halves.get(b)
+            if left is not None and (right is None or a > b):
+                a, before = left[1], 2 * a
+            elif right is not None:
+                b, before = right[0], 2 * b + 1
+            else:
+                return True
 
     def _shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one; -1 if there is none."""
@@ -153,7 +176,6 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id and ids array<int>."""
-    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +200,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each text, decodes the ids again and returns id, n_tokens, ids_sha256 and decoded_sha256."""
-    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def row(c: Codec, text: str) -> tuple[int, str, str]:

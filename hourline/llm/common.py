@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +16,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Without it, collected lists are grouped by sorting: once for both steps and the join after, a group at a time.
 HASH_LISTS = "spark.sql.execution.useObjectHashAggregateExec"
-#: Rows that go to Python at once; texts are long, and a batch is held by Spark and by Python.
-ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that go to Python at once; texts may be long, and a batch is held by Spark and by Python.
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: How written tables are stored: quick to write, since they are read once or a few times.
+FAST = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
+_WHILE = {CLEANUP: "true", HASH_LISTS: "false", BYTES: str(4 << 20)}
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps the session's batches for Python at or below this many rows, since texts may be long."""
-    now = int(spark.conf.get(ROWS))
-    if not 0 < now <= rows:
-        spark.conf.set(ROWS, rows)
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Sets what is wanted and puts the session's own settings back."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores in front as it takes to be no column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder (a temporary one is set where none is, as in tests)."""
+    """A new folder below the cluster's checkpoint folder (a temporary one is set where Spark runs in one process, as in tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -44,25 +66,19 @@ def written(df: DataFrame, bucket: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    before = spark.conf.get(CLEANUP, "false"), spark.conf.get(HASH_LISTS, "true")
-    try:
-        spark.conf.set(CLEANUP, "true")
-        spark.conf.set(HASH_LISTS, "false")
+    with settings(spark, _WHILE):
         if bucket is None:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.options(**FAST).parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
         else:
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
             name = f"scratch_{uuid.uuid4().hex}"
-            dealt = df.repartition(parts, bucket).write.option("compression", "zstd").option("path", path)
-            dealt.bucketBy(parts, bucket).format("parquet").saveAsTable(name)
-    finally:
-        spark.conf.set(CLEANUP, before[0])
-        spark.conf.set(HASH_LISTS, before[1])
-    if bucket is None:
-        out = spark.read.schema(df.schema).parquet(path)
-    else:  # the files stay when the name goes
-        out = spark.table(name).select(*df.columns)
-        spark.sql(f"drop table {name}")
+            dealt = df.repartition(parts, bucket).write.options(**FAST).option("path", path)
+            try:
+                dealt.bucketBy(parts, bucket).format("parquet").saveAsTable(name)
+                out = spark.table(name).select(*df.columns)
+            finally:  # the files stay when the name goes
+                spark.sql(f"drop table if exists {name}")
     out.scratch = path
     return out
 
