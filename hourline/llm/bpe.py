@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourline.llm.common import written
+
 
 #: Entries of each of the two generations of the memos (pieces, pairs); older ones are forgotten and made anew.
 MEMO = 200_000
@@ -218,4 +220,4 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             out.insert(0, id_col, b[id_col].to_numpy())
             yield out
 
-    return docs.select(id_col, F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return written(docs.select(id_col, F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))

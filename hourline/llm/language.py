@@ -5,15 +5,17 @@ Each language has a codeword of ``bits`` signs; every bit has a binary classifie
 exp(-sign * margin)), each bit weighted by its classifier's training accuracy above chance; the nearest codeword wins.
 The score is the softmax of the negative losses, and a text is ambiguous if it is below ``AMBIGUOUS``.
 
-Training takes a bounded sample: about ``PER_LANGUAGE`` texts of a language, by a hash of the id; only such rows come to
-the driver, as counts of ``DIM`` hashed n-grams, never texts. A language with few rows is learned from all of them.
-Whole texts are read for both. Null texts, texts without a letter and corpora without labels give ``und`` with score 0.
-Repeated rows are judged each. Columns other than the named are dropped.
+Training takes a bounded sample by a hash of id and text: about ``PER_LANGUAGE`` texts of a language, and about ``TOTAL``
+texts in all, shared evenly, where there are many languages. Only such rows come to the driver, as counts of ``DIM``
+hashed n-grams, never texts. A language with few rows is learned from all of them.
+Whole texts are read for both, in chunks of ``CHUNK`` bytes. A letter is a character of Unicode's category L: null texts,
+texts without one (such as fractions or Roman numerals alone) and corpora without labels give ``und`` with score 0.
+Of languages that are equally near the first by code point wins. Repeated rows are judged each, and alike. Columns other
+than the named are dropped.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourline.llm.common import table
+from hourline.llm.common import BYTES, settings, table, written
 
-PER_LANGUAGE, DIM, BITS, AMBIGUOUS = 1500, 2048, 15, 0.5
+PER_LANGUAGE, TOTAL, DIM, BITS, AMBIGUOUS = 1500, 30_000, 2048, 15, 0.5
 #: A chunk of a long text, of which the n-grams are counted at once.
 CHUNK = 1 << 20
 #: Texts whose features are held at once.
 SLICE = 256
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(text: str, dim: int = DIM) -> np.ndarray:
@@ -99,33 +100,38 @@ def train(x: np.ndarray, lang: list[str], bits: int = BITS, steps: int = 150, ri
     return Model(languages, code, w * 4, b * 4, np.maximum(2 * right - 1, 0.05))
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) -> tuple[np.ndarray, list[str]]:
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL, dim: int = DIM) -> tuple[np.ndarray, list[str]]:
     """Features and language of the bounded sample of docs (doc_id, text, lang)."""
-    rows = docs.where("lang is not null and text is not null")
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    counts = written(rows.groupBy("lang").count())
+    n = counts.count()
     if not n:
         return np.zeros((0, dim), np.float32), []
-    share = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, per_language / c))]), F.col("lang"))
-    taken = rows.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < share * (1 << 30))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(min(per_language, total / n)) / F.col("count")).alias("share"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    taken = rows.join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "x": [(features(t, dim) * 255).round().astype(np.uint8).tobytes() for t in b["text"]]})
 
-    got = taken.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).mapInPandas(run, "lang string, h long, x binary").toPandas()
+    with settings(docs.sparkSession, {BYTES: str(4 << 20)}):
+        got = taken.select("lang", "text", "h").mapInPandas(run, "lang string, h long, x binary").toPandas()
     got = got.sort_values(["h", "lang"], kind="stable")
     x = np.frombuffer(b"".join(got["x"]), dtype=np.uint8).reshape(-1, dim).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), list(got["lang"])
 
 
 def predictor(spark: SparkSession, model: Model):
-    """A function from a text column to a struct of lang_pred, score and ambiguous."""
+    """A function from a text column to a struct of lang_pred, score and ambiguous; to be used below written, which keeps batches small."""
     held = spark.sparkContext.broadcast(model)  # languages x bits and DIM x bits numbers
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def said(texts: pd.Series) -> pd.DataFrame:
-        m = held.value
-        ok = np.array([bool(m.languages) and t is not None and _LETTER.search(t) is not None for t in texts], dtype=bool)
+        import regex
+
+        m, letter = held.value, regex.compile(r"\p{L}").search
+        ok = np.array([bool(m.languages) and t is not None and letter(t) is not None for t in texts], dtype=bool)
         pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
         places = np.flatnonzero(ok)
         for k in (places[i : i + SLICE] for i in range(0, len(places), SLICE)):
@@ -139,7 +145,7 @@ def predictor(spark: SparkSession, model: Model):
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and ambiguous of every row."""
     said = predictor(docs.sparkSession, model)(F.col(text_col))
-    return docs.select(F.col(id_col).alias("doc_id"), said.alias("said")).select("doc_id", "said.*")
+    return written(docs.select(F.col(id_col).alias("doc_id"), said.alias("said")).select("doc_id", "said.*"))
 
 
 def held_out(doc_id: Column) -> Column:
