@@ -1,8 +1,9 @@
 """A corpus from raw documents to token digests, in five stages that each apply one operator.
 
-Each stage takes what its predecessor kept, decides on that alone and returns the columns of documents; the last one
-returns the digests. Rows with a null doc_id are never near-duplicates of others by name and stay; of repeated rows one
-stays after the near-duplicate stage.
+Each stage takes what its predecessor kept, decides on that alone and returns the columns of its documents, whatever their
+names; the last one returns the digests. Rows are told apart by row numbers that stages write down, so ids may be null or
+repeated: rows that share an id and differ in text stay apart, and of copies with null ids one stays. Null and empty texts
+go with the first stage, empty tables give empty ones, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -13,24 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourline.llm import bpe, language, mixing, nearcopies, suffix
-from hourline.llm.common import table, written
+from hourline.llm.common import fresh, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts, texts without a letter, and texts between languages."""
-    said = language.predictor(spark, language.fit(docs))(F.col("text"))
-    return docs.withColumn("_said", said).where("_said.lang_pred <> 'und' and not _said.ambiguous").select(*docs.columns)
+    said = fresh(docs, "said")
+    judged = docs.withColumn(said, language.predictor(spark, language.fit(docs))(F.col("text")))
+    return written(judged.where(f"{said}.lang_pred <> 'und' and not {said}.ambiguous").select(*docs.columns))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component of near copies (Jaccard of five-word shingles 0.8 or more)."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    named = rows.where("doc_id is not null")
-    found = nearcopies.near_copies(named, "_row")
-    order = F.struct("doc_id", F.xxhash64("text"), "_row")
-    ranked = named.select("_row", order.alias("order")).join(found, F.col("_row") == F.col("id"))
-    first = ranked.groupBy("component_id").agg(F.min("order").alias("first")).select("first._row")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps the document of the smallest id (null last) of each component of near copies (Jaccard of five-word shingles 0.8 or more)."""
+    row = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = nearcopies.near_copies(rows, row)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(row))
+    ranked = rows.select(F.col(row).alias("id"), order.alias("order")).join(found, "id")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct("order", "id"))["id"].alias(row)).select(row)
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,20 +40,21 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     @F.pandas_udf("string")
     def text(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    cut = suffix.remove(docs)
-    left = F.when(F.col("n_removed") > 0, text("kept")).otherwise(F.col("text"))
-    out = cut.withColumn("text", left).withColumn("n_chars", F.length("text").cast("long"))
-    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    cut = suffix.remove(docs.select("text", F.struct(*docs.columns).alias("whole")))
+    left = F.when(F.col("n_removed") > 0, text(F.when(F.col("n_removed") > 0, F.col("kept")))).otherwise(F.col("text"))
+    out = cut.withColumn("text", left).where((F.coalesce("n_removed", F.lit(0)) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return written(out.select(*[new.get(c, F.col("whole")[c]).alias(c) for c in docs.columns]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; rows of equal id and size go together."""
-    times = mixing.mix(docs).where("size > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    sized = docs.withColumn("_size", mixing.n_words(F.col("text")))
-    taken = sized.join(times, sized["doc_id"].eqNullSafe(times["doc_id"]) & (sized["_size"] == times["size"])).drop(times["doc_id"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """Repeats each document as often as the mix takes it."""
+    row, copy = fresh(docs, "row"), fresh(docs, "copy")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    times = mixing.mix(rows, keep=(row,)).where("size > 0 and copies > 0").select(row, F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(copy))
+    return rows.join(times, row).withColumn(copy, F.explode(copy)).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
