@@ -95,6 +95,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def local_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
+    """A table of a few rows, by way of Arrow; rows of Python objects would start Python workers of another kind on each executor."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(ddl)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=to_arrow_schema(schema)), schema)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourline.llm.common import WORD, table, written
+from hourline.llm.common import WORD, forget, table, written
 
 #: Slices of a source's key range.
 SLICES = 1024
@@ -122,9 +122,11 @@ def mix(
     off = F.abs(F.col("size") - F.col("gap"))
     third = of_source(gap, open_).where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "row")).alias("best")).select("best.row")
     more = second.select("row").unionByName(third).withColumn("more", F.lit(True))
+    more = written(more)
     out = first.join(more, "row", "left")
     copies = F.col("epochs") + (F.col("again") | F.coalesce("more", F.lit(False))).cast("long")
     kept = [F.col("keep")[c].alias(c) for c in keep]
+    forget(rows, goal, second)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *kept)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourline.llm import simhash
-from hourline.llm.common import written
+from hourline.llm.common import forget, written
 from hourline.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -86,9 +86,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id and component_id, the smallest id of the component, of every row of docs; ids (longs) are unique and not null."""
     rows = written(signatures(docs, id_col, text_col))
     nodes = written(rows.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    ids = written(rows.select("id", "s1", "s2"))
+    forget(rows)
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("centre")).where("m > 1")
+    full = written(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("centre")).where("m > 1").select("key", "centre"))
     buckets = written(keyed.join(full, "key").select("key", "node", "n", "centre"))
+    forget(full)
     stars = buckets.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
     same = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     equal = nodes.join(same, "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
@@ -99,6 +102,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = components(linked)
     placed = buckets.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     placed = written(placed.select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    forget(buckets, found)
     counts = placed.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots"))
     open_ = placed.join(counts.where("roots > 1").select("key", "main"), "key")
     a, b = open_.where("root <> main").alias("a"), open_.alias("b")
@@ -106,8 +110,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     cross = a.join(b, (F.col("a.key") == F.col("b.key")) & once & enough)
     cross = cross.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    more = verified(written(cross.join(tried, ["u", "v"], "left_anti")), owned)
+    pairs = written(cross.join(tried, ["u", "v"], "left_anti"))
+    more = written(verified(pairs, owned))
+    forget(tried, owned, placed, pairs)
     roots = components(linked.unionByName(more))
     named = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     named = written(named.select("s1", "s2", F.coalesce("root", "node").alias("component_id")))
-    return rows.join(named, ["s1", "s2"]).select("id", "component_id")
+    out = written(ids.join(named, ["s1", "s2"]).select("id", "component_id"))
+    forget(ids, nodes, linked, more, roots, named)
+    return out

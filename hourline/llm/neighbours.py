@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourline.llm.common import table, written
+from hourline.llm.common import local_table, table, written
 
 SAMPLE, ROWS_PER_PART, MOST_PARTS, RECALL = 6000, 2500, 256, 0.98
 CHUNK, QUERIES = 8192, 1024
@@ -166,7 +166,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     asked = clean(queries, id_col, vec_col, one["n"] if one else 0).groupBy("id").agg(F.min("v").alias("v"))
     asked = written(asked.mapInPandas(route, "id long, v array<double>, parts array<int>").select("id", "v", F.explode("parts").alias("part")))
     load = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
-    cuts = spark.createDataFrame([(p, -(-n // CHUNK), -(-load.get(p, 1) // QUERIES)) for p, n in size.items()] or [(0, 1, 1)], "part int, chunks int, lots int")
+    cuts = local_table(spark, [(p, -(-n // CHUNK), -(-load.get(p, 1) // QUERIES)) for p, n in size.items()] or [(0, 1, 1)], "part int, chunks int, lots int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     b = base.join(F.broadcast(cuts), "part").withColumn("chunk", own("chunks")).withColumn("lot", every("lots")).select("part", "chunk", "lot", "id", "v")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.common import table, written
+from hourline.llm.common import forget, table, written
 from hourline.llm.graph import components
 
 RADIUS, BLOCKS = 3, 5
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(links(fps.where("rep is not null"), tile))
     named = written(fps.join(roots, fps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
+    forget(fps, roots)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

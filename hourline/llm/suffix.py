@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.common import forget, fresh, table, written
+from hourline.llm.common import forget, fresh, local_table, table, written
 
 LENGTH, ANCHOR, BLOCK = 200, 100, 1 << 18
 #: Shorter texts are looked at together, up to about so many bytes.
@@ -261,7 +261,7 @@ def neighbours(df: DataFrame, keys: list[str], place: list[str], carry: tuple[st
             table_[-1][4] = True
         table_.append([part, total - on, found[-1][0], on, False])
         total, last = total - on + found[-1][0] + 1, found[-1][1]
-    edges = F.broadcast(spark.createDataFrame(table_, "part int, base long, top long, on boolean, off boolean"))  # a row a range
+    edges = F.broadcast(local_table(spark, table_, "part int, base long, top long, on boolean, off boolean"))  # a row a range
     head, tail = (F.col("rank") == 0) & F.col("on"), (F.col("rank") == F.col("top")) & F.col("off")
     out = done.join(edges, "part").select(*cols, (F.col("base") + F.col("rank")).alias("name"), (F.col("twice") | head | tail).alias("twice"), (F.col("lead") & ~head).alias("lead"))
     out.scratch = done.scratch
@@ -482,9 +482,9 @@ def repeats(rows: DataFrame, length: int = LENGTH, anchor: int | None = None) ->
 
 
 def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs' columns and n_bytes, n_removed, spans (array of start, end: removed bytes) and kept (binary, the remaining bytes) of every row.
+    """docs' columns and n_bytes, n_removed, spans (array of start, end: removed bytes), kept (binary, the remaining bytes) and kept_text of every row.
 
-    Columns of docs that have one of these four names give way to the results.
+    kept_text lacks characters of which a byte is gone. Columns of docs that have one of these names give way to the results.
     """
     rid = fresh(docs, "rid")
     rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), bucket=rid)
@@ -495,24 +495,26 @@ def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> Dat
         out = []
         for x, pos, size in zip(t, places, sizes):
             if x is None:
-                out.append((0, [], None))
+                out.append((0, [], None, None))
                 continue
             raw = x.encode()
             s, e = _spans(pos, pos + size)
             edges = [0, *np.stack([s, e], 1).ravel().tolist(), len(raw)]
             kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
-            out.append((len(raw) - len(kept), [{"start": a, "end": z} for a, z in zip(s.tolist(), e.tolist())], kept))
-        return pd.DataFrame(out, columns=["n_removed", "spans", "kept"])
+            out.append((len(raw) - len(kept), [{"start": a, "end": z} for a, z in zip(s.tolist(), e.tolist())], kept, kept.decode("utf-8", "ignore")))
+        return pd.DataFrame(out, columns=["n_removed", "spans", "kept", "kept_text"])
 
-    results = ("n_bytes", "n_removed", "spans", "kept")
+    results = ("n_bytes", "n_removed", "spans", "kept", "kept_text")
     own = [c for c in docs.columns if c.lower() not in results]
     packed = rows.select(F.col(rid).alias("rid"), F.struct(*own).alias("row"), F.col(text_col).alias("text"))
     joined = packed.join(found.hint(HASH), "rid", "left")
-    # texts that nothing is cut from don't go to Python
-    cut = F.pandas_udf(run, f"n_removed long, spans {spans}, kept binary")
+    # texts that nothing is cut from don't go to Python; a filter on the results must not run it twice
+    cut = F.pandas_udf(run, f"n_removed long, spans {spans}, kept binary, kept_text string").asNondeterministic()
     joined = joined.withColumn("cut", cut(F.when(F.col("pos").isNotNull(), text), "pos", "len"))
     kept = F.coalesce("cut.kept", text.cast("binary"), F.lit(b""))
-    return joined.select("row.*", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "cut.n_removed", "cut.spans", kept.alias("kept"))
+    out = joined.select("row.*", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "cut.n_removed", "cut.spans", kept.alias("kept"), F.coalesce("cut.kept_text", text).alias("kept_text"))
+    out.behind = rows, found  # the tables to forget once the result is written
+    return out
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

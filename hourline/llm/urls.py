@@ -16,7 +16,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.common import table
+from hourline.llm.common import local_table, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -65,7 +65,7 @@ def _featured(urls: DataFrame, dim: int) -> DataFrame:
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, dim: int = DIM, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and p_block of every row; labelled: url, label (1 is block)."""
     spark = pages.sparkSession
-    labelled = labelled or spark.createDataFrame(LABELLED, "url string, label double")
+    labelled = labelled or local_table(spark, LABELLED, "url string, label double")
     known = labelled.select("label", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     model = LogisticRegression(regParam=0.01, maxIter=60, probabilityCol="p", predictionCol="block").fit(_featured(known, dim).coalesce(1))
     model.setThreshold(threshold)

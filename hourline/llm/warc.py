@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.common import shared_dir, table
+from hourline.llm.common import local_table, shared_dir, table
 
 BINS, SHARD_BYTES, ROLL_BYTES, LEAST = 4096, 32 << 20, 8 << 20, 1000
 _SPACE = uuid.UUID("5e6f1b0e-7c0f-5d0b-9c59-3c0a4f0d8a11")
@@ -97,7 +97,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             shard, held = shard + 1, 0
         held += b["n"]
         shards.append((b["slice"], shard))
-    of = F.broadcast(spark.createDataFrame(shards or [(0, 0)], "slice int, shard int"))
+    of = F.broadcast(local_table(spark, shards or [(0, 0)], "slice int, shard int"))
     large = keys.where(F.col("n") >= least)
     best = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null").drop("copies")
     again = large.join(best, "digest").where("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
