@@ -8,20 +8,19 @@ go with the first stage, empty tables give empty ones, and texts of any length a
 
 from __future__ import annotations
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourline.llm import bpe, language, mixing, nearcopies, suffix
-from hourline.llm.common import fresh, table, written
+from hourline.llm.common import forget, fresh, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts, texts without a letter, and texts between languages."""
     said = fresh(docs, "said")
     judged = docs.withColumn(said, language.predictor(spark, language.fit(docs))(F.col("text")))
-    return written(judged.where(f"{said}.lang_pred <> 'und' and not {said}.ambiguous").select(*docs.columns))
+    return judged.where(f"{said}.lang_pred <> 'und' and not {said}.ambiguous").select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,22 +30,18 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = nearcopies.near_copies(rows, row)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(row))
     ranked = rows.select(F.col(row).alias("id"), order.alias("order")).join(found, "id")
-    first = ranked.groupBy("component_id").agg(F.min(F.struct("order", "id"))["id"].alias(row)).select(row)
+    first = written(ranked.groupBy("component_id").agg(F.min(F.struct("order", "id"))["id"].alias(row)).select(row))
+    forget(found)
     return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; a document of which no word is left goes."""
-
-    @F.pandas_udf("string")
-    def text(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
     cut = suffix.remove(docs.select("text", F.struct(*docs.columns).alias("whole")))
-    left = F.when(F.col("n_removed") > 0, text(F.when(F.col("n_removed") > 0, F.col("kept")))).otherwise(F.col("text"))
-    out = cut.withColumn("text", left).where((F.coalesce("n_removed", F.lit(0)) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return written(out.select(*[new.get(c, F.col("whole")[c]).alias(c) for c in docs.columns]))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    out = written(cut.select(*[new.get(c, F.col("whole")[c]).alias(c) for c in docs.columns], (F.col("n_removed") > 0).alias(gone := fresh(docs, "gone"))))
+    forget(*cut.behind)
+    return out.where(~F.coalesce(gone, F.lit(False)) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(gone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
+        if kept:
+            forget(kept.pop())
+        kept.append(docs)
     return docs
