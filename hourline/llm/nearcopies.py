@@ -6,9 +6,12 @@ sets of similarity J agree on one of ``BANDS`` bands of ``ROWS`` minima with pro
 is 0.99995 at 0.8 and more above. Every candidate is then verified on the sets of 64-bit hashes of shingles, so no link
 is below the similarity, whatever named it.
 
-Equal sets are one node. In a band's bucket each node is first compared with the least one. Nodes that are then in one
-component need no comparison with each other; all other pairs of the bucket whose sizes allow the similarity are
-compared, so a large group of near copies costs about its size and components are those of all pairs of the bucket.
+Equal sets are one node. In a band's bucket each node is first compared with the one that meets most nodes in all its
+buckets (ties: the least). Nodes that are then in one
+component need no comparison with each other; all other pairs of the bucket are, in tiles of ``TILE`` nodes, first by a
+bound: with the hashes of a set counted in ``BINS`` bins, two sets have no more in common than the sum of the lesser
+counts. Only pairs whose bound and sizes allow the similarity are compared as sets. So a large group of near copies costs
+about its size, few pairs leave a bucket, and components are those of all pairs of the bucket.
 Words and hashes are those of ``simhash``. Texts without a word are equal to each other.
 """
 
@@ -27,6 +30,7 @@ from hourline.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
+BINS, TILE = 256, 512
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -68,10 +72,51 @@ def sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = [np.unique(simhash.shingle_hashes(t, SHINGLE)).view(np.int64) for t in b["t"]]
-            yield pd.DataFrame({"id": b["id"], "set": own})
-
-    return docs.mapInPandas(run, "id long, set array<long>")
+            own = [np.unique(simhash.shingle_hashes(t, SHINGLE)) for t in b["t"]]
+            bins = [np.bincount(x & np.uint64(BINS - 1), minlength=BINS).astype("<u4").tobytes() for x in own]
+            yield pd.DataFrame({"id": b["id"], "set": [x.view(np.int64) for x in own], "bins": bins})
+
+    return docs.mapInPandas(run, "id long, set array<long>, bins binary")
+
+
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by tile (key, a, b) -> the pairs u, v of different roots in a tile that the bound allows."""
+    rest = pd.DataFrame()
+    for b in simhash._with_end(batches):
+        last = b is None
+        b = rest if last else pd.concat([rest, b], ignore_index=True)
+        if not len(b):
+            continue
+        edge = np.flatnonzero(np.r_[True, (b[["key", "a", "b"]].to_numpy()[1:] != b[["key", "a", "b"]].to_numpy()[:-1]).any(axis=1), True])
+        if not last:  # the last tile may go on
+            rest, edge = b.iloc[edge[-2] :], edge[:-1]
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            g = b.iloc[lo:hi]
+            node, root, n = (g[c].to_numpy() for c in ("node", "root", "n"))
+            counts = np.frombuffer(b"".join(g["bins"]), "<u4").reshape(-1, BINS).astype(np.float32)
+            us, vs = [], []
+            for i in range(len(g) - 1):
+                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i])))
+                if len(j):
+                    common = np.minimum(counts[j], counts[i]).sum(axis=1)
+                    j = j[common >= SIMILARITY * (n[i] + n[j] - common) - 1e-3]
+                    us.append(np.full(len(j), node[i]))
+                    vs.append(node[j])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def crossing(open_: DataFrame, owned: DataFrame) -> DataFrame:
+    """The pairs u, v of different components (root) inside buckets (key) that the bound allows; open_: key, node, n, root."""
+    sizes = written(open_.groupBy("key").count())
+    bins = written(open_.select("node").distinct().join(owned.select("node", "bins"), "node"))
+    tiles = F.ceil(F.col("count") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    others = F.expr("filter(sequence(0, greatest(tiles, 2) - 1), x -> x <> own)")
+    cut = open_.join(sizes, "key").withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(others)).join(bins, "node")
+    rows = cut.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "root", "bins")
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "node").mapInPandas(_possible, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, owned: DataFrame) -> DataFrame:
@@ -89,9 +134,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = written(rows.select("id", "s1", "s2"))
     forget(rows)
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    full = written(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("centre")).where("m > 1").select("key", "centre"))
-    buckets = written(keyed.join(full, "key").select("key", "node", "n", "centre"))
-    forget(full)
+    full = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    shared = written(keyed.join(full, "key").select("key", "node", "n", "m"))
+    # the text that others were made from meets most others in its bands, so a group gathers around it
+    weight = written(shared.groupBy("node").agg(F.sum("m").alias("weight")))
+    weighed = shared.select("key", "node").join(weight, "node")
+    centres = written(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("node")))["node"].alias("least")).select("key", (-F.col("least")).alias("centre")))
+    buckets = written(shared.join(centres, "key").select("key", "node", "n", "centre"))
+    forget(full, shared, weight, centres)
     stars = buckets.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
     same = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     equal = nodes.join(same, "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
@@ -103,13 +153,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = buckets.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     placed = written(placed.select("key", "node", "n", F.coalesce("root", "node").alias("root")))
     forget(buckets, found)
-    counts = placed.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots"))
-    open_ = placed.join(counts.where("roots > 1").select("key", "main"), "key")
-    a, b = open_.where("root <> main").alias("a"), open_.alias("b")
-    enough = (F.least("a.n", "b.n") >= F.lit(SIMILARITY) * F.greatest("a.n", "b.n")) & (F.col("a.root") != F.col("b.root"))
-    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & once & enough)
-    cross = cross.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    counts = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).select("key", (F.when(F.col("low") < F.col("high"), 2).otherwise(1)).alias("roots"))
+    open_ = placed.join(counts.where("roots > 1").select("key"), "key").select("key", "node", "n", "root")
+    cross = crossing(open_, owned)
     pairs = written(cross.join(tried, ["u", "v"], "left_anti"))
     more = written(verified(pairs, owned))
     forget(tried, owned, placed, pairs)
