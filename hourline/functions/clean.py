@@ -98,3 +98,20 @@ def year_in_name(c: Column, low: int = 1900, high: int = 2100) -> Column:
 
 def severity(c: Column, high: float, low: float) -> Column:
     return F.when(c > high, "high").when(c > low, "moderate").otherwise("low")
+
+
+def first_of_month(year: Column, month: Column) -> Column:
+    """Null where the month is none or out of range."""
+    ok = month.between(1, 12)
+    return F.when(ok, F.make_date(year.cast("int"), F.when(ok, month).cast("int"), F.lit(1)))
+
+
+def granularity(label: Column) -> Column:
+    """year, semester, quarter or month of a period label, by its form; null for what is none."""
+    c = F.lower(strip_marks(label))
+    return (
+        F.when(c.rlike(r"^\d{4}$"), "year")
+        .when(c.rlike(r"^\d{4} \d\w\w semester$"), "semester")
+        .when(c.rlike(r"^\d{4} \d\w\w quarter$"), "quarter")
+        .when(c.rlike(r"^\d{4} [a-z]+$"), "month")
+    )

@@ -17,9 +17,22 @@ def hours_to_long(df: DataFrame, ids: list[str]) -> DataFrame:
     return long.withColumn("hour", F.col("hour").cast("int"))
 
 
-def pivot_first(df: DataFrame, keys: list[str], col: str, value: str, names: list[str]) -> DataFrame:
-    """One column a name; of several values of a cell the least non-null one, so that reruns agree."""
-    return df.groupBy(*keys).pivot(col, names).agg(F.min(value))
+def pivot_first(df: DataFrame, keys: list[str], col: str, value: str, names: list[str], order: str | None = None) -> DataFrame:
+    """One column a name; of several values of a cell the first non-null one by order, else the least, so that reruns agree."""
+    first = F.min(value) if order is None else F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+    return df.groupBy(*keys).pivot(col, names).agg(first)
+
+
+def grid_to_rows(df: DataFrame, keys: list[str], variables: dict[str, str]) -> DataFrame:
+    """Arrays over stations to a row a station: keys, station (from 0) and a column for each name of variables (name -> array column).
+
+    NaN becomes null; a variable whose column df lacks, or whose array is shorter than others, is null.
+    """
+    have = {n: c for n, c in variables.items() if c in df.columns}
+    zipped = F.arrays_zip(*[F.col(c).alias(n) for n, c in have.items()])
+    rows = df.select(*keys, F.posexplode(zipped).alias("station", "v"))
+    value = lambda n: F.nanvl(F.col("v")[n].cast("double"), F.lit(None).cast("double")) if n in have else F.lit(None).cast("double")
+    return rows.select(*keys, "station", *[value(n).alias(n) for n in variables])
 
 
 def expand_period(df: DataFrame, unit: str, year: str = "year", n: str | None = None) -> DataFrame:

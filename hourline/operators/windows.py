@@ -85,3 +85,18 @@ def decompose(df: DataFrame, col: str, ts: str, period: int, keys=()) -> DataFra
     phase = phase.withColumn("seasonal", F.col("_s") - mean).drop("_s")
     out = out.join(phase, [*keys, "_phase"]).drop("_phase")
     return out.withColumn("resid", F.col(col) - F.col("trend") - F.col("seasonal"))
+
+
+def trim(df: DataFrame, ts: str, first: int = 0, last: int = 0, keys=()) -> DataFrame:
+    """df without its first and last rows, so many, in the order of ts."""
+    from pyspark.sql import Window as W
+
+    up, down = W.partitionBy(*keys).orderBy(ts), W.partitionBy(*keys).orderBy(F.desc(ts))
+    return df.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down)).where((F.col("_up") > first) & (F.col("_down") > last)).drop("_up", "_down")
+
+
+def last_rows(df: DataFrame, ts: str, n: int, keys=()) -> DataFrame:
+    """The last n rows in the order of ts."""
+    from pyspark.sql import Window as W
+
+    return df.withColumn("_down", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts)))).where(F.col("_down") <= n).drop("_down")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourline.functions import clean
-from hourline.operators import reshape
+from hourline.operators import modelling, reshape
 from hourline.plans.registry import query, rounded
 from hourline.schema import order_columns
 from hourline.sources.readers import prefer_value
@@ -140,12 +140,40 @@ def column_preference(t):
     return rounded(prefer_value(x, ["user_id"], "v", "scaled", "load").where(F.trim("event_type") == "click").select("event_id", "load"), "load")
 
 
-@query("""WITH w AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, avg(CASE WHEN event_type = 'click' THEN value END) AS val, avg(CASE WHEN event_type = 'view' THEN value END) AS raw FROM events GROUP BY 1)
-SELECT ts, round(coalesce(val, raw), 4) AS weather FROM w WHERE coalesce(val, raw) IS NOT NULL""")
-def clean_modelling_table(t):
+_MODEL = """WITH w AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, sum(value) AS load, count(*) AS n, avg(CASE WHEN event_type = 'click' THEN value END) AS val, avg(CASE WHEN event_type = 'view' THEN value END) AS raw FROM events GROUP BY 1),
+x AS (SELECT ts, CASE WHEN hour(ts) % 7 <> 3 THEN load END AS load, CASE WHEN hour(ts) % 5 <> 0 THEN coalesce(val, raw) END AS weather, CASE WHEN hour(ts) = 6 THEN load / n END AS cbs_price FROM w),
+f AS (SELECT ts, load, last_value(weather IGNORE NULLS) OVER o AS weather, last_value(cbs_price IGNORE NULLS) OVER o AS cbs_price FROM x WINDOW o AS (ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT * FROM f WHERE load IS NOT NULL)"""
+
+
+def _model(t):
     of = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("value")))
-    w = t("events").groupBy(clean.hour_floor(F.col("ts")).alias("ts")).agg(of("click").alias("val"), of("view").alias("raw"))
-    return rounded(w.select("ts", F.coalesce("val", "raw").alias("weather")).dropna(subset=["weather"]), "weather")
+    w = t("events").groupBy(clean.hour_floor(F.col("ts")).alias("ts")).agg(F.sum("value").alias("load"), F.count("*").alias("n"), of("click").alias("val"), of("view").alias("raw"))
+    h = F.hour("ts")
+    known = h % 5 != 0
+    raw = w.select("ts", F.when(h % 7 != 3, F.col("load")).alias("load"), F.when(known, F.col("val")).alias("obs_val_temp"), F.when(known, F.col("raw")).alias("obs_temp"), F.when(h == 6, F.col("load") / F.col("n")).alias("cbs_price"), F.col("n").alias("ntl_mean"), F.col("n").alias("obs_station_count"), h.alias("hour"))
+    return modelling.modelling_table(raw, "ts", "load", {"weather": ("obs_val_temp", "obs_temp")}, ["cbs_price"])
+
+
+@query(_MODEL + " SELECT ts, round(load, 4) AS load, round(weather, 4) AS weather, round(cbs_price, 4) AS cbs_price, hour(ts)::INTEGER AS hour FROM m")
+def clean_modelling_table(t):
+    return rounded(_model(t), "load", "weather", "cbs_price")
+
+
+@query(_MODEL + " SELECT 'cbs_price' AS predictor, count(cbs_price) AS n, round(avg(cbs_price), 4) AS mean FROM m UNION ALL SELECT 'weather', count(weather), round(avg(weather), 4) FROM m")
+def predictor_summary(t):
+    m = _model(t)
+    long = m.unpivot(["ts"], modelling.predictors(m, "load", "ts"), "predictor", "v")
+    return rounded(long.groupBy("predictor").agg(F.count("v").alias("n"), F.avg("v").alias("mean")), "mean")
+
+
+@query("""WITH l AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y') || ' ' || quarter(o_orderdate) || 'th quarter*' ELSE strftime(o_orderdate, '%Y %B') END AS label, o_orderdate FROM orders)
+SELECT o_orderkey, label, make_date(year(o_orderdate)::INTEGER, month(o_orderdate)::INTEGER, 1) AS month FROM l WHERE o_orderkey % 4 > 1""")
+def monthly_rows_only(t):
+    d = F.col("o_orderdate")
+    label = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(d, "yyyy")).when(F.col("o_orderkey") % 4 == 1, F.concat(F.date_format(d, "yyyy "), F.quarter(d).cast("string"), F.lit("th quarter*"))).otherwise(F.date_format(d, "yyyy MMMM"))
+    rows = t("orders").select("o_orderkey", label.alias("label"), clean.first_of_month(F.year(d), F.month(d)).alias("month"))
+    return rows.where(clean.granularity(F.col("label")) == "month")
 
 
 @query("SELECT c_custkey, c_acctbal, c_mktsegment, c_name FROM customer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourline.functions import clean
-from hourline.operators import aggregate, align, quality, reshape, spatial
+from hourline.operators import aggregate, align, quality, reports, reshape, spatial
 from hourline.plans.registry import DAILY, FULL_HOURLY, HOURLY, PIXELS, daily, hourly, pixels, query, rounded
 from hourline.schema import with_missing_columns
 
@@ -25,19 +25,17 @@ def daily_quality_agg_all(t):
     return rounded(aggregate.daily_quality_agg(pixels(t("lineitem")), "day", "value", "quality", "fill", selective=False), "mean", nudge=1e-9).withColumn("sum", F.round("sum", 4))
 
 
-@query(f"{_SELECTIVE}, n AS (SELECT *, valid_count + fill_count + invalid_count AS total FROM a) SELECT min(total) AS total_min, max(total) AS total_max, round(avg(total), 4) AS total_mean, round(avg(valid_count / nullif(total, 0)), 4) AS valid_mean, round(min(valid_count / nullif(total, 0)), 4) AS valid_min, round(avg(invalid_count / nullif(total, 0)), 4) AS imputed_mean, round(max(invalid_count / nullif(total, 0)), 4) AS imputed_max FROM n")
+@query(f"{_SELECTIVE}, n AS (SELECT *, valid_count + fill_count + invalid_count AS total FROM a) SELECT min(total) AS total_min, max(total) AS total_max, round(avg(total), 4) AS total_mean, round(avg(valid_count / nullif(total, 0)), 4) AS valid_mean, round(min(valid_count / nullif(total, 0)), 4) AS valid_min, round(avg(invalid_count / nullif(valid_count + invalid_count, 0)), 4) AS imputed_mean, round(max(invalid_count / nullif(valid_count + invalid_count, 0)), 4) AS imputed_max FROM n")
 def pixel_composition(t):
     a = aggregate.daily_quality_agg(pixels(t("lineitem")), "day", "value", "quality", "fill").withColumn("total", F.expr("valid_count + fill_count + invalid_count"))
-    v, i = clean.safe_div(F.col("valid_count"), F.col("total")), clean.safe_div(F.col("invalid_count"), F.col("total"))
+    v, i = clean.safe_div(F.col("valid_count"), F.col("total")), clean.safe_div(F.col("invalid_count"), F.expr("valid_count + invalid_count"))
     return rounded(a.agg(F.min("total").alias("total_min"), F.max("total").alias("total_max"), F.avg("total").alias("total_mean"), F.avg(v).alias("valid_mean"), F.min(v).alias("valid_min"), F.avg(i).alias("imputed_mean"), F.max(i).alias("imputed_max")), "total_mean", "valid_mean", "valid_min", "imputed_mean", "imputed_max")
 
 
-@query(f"{_SELECTIVE} SELECT a.day, (valid_count + fill_count + invalid_count)::BIGINT AS seen, n AS there FROM a JOIN (SELECT day, count(*) AS n FROM p GROUP BY day) c USING (day) WHERE valid_count + fill_count + invalid_count = n")
+@query(f"{_SELECTIVE} SELECT day, (valid_count + fill_count + invalid_count)::BIGINT AS seen, (valid_count + fill_count + invalid_count - 25)::BIGINT AS off FROM a WHERE valid_count + fill_count + invalid_count <> 25")
 def pixel_invariant(t):
-    p = pixels(t("lineitem"))
-    a = aggregate.daily_quality_agg(p, "day", "value", "quality", "fill")
-    both = a.join(p.groupBy("day").agg(F.count("*").alias("there")), "day")
-    return both.select("day", F.expr("valid_count + fill_count + invalid_count").cast("long").alias("seen"), "there").where("seen = there")
+    a = aggregate.daily_quality_agg(pixels(t("lineitem")), "day", "value", "quality", "fill")
+    return reports.violations(a, "day", ["valid_count", "fill_count", "invalid_count"], 25)
 
 
 @query(f"{_SELECTIVE} SELECT month(day)::INTEGER AS month, round(avg(100.0 * valid_count / nullif(valid_count + fill_count + invalid_count, 0)), 4) AS valid_pct, round(avg(100.0 * invalid_count / nullif(valid_count + fill_count + invalid_count, 0)), 4) AS imputed_pct FROM a GROUP BY 1")
@@ -169,10 +167,21 @@ def distinct_keys(t):
     return t("lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
 
 
-@query("SELECT count(*) AS days, min(day) AS first_day, max(day) AS last_day, (SELECT count(*) FROM nation) AS nations FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) d")
+@query("SELECT 1::BIGINT AS files, count(*) AS rows, count(*) AS least_rows, count(*) AS most_rows, min(l_suppkey) AS l_suppkey_min, max(l_suppkey) AS l_suppkey_max, min(l_partkey) AS l_partkey_min, max(l_partkey) AS l_partkey_max, round(100.0 * count(CASE WHEN l_extendedprice IS NULL THEN 1 END) / count(*), 2) AS null_pct FROM lineitem")
 def ingest_report(t):
-    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct().agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    return days.crossJoin(t("nation").agg(F.count("*").alias("nations")))
+    return reports.ingest_report(t("lineitem"), ["l_suppkey", "l_partkey"], "l_extendedprice")
+
+
+@query("SELECT count(*) AS row_count, 5 AS column_count, min(ts) AS first_time, max(ts) AS last_time FROM events")
+def table_profile(t):
+    return reports.table_profile(t("events").select("event_id", "ts", "user_id", "event_type", "value"), ("timestamp", "ts"), files=False)
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS t, generate_subscripts(embedding, 1)::INTEGER - 1 AS station FROM embeddings)
+SELECT vec_id AS hour, station, round(CASE WHEN isnan(t) THEN NULL ELSE t END, 5) + 0.0 AS temp, NULL::DOUBLE AS wind FROM e""")
+def station_grid(t):
+    rows = reshape.grid_to_rows(t("embeddings").withColumnRenamed("vec_id", "hour"), ["hour"], {"temp": "embedding", "wind": "no_such"})
+    return rounded(rows, "temp", digits=5).withColumn("temp", F.col("temp") + F.lit(0.0))  # no negative zeros
 
 
 @query(f"WITH {HOURLY} SELECT year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, round(avg(load), 4) AS mean, count(*) AS n FROM h GROUP BY 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourline.functions import clean
-from hourline.operators import aggregate, quality, reshape, stats, windows
+from hourline.operators import aggregate, quality, reports, reshape, stats, windows
 from hourline.plans.registry import DAILY, FULL_HOURLY, HOURLY, daily, hourly, query, rounded
 
 
@@ -60,29 +60,39 @@ def gap_report(t):
     return quality.gap_report(hourly(t("events")), "ts", "hour", 5)
 
 
-@query(f"WITH {HOURLY} SELECT year(ts)::INTEGER AS year, count(*) AS hours, round(min(load), 4) AS low, round(max(load), 4) AS high, round(avg(load), 4) AS mean FROM h GROUP BY 1")
+@query(f"WITH {HOURLY} SELECT year(ts)::INTEGER AS year, count(*) AS hours, round(min(load), 4) AS low, round(max(load), 4) AS high, round(avg(load), 4) AS mean, round(stddev_samp(load), 4) AS std, CASE WHEN year(ts) % 4 = 0 AND (year(ts) % 100 <> 0 OR year(ts) % 400 = 0) THEN 8784 ELSE 8760 END::BIGINT AS expected, round(100.0 * count(*) / CASE WHEN year(ts) % 4 = 0 AND (year(ts) % 100 <> 0 OR year(ts) % 400 = 0) THEN 8784 ELSE 8760 END, 2) AS pct FROM h GROUP BY year(ts)")
 def load_report(t):
-    out = hourly(t("events")).groupBy(F.year("ts").alias("year")).agg(F.count("*").alias("hours"), F.min("load").alias("low"), F.max("load").alias("high"), F.avg("load").alias("mean"))
-    return rounded(out, "low", "high", "mean")
+    return rounded(reports.load_report(hourly(t("events")), "ts", "load"), "low", "high", "mean", "std")
 
 
-@query("SELECT event_type AS variable, round(100.0 * count(CASE WHEN value <= 5 THEN 1 END) / count(*), 2) AS null_pct, round(avg(CASE WHEN value > 5 THEN value END), 4) AS mean, count(DISTINCT date_trunc('hour', ts)) AS hours FROM events GROUP BY 1")
+@query("WITH e AS (SELECT event_type AS variable, date_trunc('hour', ts) AS h, CASE WHEN value > 5 THEN value END AS v FROM events) SELECT variable, round(100.0 * count(CASE WHEN v IS NULL THEN 1 END) / count(*), 2) AS null_pct, count(DISTINCT h) AS hours, round(min(v), 4) AS low, round(max(v), 4) AS high, round(avg(v), 4) AS mean, date_diff('hour', min(h), max(h)) + 1 AS expected, round(100.0 * count(DISTINCT h) / (date_diff('hour', min(h), max(h)) + 1), 2) AS pct FROM e GROUP BY 1")
 def weather_report(t):
-    v = F.when(F.col("value") > 5, F.col("value"))
-    out = t("events").groupBy(F.col("event_type").alias("variable")).agg(F.round(100 * F.count_if(v.isNull()) / F.count("*"), 2).alias("null_pct"), F.avg(v).alias("mean"), F.count_distinct(F.date_trunc("hour", "ts")).alias("hours"))
-    return rounded(out, "mean")
+    e = t("events").withColumn("v", F.when(F.col("value") > 5, F.col("value")))
+    return rounded(reports.variable_report(e, "ts", "event_type", "v"), "low", "high", "mean")
 
 
-@query("SELECT min(year(o_orderdate))::INTEGER AS first_year, max(year(o_orderdate))::INTEGER AS last_year, count(DISTINCT year(o_orderdate) * 12 + month(o_orderdate)) AS months FROM orders")
+@query("WITH m AS (SELECT year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m FROM orders WHERE year(o_orderdate) % 3 <> 1) SELECT min(y) AS first_year, max(y) AS last_year, count(DISTINCT y * 12 + m) AS months, coalesce((SELECT string_agg(x::VARCHAR, ',' ORDER BY x) FROM (SELECT unnest(range((SELECT min(y) FROM m), (SELECT max(y) FROM m) + 1)) AS x) r WHERE x NOT IN (SELECT y FROM m)), '') AS missing FROM m")
 def monthly_report(t):
-    return t("orders").agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"), F.count_distinct(F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("months"))
+    m = t("orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).where("y % 3 <> 1")
+    return reports.monthly_report(m, "y", "m")
 
 
-@query(f"WITH {HOURLY}, {_GRID}, j AS (SELECT g.ts, load FROM g LEFT JOIN h USING (ts)) SELECT count(*) AS rows, count(load) AS present, round(100.0 * count(load) / count(*), 2) AS pct, round(avg(load), 4) AS mean, round(stddev_samp(load), 4) AS std FROM j")
+@query(f"WITH {HOURLY}, {_GRID}, j AS (SELECT load, CASE WHEN hour(g.ts) < 12 THEN load END AS morning FROM g LEFT JOIN h USING (ts)), u AS (SELECT 'load' AS col, load AS v FROM j UNION ALL SELECT 'morning', morning FROM j) SELECT col AS column, count(*) AS rows, count(v) AS present, round(100.0 * count(v) / count(*), 2) AS pct, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, CASE WHEN 100.0 * count(v) / count(*) < 85 THEN 'warning' ELSE 'ok' END AS status FROM u GROUP BY 1")
 def coverage_report(t):
-    df = windows.regularise(hourly(t("events")), "ts", "hour")
-    out = df.agg(F.count("*").alias("rows"), F.count("load").alias("present"), F.round(100 * F.count("load") / F.count("*"), 2).alias("pct"), F.avg("load").alias("mean"), F.stddev_samp("load").alias("std"))
-    return rounded(out, "mean", "std")
+    df = windows.regularise(hourly(t("events")), "ts", "hour").withColumn("morning", F.when(F.hour("ts") < 12, F.col("load")))
+    return rounded(reports.coverage_report(df, ["load", "morning"]), "mean", "std")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= (SELECT count(*) / 5 FROM events) AND count(*) >= 100")
+def row_count_guard(t):
+    least = F.lit(5)
+    e = reports.enough(t("events"), ["event_type"], 100).groupBy("event_type").agg(F.count("*").alias("n"))
+    return e.crossJoin(t("events").agg(F.count("*").alias("all"))).where(F.col("n") >= F.col("all") / least).select("event_type", "n")
+
+
+@query(f"WITH {FULL_HOURLY} SELECT ts, round(load, 4) AS load FROM h ORDER BY ts DESC LIMIT 48")
+def last_rows(t):
+    return rounded(windows.last_rows(hourly(t("events"), gaps=False), "ts", 48), "load")
 
 
 @query()

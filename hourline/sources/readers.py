@@ -68,3 +68,42 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
     return spark.read.parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def discover(spark: SparkSession, patterns: list[str], exclude: str | None = None) -> list[str]:
+    """Paths of the first of the patterns that finds any file whose name doesn't hold exclude; listed by Hadoop, so any store will do."""
+    for pattern in patterns:
+        glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+        paths = sorted(str(f.getPath().toString()) for f in found if exclude is None or exclude not in f.getPath().getName())
+        if paths:
+            return paths
+    return []
+
+
+def header_offset(spark: SparkSession, path: str, wanted: tuple[str, ...], sep: str = ";", most: int = 4) -> int | None:
+    """How many lines stand above the header of a delimited file: the first of lines 0 to most that has all wanted names; None if none has."""
+    for i, row in enumerate(spark.read.text(path).limit(most + 1).collect()):
+        if set(wanted) <= {x.strip().strip('"') for x in row["value"].lstrip("\ufeff").split(sep)}:
+            return i
+    return None
+
+
+def read_below_header(spark: SparkSession, path: str, wanted: tuple[str, ...], sep: str = ";", most: int = 4) -> DataFrame | None:
+    """The table below the header that is found by its names; columns are strings. None without a header."""
+    at = header_offset(spark, path, wanted, sep, most)
+    if at is None:
+        return None
+    head = spark.read.text(path).limit(at + 1).collect()[at]["value"].lstrip("\ufeff")
+    names = [x.strip().strip('"') for x in head.split(sep)]
+    lines = [r["value"] for r in spark.read.text(path).limit(at + 1).collect()]
+    df = spark.read.csv(path, sep=sep, schema=", ".join(f"`{c}` string" for c in names))
+    skip = [x.lstrip("\ufeff").split(sep)[0].strip().strip('"') for x in lines]
+    return df.where(F.col(f"`{names[0]}`").isNull() | ~F.regexp_replace(F.trim(f"`{names[0]}`"), "^\ufeff", "").isin(skip))
+
+
+def read_long_load(df: DataFrame, value: str = "Value", scaled: str = "Value_ScaleTo100", country: str | None = None) -> DataFrame:
+    """timestamp_utc and load of a long table (CountryCode, DateUTC, value, scaled): value where the table has any, else scaled."""
+    rows = df if country is None else df.where(F.trim("CountryCode") == country)
+    cast = rows.select(F.lit(1).alias("k"), F.to_timestamp("DateUTC").alias("timestamp_utc"), *[F.expr(f"try_cast(`{c}` as double)").alias(n) if c in df.columns else F.lit(None).cast("double").alias(n) for c, n in ((value, "v"), (scaled, "s"))])
+    return prefer_value(cast, ["k"], "v", "s", "load").select("timestamp_utc", "load")
