@@ -30,7 +30,7 @@ from hourline.llm.graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
-BINS, TILE = 256, 512
+BINS, TILE = 256, 256
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -121,7 +121,7 @@ def crossing(open_: DataFrame, owned: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, owned: DataFrame) -> DataFrame:
     """The pairs u, v whose sets (node, set) have the similarity."""
-    both = pairs.join(owned.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
+    both = pairs.hint("shuffle_hash").join(owned.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
     both = both.join(owned.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("c"), (F.size("a") + F.size("b")).alias("n"))
     return common.where(F.col("c") >= F.lit(SIMILARITY) * (F.col("n") - F.col("c"))).select("u", "v")
@@ -147,7 +147,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     equal = nodes.join(same, "fp").where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v"))
     tried = written(stars.unionByName(simhash.links(same)).unionByName(equal).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     needed = tried.select(F.col("u").alias("id")).union(tried.select("v")).union(buckets.select("node")).distinct()
-    owned = written(sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(needed, "id", "left_semi")).withColumnRenamed("id", "node"))
+    owned = written(sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(needed, "id", "left_semi")).withColumnRenamed("id", "node"), bucket="node")  # sets are dealt out once
     linked = written(verified(tried, owned))
     found = components(linked)
     placed = buckets.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
