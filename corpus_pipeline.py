@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id (null last) of each component of near copies (Jaccard of five-word shingles 0.8 or more)."""
     row = fresh(docs, "row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), bucket=row)
     found = nearcopies.near_copies(rows, row)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(row))
     ranked = rows.select(F.col(row).alias("id"), order.alias("order")).join(found, "id")
