@@ -1,12 +1,13 @@
 """URL filters: host and path rules, and for the rest a logistic regression on hashed character n-grams.
 
-The model is Spark ML's, fitted on a small labelled URL table (``LABELLED`` unless given); its features are the 3- and
-4-grams of ``^host$`` and of the path, hashed. All stays in the JVM.
+The model is Spark ML's, fitted on a small labelled URL table (``labelled_urls()`` unless given); its features are the 3-
+and 4-grams of ``^host$`` and of the path, hashed. All stays in the JVM.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: then up to ``?``, ``#`` or the
 end. A null url or one without ``://`` has both empty and is judged by the model like any other. A rule fits its host
 and all subdomains if the path starts with the rule's path; the longest rule wins, of equal ones the first given.
-Repeated rows are judged each. Columns other than the named are dropped.
+Repeated rows are judged each, urls are read whole at any length, an empty table gives an empty one. Columns other than the
+named are dropped.
 """
 
 from __future__ import annotations
@@ -20,12 +21,35 @@ from hourline.llm.common import local_table, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: The labelled table: hosts that sell, gamble or lure, against hosts that inform; each with every path of its class.
-BLOCKED_HOSTS = ("casino-royal-bonus.example.biz", "hot-singles-now.example.info", "cheap-pills-4u.example.top", "win-free-spins.example.xyz", "xxx-video-tube.example.site", "crypto-doubler.example.click", "click-track-ads.example.biz", "warez-crack-keys.example.info")
-BLOCKED_PATHS = ("/win/free-bonus-777", "/xxx/live-cams", "/buy-cheap-pills-online", "/track/click/ad?aff=1", "/crack/keygen-download")
-ALLOWED_HOSTS = ("www.city-library.example.org", "news.example.com", "blog.garden.example.net", "docs.compiler.example.org", "m.weather.example.com", "museum.example.edu", "recipes.example.net", "university.example.edu")
-ALLOWED_PATHS = ("/en/12", "/de/article/345", "/fr/history/of-bridges", "/es/7", "/")
-LABELLED = tuple([(f"https://{h}{p}", 1.0) for h in BLOCKED_HOSTS for p in BLOCKED_PATHS] + [(f"https://{h}{p}", 0.0) for h in ALLOWED_HOSTS for p in ALLOWED_PATHS])
+#: The words of unwanted hosts by theme, the words of hosts that inform, syllables of made-up names, and paths of any host.
+UNWANTED = (
+    ("casino", "poker", "slots", "bets", "jackpot", "bonus", "win", "free"),
+    ("pills", "pharma", "viagra", "meds", "cheap", "discount"),
+    ("adult", "xxx", "porn", "cams", "singles", "hot"),
+    ("ads", "track", "click", "banner", "popup", "affiliate"),
+    ("spam", "farm", "prize", "lottery", "links", "traffic"),
+    ("warez", "crack", "keygen", "torrent", "serial", "nulled"),
+)
+INFORMING = ("city", "library", "garden", "weather", "museum", "recipes", "history", "school", "harbour", "railway", "forest", "science", "music", "poetry", "compiler", "market", "health", "travel")
+SYLLABLES = ("ka", "lor", "ment", "vi", "est", "oun", "ber", "han", "tion", "ing", "sol", "dre", "whe", "ter")
+PATHS = ("/", "/en/12", "/de/article/345", "/fr/history", "/es/7.html", "/news/2024/03/", "/about", "/item/88")
+UNWANTED_PATHS = ("/win/free-bonus-777", "/xxx/live-cams", "/buy-cheap-pills-online", "/track/click/ad", "/crack/keygen-download", "/casino/free-spins")
+_SUBDOMAINS, _DOMAINS = ("", "www.", "blog.", "m.", "news."), ("example.com", "example.net", "example.org", "example.biz", "example.info")
+
+
+def labelled_urls() -> list[tuple[str, float]]:
+    """The small labelled table: (url, 1 if unwanted).
+
+    Hosts join two words of one theme (unwanted) or two informing words or three syllables (wanted). Subdomains, domains
+    and paths are dealt to both classes alike, so that they tell nothing; unwanted paths occur on wanted hosts too.
+    """
+    bad = [f"{a}{'-' if i % 3 else ''}{b}" for theme in UNWANTED for i, (a, b) in enumerate((a, b) for a in theme for b in theme if a != b)]
+    good = [f"{a}{'-' if i % 3 else ''}{b}" for i, (a, b) in enumerate((a, b) for a in INFORMING for b in INFORMING if a != b)]
+    good += [a + b + c for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in SYLLABLES[(i + j) % 3 :: 5]]
+    hosts = [(h, 1.0) for h in bad] + [(h, 0.0) for h in good]
+    urls = [(f"https://{_SUBDOMAINS[i % 5]}{h}.{_DOMAINS[i // 5 % 5]}{PATHS[i * 7 % 8]}", label) for i, (h, label) in enumerate(hosts)]
+    return urls + [(f"https://{_SUBDOMAINS[i % 5]}{h}.{_DOMAINS[i // 5 % 5]}{UNWANTED_PATHS[i % 6]}", 1.0) for i, h in enumerate(good[::17])]
+
 
 DIM = 1 << 14
 
@@ -38,19 +62,26 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def grams(text: Column, mark: str, sizes: tuple[int, ...] = (3, 4)) -> Column:
-    """The character n-grams of a string, each with a mark in front."""
-    def of(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-        return F.transform(at, lambda i: F.concat(F.lit(mark), F.substring(text, i, n)))
+def grams(text: Column, mark: str, sizes: tuple[int, ...] = (3, 4), piece: int = 256) -> Column:
+    """The character n-grams of a string, each with a mark in front.
+
+    Taken from overlapping pieces, since a substring is found by walking there from the start of its string.
+    """
+    def of(s: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
+        return F.transform(at, lambda i: F.concat(F.lit(mark), F.substring(s, i, n)))
+
+    def all_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)), F.lit(piece))
+        return F.flatten(F.transform(starts, lambda i: of(F.substring(text, i, piece + n - 1), n)))
 
-    return F.concat(*[of(n) for n in sizes])
+    return F.concat(*[all_of(n) for n in sizes])
 
 
 def rule_of(host_col: Column, path_col: Column, rules) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; nulls if none does."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for said, rule in sorted(rules, key=lambda r: len(r[1])):
+    for said, rule in sorted(reversed(rules), key=lambda r: len(r[1])):
         at, _, rest = rule.partition("/")
         fits = ((host_col == at) | host_col.endswith(f".{at}")) & path_col.startswith(f"/{rest}")
         name, verdict = F.when(fits, F.lit(rule)).otherwise(name), F.when(fits, F.lit(said)).otherwise(verdict)
@@ -65,7 +96,7 @@ def _featured(urls: DataFrame, dim: int) -> DataFrame:
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, dim: int = DIM, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and p_block of every row; labelled: url, label (1 is block)."""
     spark = pages.sparkSession
-    labelled = labelled or local_table(spark, LABELLED, "url string, label double")
+    labelled = labelled or local_table(spark, labelled_urls(), "url string, label double")
     known = labelled.select("label", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     model = LogisticRegression(regParam=0.01, maxIter=60, probabilityCol="p", predictionCol="block").fit(_featured(known, dim).coalesce(1))
     model.setThreshold(threshold)
