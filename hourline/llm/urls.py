@@ -17,7 +17,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.common import local_table, table
+from hourline.llm.common import let, local_table, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -73,7 +73,7 @@ def grams(text: Column, mark: str, sizes: tuple[int, ...] = (3, 4), piece: int =
 
     def all_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)), F.lit(piece))
-        return F.flatten(F.transform(starts, lambda i: of(F.substring(text, i, piece + n - 1), n)))
+        return F.flatten(F.transform(F.transform(starts, lambda i: F.substring(text, i, piece + n - 1)), lambda s: of(s, n)))
 
     return F.concat(*[all_of(n) for n in sizes])
 
@@ -89,7 +89,7 @@ def rule_of(host_col: Column, path_col: Column, rules) -> tuple[Column, Column]:
 
 
 def _featured(urls: DataFrame, dim: int) -> DataFrame:
-    marked = urls.withColumn("tokens", F.concat(grams(F.concat(F.lit("^"), F.col("host"), F.lit("$")), "h"), grams(F.col("path"), "p")))
+    marked = urls.withColumn("tokens", F.concat(let(F.concat(F.lit("^"), F.col("host"), F.lit("$")), lambda h: grams(h, "h")), let(F.col("path"), lambda p: grams(p, "p"))))
     return HashingTF(inputCol="tokens", outputCol="features", numFeatures=dim).transform(marked).drop("tokens")
 
 
