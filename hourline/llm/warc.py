@@ -1,8 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards by ranges of page_id that hold about ``shard_bytes`` of payload each (cut along the sums of
-up to ``BINS`` equal slices of the id range, so that they depend on the rows only), sorted by id and digest inside a
-shard and written as one gzip member each; a file is rolled once it reaches ``roll_bytes`` compressed. Headers, record
+Keys (page_id, digest, hash of the url) are counted, range-sorted, and summed up: a record's shard is the place of its
+payload and header bytes in the whole order, divided by ``shard_bytes`` (or a share of all bytes, once that would make
+more than ``MOST_SHARDS`` shards). So shards depend on the rows only, hold about the same bytes whatever the ids are, and
+each is one task. Equal rows are counted, not moved: a group of them that lies in several shards is sent to each once,
+with its share of the count. Inside a shard records are sorted by key and written as one gzip member each; a file is
+rolled once it reaches ``roll_bytes`` compressed. Headers, record
 ids and digests are made anew from the rows. A task writes under a temporary name of its own and renames finished files
 to names that depend on shard and number alone, so an attempt that is repeated writes the same bytes to the same name.
 What counts is the manifest, a Parquet table written last; the reader reads the files that it lists and checks records,
@@ -11,7 +14,8 @@ digests and lengths against it.
 Payload: the html in UTF-8; null is empty. Of equal payloads of at least ``least`` bytes the one with the largest page_id
 is a response and the others are revisits that refer to it; repeated rows of that page_id and payload are all responses.
 Rows with a null page_id stand last, never are referred to, and revisit where an equal payload has an id. A null url has
-no target field. Columns other than the named are dropped.
+no target field. Payloads are read whole at any length, an empty table gives an empty manifest, columns other than the
+named are dropped.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourline.llm.common import local_table, shared_dir, table
+from hourline.llm.common import forget, local_table, shared_dir, table, written
 
-BINS, SHARD_BYTES, ROLL_BYTES, LEAST = 4096, 32 << 20, 8 << 20, 1000
+MOST_SHARDS, SHARD_BYTES, ROLL_BYTES, LEAST = 1 << 16, 32 << 20, 8 << 20, 1000
+RECORD = 400  # bytes of headers, about
 _SPACE = uuid.UUID("5e6f1b0e-7c0f-5d0b-9c59-3c0a4f0d8a11")
 _MANIFEST = "shard int, file string, records long, bytes long, sha1 string"
 
@@ -87,23 +93,61 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    keys = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
-    low, high = keys.agg(F.min("page_id"), F.max("page_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    slice_ = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)), F.lit(BINS)).cast("int")
-    shards, shard, held = [], 0, 0
-    for b in keys.groupBy(slice_.alias("slice")).agg(F.sum(F.col("n") + 400).alias("n")).orderBy("slice").collect():  # BINS + 1 rows at most
-        if held and held + b["n"] > shard_bytes:
-            shard, held = shard + 1, 0
-        held += b["n"]
-        shards.append((b["slice"], shard))
-    of = F.broadcast(local_table(spark, shards or [(0, 0)], "slice int, shard int"))
-    large = keys.where(F.col("n") >= least)
-    best = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null").drop("copies")
-    again = large.join(best, "digest").where("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
-    both = again.withColumn("kind", F.lit(0)).unionByName(rows.withColumn("digest", F.sha1("payload")).withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    dealt = both.withColumn("slice", slice_).join(of, "slice").drop("slice").repartition(max(shard + 1, 1), "shard")
-    dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
+    u = F.xxhash64("url")
+    keys = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("n"), u.alias("u"))
+    kept = keys.groupBy("page_id", "digest", "u").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    kept = kept.select((F.col("page_id").isNull()).alias("last"), "page_id", "digest", "u", "copies", "n", (F.col("n") + RECORD).alias("each"))
+    order = ["last", "page_id", "digest", "u"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(kept.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    before, sums = 0, []
+    for r in ranged.groupBy("range").agg(F.sum(F.col("copies") * F.col("each")).alias("n")).orderBy("range").collect():  # a row a range
+        sums.append((r["range"], before))
+        before += r["n"]
+    size = max(shard_bytes, -(-before // MOST_SHARDS))
+    held = F.sum(F.col("copies") * F.col("each")).over(W.partitionBy("range").orderBy(*order)) - F.col("copies") * F.col("each")
+    sums = F.broadcast(local_table(spark, sums or [(0, 0)], "range int, before long"))
+    placed = ranged.join(sums, "range").withColumn("start", F.col("before") + held).withColumn("shard", F.floor(F.col("start") / F.lit(size)).cast("int"))
+    final = F.floor((F.col("start") + (F.col("copies") - 1) * F.col("each")) / F.lit(size)).cast("int")
+    placed = written(placed.withColumn("final", final).drop("range", "before"))
+    forget(ranged)
+    # a cut a shard and a row a group of equal rows that lies in several: MOST_SHARDS of each at most
+    cuts = [(r["k"]["last"], r["k"]["page_id"] or 0, r["k"]["digest"], r["k"]["u"], r["shard"]) for r in placed.groupBy("shard").agg(F.min(F.struct(*order)).alias("k")).collect()]
+    wide = [r for r in placed.where("final > shard").collect()]
+    known = spark.sparkContext.broadcast((sorted(cuts), {(r["page_id"], r["digest"], r["u"]) for r in wide}))
+    shards = before // size + 1
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series, digest: pd.Series, u: pd.Series) -> pd.Series:
+        """The shard of a row; -1 for rows of a group that lies in several."""
+        from bisect import bisect_right
+
+        cuts, wide = known.value
+        out = []
+        for i, d, h in zip(page_id.astype(object), digest, u):
+            i = None if pd.isna(i) else int(i)
+            out.append(-1 if (i, d, h) in wide else cuts[bisect_right(cuts, (i is None, i or 0, d, h, MOST_SHARDS + 1)) - 1][4])
+        return pd.Series(out, dtype="int32")
+
+    large = placed.where(F.col("n") >= least)
+    best = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.sum("copies").alias("rows")).where("rows > 1 and refers_to is not null").drop("rows")
+    again = large.join(best, "digest").where("page_id is null or page_id < refers_to")
+    again = again.select("page_id", "digest", "u", "refers_to", F.explode(F.sequence("shard", "final")).alias("shard"), F.lit(0).alias("kind"))
+    named = rows.withColumn("digest", F.sha1("payload")).withColumn("u", u).withColumn("kind", F.lit(1)).withColumn("times", F.lit(1).cast("long"))
+    # ids beyond 2 ** 53 would lose digits as the floats that nullable integers become in pandas
+    named = named.withColumn("shard", shard_of(F.col("page_id").cast("string"), "digest", "u"))
+    dealt = named.where("shard >= 0")
+    if wide:
+        spans = []
+        for r in wide:
+            ends = [min(r["copies"], -(-((s + 1) * size - r["start"]) // r["each"])) for s in range(r["shard"], r["final"] + 1)]
+            spans += [(r["page_id"], r["digest"], r["u"], s, n - m) for s, n, m in zip(range(r["shard"], r["final"] + 1), ends, [0] + ends)]
+        spans = F.broadcast(local_table(spark, [s for s in spans if s[4]], "w_id long, w_digest string, w_u long, w_shard int, w_times long"))
+        one = named.where("shard < 0").groupBy("page_id", "digest", "u").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.first("kind").alias("kind"))
+        one = one.join(spans, F.col("page_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")) & (F.col("u") == F.col("w_u")))
+        dealt = dealt.unionByName(one.withColumnsRenamed({"w_shard": "shard", "w_times": "times"}).select(*dealt.columns))
+    dealt = dealt.unionByName(again, allowMissingColumns=True).repartitionById(int(shards), "shard")
+    dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "u", "kind", "url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileSystem
@@ -113,7 +157,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         fs.create_dir(temp, recursive=True)
         out, ref, done = None, None, []
         for b in batches:
-            for page_id, digest, refers, kind, url, payload, at in zip(b["page_id"].astype(object), b["digest"], b["refers_to"], b["kind"], b["url"], b["payload"], b["shard"]):
+            for page_id, digest, refers, kind, url, payload, at, times in zip(b["page_id"].astype(object), b["digest"], b["refers_to"], b["kind"], b["url"], b["payload"], b["shard"], b["times"]):
                 page_id = None if pd.isna(page_id) else int(page_id)
                 if not kind:
                     ref = (page_id, digest, int(refers))
@@ -124,14 +168,18 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                         done += out.done
                     out = _Roller(fs, root, temp, int(at), roll_bytes)
                 to = ref[2] if ref is not None and ref[:2] == (page_id, digest) else None
-                out.add(_member(record(page_id, url, bytes(payload), digest, to, date), level))
+                member = _member(record(page_id, url, bytes(payload), digest, to, date), level)
+                for _ in range(int(times)):
+                    out.add(member)
         if out is not None:
             out.close()
             done += out.done
         fs.delete_dir(temp)
         yield pd.DataFrame(done, columns=["shard", "file", "records", "bytes", "sha1"])
 
-    dealt.select("page_id", "digest", "refers_to", "kind", "url", "payload", "shard").mapInPandas(run, _MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
+    dealt = dealt.select(F.col("page_id").cast("string"), "digest", F.col("refers_to").cast("string"), "kind", "url", "payload", "shard", "times")
+    dealt.mapInPandas(run, _MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
+    forget(placed)
     return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
 
 
@@ -193,8 +241,8 @@ def read(manifest: DataFrame, path: str, payloads: bool = True) -> DataFrame:
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    # nulls would make floats of ids, which lose digits beyond 2 ** 53
+    return pd.DataFrame({k: pd.array([r[k] for r in rows], dtype="Int64") if k in ("page_id", "refers_to") else [r[k] for r in rows] for k in names})
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

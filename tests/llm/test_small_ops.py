@@ -107,6 +107,17 @@ def test_warc(spark, tmp_path):
     by = {(r.page_id, r.record_type, r.refers_to) for r in back if r.page_id is None or r.page_id < 20}
     assert by == {(1, "revisit", 7), (3, "revisit", 7), (7, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (None, "revisit", 7)}
     assert all(r.payload_digest == hashlib.sha1(big.encode()).hexdigest() and r.payload_bytes == 1200 for r in back if r.page_id in (1, 3, 7))
+    skew = [(10**15, "far", "z" * 2000)] + [(5, "same", "s" * 1500)] * 120 + [(None, f"n{i}", "q" * 900 + str(i)) for i in range(60)] + [(i, "u", "y" * 700_000 if i == 20 else "w" * 800 + str(i)) for i in range(100)] + [((1 << 62) + 1, "u", "tiny")]
+    skewed = spark.createDataFrame(skew, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("shard", F.lit("x"))
+    sums = []
+    for k in "de":
+        manifest = warc.write(skewed.repartition(5 if k == "d" else 2), f"file://{tmp_path}/{k}", shard_bytes=20_000)
+        sums.append(sorted((r.file, r.sha1, r.records) for r in manifest.collect()))
+        back = warc.read(manifest, f"file://{tmp_path}/{k}").collect()
+        assert sorted((str(r.page_id), r.url) for r in back) == sorted((str(i), u) for i, u, _ in skew)
+        held = {r["shard"]: r["n"] for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()}
+        assert len(held) >= 20 and max(held.values()) <= 20_000 // 400
+    assert sums[0] == sums[1]
     empty = warc.write(df.limit(0), f"file://{tmp_path}/c")
     assert warc.read(empty, f"file://{tmp_path}/c").count() == 0
 
