@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from hourline.llm.common import forget, local_table, shared_dir, table, written
 
 MOST_SHARDS, SHARD_BYTES, ROLL_BYTES, LEAST = 1 << 16, 32 << 20, 8 << 20, 1000
+READERS = 1 << 14
 RECORD = 400  # bytes of headers, about
 _SPACE = uuid.UUID("5e6f1b0e-7c0f-5d0b-9c59-3c0a4f0d8a11")
 _MANIFEST = "shard int, file string, records long, bytes long, sha1 string"
@@ -237,7 +238,8 @@ def read(manifest: DataFrame, path: str, payloads: bool = True) -> DataFrame:
                     yield _frame(rows, names)
 
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return manifest.repartition("file").mapInPandas(run, kinds)
+    # a stated number, or the small manifest would be read by one task; about a file a task, several beyond READERS files
+    return manifest.repartition(min(max(manifest.count(), 1), READERS), "file").mapInPandas(run, kinds)
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
