@@ -4,7 +4,11 @@ A bounded sample of vectors gets a neighbour graph (inner product, brute force),
 size: balanced k-means starts the parts, then vectors move to the part that holds most of their neighbours while it has
 room. A small classifier (softmax regression) learns from each vector the parts of its neighbours. Every row is indexed
 under its most probable part; a query goes to its most probable parts, as many as reach ``RECALL`` on the sample, and
-on to more until they hold enough rows. Parts are cut into chunks of rows and of queries, so no task holds a whole part.
+on to more until they hold enough rows. Parts are cut into chunks of rows (by row numbers, so repeated ids and vectors
+spread too) and of queries, so no task holds a whole part.
+
+There are sqrt(n) / 4 parts for n rows, learned from ``PER_PART`` to twice as many different vectors each, up to
+``SAMPLE`` in all; so the rows compared grow as n ** 1.5 up to 4 million rows, and with the square, 512 parts, beyond.
 
 Scores are exact inner products of the original vectors in double precision; ties go to the smaller id. Vectors that are
 null, zero, of an unusual length, or hold null or non-finite components take no part, nor do null ids. A row with the
@@ -24,8 +28,13 @@ from pyspark.sql import functions as F
 
 from hourline.llm.common import local_table, table, written
 
-SAMPLE, ROWS_PER_PART, MOST_PARTS, RECALL = 6000, 2500, 256, 0.98
-CHUNK, QUERIES = 8192, 1024
+SAMPLE, PER_PART, RECALL = 16384, 32, 0.98
+CHUNK, QUERIES = 8192, 16384
+
+
+def parts_of(n: int, sample: int = SAMPLE) -> int:
+    """How many parts an index of n rows has: a quarter of the square root, with PER_PART rows of the sample each."""
+    return int(max(1, min(round(n**0.5 / 4), sample // PER_PART)))
 
 
 def clean(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
@@ -110,14 +119,16 @@ def learn(x: np.ndarray, near: np.ndarray, part: np.ndarray, parts: int, steps:
 
 
 def fit(rows: DataFrame, k: int, sample: int = SAMPLE, recall: float = RECALL, seed: int = 5) -> Router:
-    """Learns from about sample rows at most; only those come to the driver."""
+    """Learns from about PER_PART different vectors for each part, sample at most (twice that is a hard bound); only those come to the driver."""
     n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    x = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("v").toPandas()["v"]
+    wanted = min(sample, 2 * PER_PART * parts_of(n, sample))
+    share = min(1.0, wanted / max(n, 1))
+    drawn = rows.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share * (1 << 30)).select("v").groupBy("v").count()
+    x = drawn.select("v").limit(2 * sample).toPandas()["v"]
     if not len(x):
         return Router(np.zeros((0, 1)), np.zeros(1))
     x = np.unique(np.stack(x.to_numpy()), axis=0)
-    parts = int(min(max(n // ROWS_PER_PART, 1), MOST_PARTS, max(len(x) // 20, 1)))
+    parts = min(parts_of(n, sample), max(len(x) // 4, 1))
     if parts == 1:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1))
     rng = np.random.default_rng(seed)
@@ -144,7 +155,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             if len(b):
                 yield b.assign(part=held.value.logits(np.stack(b["v"].to_numpy())).argmax(axis=1).astype(np.int32))
 
-    base = written(rows.mapInPandas(home, "id long, v array<double>, part int"))
+    base = written(rows.mapInPandas(home, "id long, v array<double>, part int").withColumn("row", F.monotonically_increasing_id()))
     size = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}  # a row a part
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,9 +179,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     load = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
     cuts = local_table(spark, [(p, -(-n // CHUNK), -(-load.get(p, 1) // QUERIES)) for p, n in size.items()] or [(0, 1, 1)], "part int, chunks int, lots int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    b = base.join(F.broadcast(cuts), "part").withColumn("chunk", own("chunks")).withColumn("lot", every("lots")).select("part", "chunk", "lot", "id", "v")
-    q = asked.join(F.broadcast(cuts), "part").withColumn("lot", own("lots")).withColumn("chunk", every("chunks")).select("part", "chunk", "lot", "id", "v")
+    own = lambda n, c: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    b = base.join(F.broadcast(cuts), "part").withColumn("chunk", own("chunks", "row")).withColumn("lot", every("lots")).select("part", "chunk", "lot", "id", "v")
+    q = asked.join(F.broadcast(cuts), "part").withColumn("lot", own("lots", "id")).withColumn("chunk", every("chunks")).select("part", "chunk", "lot", "id", "v")
 
     def nearest(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         out = []

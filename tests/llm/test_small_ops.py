@@ -140,6 +140,34 @@ def test_neighbours(spark, n):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_learn(spark):
+    """At least 8 parts are learned, fewer than all are probed, and recall is 0.9 or more, with a vector and an id repeated."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(24, 16))
+    x = centre[rng.integers(0, 24, 2000)] + 0.4 * rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)] + [(7, x[7].tolist(), 2, "y")] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int, lot string")
+    router = neighbours.fit(neighbours.clean(df, "vec_id", "embedding"), 20)
+    assert router.weight.shape[1] >= 8 and router.probes < router.weight.shape[1]
+    near = neighbours.graph(x, 10)
+    part = neighbours.partition(x, near, 8, rng)
+    assert np.bincount(part, minlength=8).max() <= np.ceil(1.1 * len(x) / 8) and (part[near] == part[:, None]).mean() > 0.6
+    found = {}
+    for r in neighbours.search(df, df.where("vec_id % 20 = 1"), router=router).collect():
+        found.setdefault(r.query_id, []).append(r)
+    assert set(found) == set(range(1, 2000, 20))
+    ids, hit, of = np.array([r[0] for r in rows]), 0, 0
+    y = np.array([r[1] for r in rows])
+    for q, got in found.items():
+        score = (y * x[q]).sum(axis=1)
+        score[ids == q] = -np.inf
+        want = np.sort(score)[-20:]
+        assert len(got) == 20 and all(abs(g.score - (x[g.vec_id] * x[q]).sum()) < 1e-12 for g in got)
+        hit, of = hit + sum(g.score >= want[0] - 1e-12 for g in got), of + 20
+    assert hit >= 0.9 * of
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code\ncode"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0\n" + PROSE), (4, "c/z.py", None), (5, None, "x"), (6, "a/b/c/q", PROSE + " license of the poets"), (2, "a/b/x.py", "code\ncode")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
