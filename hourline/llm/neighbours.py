@@ -196,8 +196,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     near = np.flatnonzero((row >= least[j] - 1e-9 * (1 + abs(least[j]))) & (row > -np.inf)) if least[j] > -np.inf else np.flatnonzero(row > -np.inf)
                     exact = (x[near] * z[i + j]).sum(axis=1)
                     keep = np.lexsort((ids[near], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": names[i + j], "vec_id": ids[near[keep]], "score": exact[keep]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                    out.append((np.repeat(names[i + j], len(keep)), ids[near[keep]], exact[keep]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out))))) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ["part", "chunk", "lot"]
     found = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_id long, score double")
