@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A byte of ASCII white space.
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Ends every SQL execution by dropping its shuffle files; written tables don't need them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Without it, collected lists are grouped by sorting: once for both steps and the join after, a group at a time.
@@ -105,6 +108,30 @@ def local_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=to_arrow_schema(schema)), schema)
 
 
+def in_order(df: DataFrame, order: list[Column], name: str, range_name: str | None = None) -> DataFrame:
+    """df, written in ranges of the order, with each row's place in it from 0 (and the number of its range); a row a range comes to the driver."""
+    spark, at = df.sparkSession, fresh(df, "at")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    part, total, before = F.shiftright(at, 33), 0, []
+    for r in sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        before.append((r["part"], total))
+        total += r["n"]
+    of = local_table(spark, before, "_part long, _before long")
+    placed = rows.join(F.broadcast(of), part == F.col("_part"), "left")  # a row a partition
+    return placed.select(*df.columns, *([part.alias(range_name)] if range_name else []), (F.col("_before") + F.col(at).bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def slices(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of about size bytes, cut at spaces only."""
+    at = 0
+    while at < len(raw):
+        gap = SPACE.search(raw, at + size)
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

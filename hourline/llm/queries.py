@@ -9,6 +9,8 @@ from hourline.llm import bpe
 from hourline.llm.common import table
 from hourline.llm.licenses import op1_license_scans
 from hourline.llm.neighbours import op5_neighbours
+from hourline.llm.merkle import OP12_SQL, op12_merkle
+from hourline.llm.resample import OP13_SQL, op13_resample
 from hourline.llm.warc import OP7_SQL, op7_warc
 from hourline.llm.language import op6_language_id
 from hourline.llm.quality import OP4_SQL, op4_quality_rules
@@ -33,5 +35,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filters": op9_url_filters,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_merkle": op12_merkle,
+    "op13_resample": op13_resample,
 }
-SQL = {"op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL, "op8_mixing": OP8_SQL}
+SQL = {"op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL, "op8_mixing": OP8_SQL, "op12_merkle": OP12_SQL, "op13_resample": OP13_SQL}
