@@ -9,6 +9,7 @@ from hourline.llm import bpe
 from hourline.llm.common import table
 from hourline.llm.licenses import op1_license_scans
 from hourline.llm.neighbours import op5_neighbours
+from hourline.llm.classlm import op11_class_lm
 from hourline.llm.merkle import OP12_SQL, op12_merkle
 from hourline.llm.resample import OP13_SQL, op13_resample
 from hourline.llm.warc import OP7_SQL, op7_warc
@@ -35,6 +36,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filters": op9_url_filters,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_class_lm": op11_class_lm,
     "op12_merkle": op12_merkle,
     "op13_resample": op13_resample,
 }
