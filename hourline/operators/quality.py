@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourline.functions.clean import year_hours
@@ -43,13 +44,11 @@ def source_coverage(df: DataFrame, cols: list[str], warn_below: float = 85.0) ->
 
 
 def gap_report(df: DataFrame, ts: str, unit: str, first: int = 50) -> DataFrame:
-    """The first gap ranges, with the number of ranges and of missing keys in all."""
-    from pyspark.sql import Window as W
-
+    """The first gap ranges, numbered, with the number of ranges and of missing keys in all."""
     gaps = gap_ranges(df, ts, unit)
-    every = W.partitionBy()
-    out = gaps.withColumn("ranges", F.count("*").over(every)).withColumn("missing", F.sum("length").over(every))
-    return out.withColumn("n", F.row_number().over(W.orderBy("gap_start"))).where(F.col("n") <= first)
+    every = gaps.agg(F.count("*").alias("ranges"), F.sum("length").alias("missing"))
+    top = gaps.orderBy("gap_start").limit(first)
+    return top.withColumn("n", F.row_number().over(W.orderBy("gap_start"))).crossJoin(every)  # first rows at most, and one row
 
 
 def alignment(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

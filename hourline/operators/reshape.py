@@ -53,10 +53,18 @@ def hourly_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(timestamp_ntz'{start} 00:00:00', timestamp_ntz'{end} 23:00:00', interval 1 hour)) AS timestamp")
 
 
-def expected_keys(df: DataFrame, ts: str, unit: str, keys: list[str] = ()) -> DataFrame:
-    """Every hour, day or month between the first and the last of df (of each series)."""
+#: Slots that one task makes at once.
+SLOTS = 1 << 14
+
+
+def expected_keys(df: DataFrame, ts: str, unit: str, keys: list[str] = (), slots: int = SLOTS) -> DataFrame:
+    """Every hour, day or month between the first and the last of df (of each series); long spans are made by many tasks."""
     span = df.groupBy(*keys).agg(F.min(ts).alias("a"), F.max(ts).alias("b")).where("a is not null")
-    return span.select(*keys, F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias(ts))
+    if unit.lower().rstrip("s") == "month":  # months count from the first one, and are few
+        return span.select(*keys, F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias(ts))
+    parts = span.select(*keys, "b", F.explode(F.sequence("a", "b", F.expr(f"interval {slots} {unit}"))).alias("a")).repartition("a")
+    last = F.least(F.col("b"), (F.col("a") + F.expr(f"interval {slots - 1} {unit}")).cast(df.schema[ts].dataType))
+    return parts.select(*keys, F.explode(F.sequence(F.col("a"), last, F.expr(f"interval 1 {unit}"))).alias(ts))
 
 
 def calendar_features(df: DataFrame, ts: str) -> DataFrame:

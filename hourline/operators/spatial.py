@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GEOMETRY = "type string, coordinates array<array<array<array<double>>>>"
@@ -20,19 +20,57 @@ def polygon_edges(rows: DataFrame, geojson: str) -> DataFrame:
     return edges.select(F.get("e.a", 0).alias("x1"), F.get("e.a", 1).alias("y1"), F.get("e.b", 0).alias("x2"), F.get("e.b", 1).alias("y2"))
 
 
-def mask_points(grid: DataFrame, edges: DataFrame, x: str, y: str, bands: int = 64) -> DataFrame:
-    """Distinct points of grid inside the rings, by the even-odd rule over all of them; points on an edge are outside.
+#: Edges that are sent to all tasks at most, as four numbers each; beyond, points and edges are dealt to bands.
+EDGES = 100_000
 
-    Edges are dealt to the bands of y that they cross, so a point meets only the edges of its own band.
+
+def _crosses(px: Column, py: Column, e) -> tuple[Column, Column]:
+    """Whether a ray to the right of a point crosses an edge, and whether the point lies on it."""
+    x1, y1, x2, y2 = (e(c) for c in ("x1", "y1", "x2", "y2"))
+    cross = (y1 != y2) & ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+    turn = (px - x1) * (y2 - y1) - (py - y1) * (x2 - x1)
+    return cross, (turn == 0) & px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
+
+
+def inside(df: DataFrame, edges: DataFrame, x: str, y: str, most: int = EDGES) -> DataFrame:
+    """Rows of df whose point is inside the rings, by the even-odd rule over all of them; points on an edge are outside.
+
+    The edges are sorted into bands of y, a row's point meets those of its own band only. They go along with each task as one small array,
+    so no point is moved; with more than most edges, points and edges meet by a join on the band.
     """
-    span = edges.agg(F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi"))
-    band = lambda c: F.least(F.floor((c - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bands), F.lit(bands - 1))
-    dealt = edges.join(F.broadcast(span)).withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
-    points = grid.select(x, y).distinct().join(F.broadcast(span)).where(F.col(y).between(F.col("lo"), F.col("hi"))).withColumn("band", band(F.col(y)))
-    px, py = F.col(x), F.col(y)
-    both = points.select(x, y, "band").join(dealt.select("x1", "y1", "x2", "y2", "band"), "band")
-    cross = ((F.col("y1") > py) != (F.col("y2") > py)) & (px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    turn = (px - F.col("x1")) * (F.col("y2") - F.col("y1")) - (py - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    on = (turn == 0) & px.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & py.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    safe = F.when(F.col("y1") == F.col("y2"), False).otherwise(cross)
-    return both.groupBy(x, y).agg(F.count_if(safe).alias("n"), F.max(on).alias("on")).where("n % 2 = 1 and not on").select(x, y)
+    facts = edges.agg(F.count("*").alias("n"), F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi")).first()
+    if not facts["n"]:
+        return df.where(F.lit(False))
+    bands, lo, span = max(1, min(facts["n"], 1 << 14)), float(facts["lo"]), float(facts["hi"] - facts["lo"])
+    band = lambda c: F.least(F.floor((c.cast("double") - lo) / span * bands) if span else F.lit(0), F.lit(bands - 1)).cast("int")
+    near = df.where(F.col(y).between(lo, facts["hi"]))
+    if facts["n"] > most:
+        return near.join(_banded(near, edges, x, y, band), [x, y], "left_semi")
+    index: list[list] = [[] for _ in range(bands)]
+    dealt = edges.withColumn("a", band(F.least("y1", "y2"))).withColumn("b", band(F.greatest("y1", "y2")))
+    for e in dealt.select("a", "b", "x1", "y1", "x2", "y2").collect():  # most rows at most
+        for i in range(e["a"], e["b"] + 1):
+            index[i].append(tuple(e)[2:])
+    one = df.sparkSession.createDataFrame([(index,)], "_bands array<array<struct<x1:double,y1:double,x2:double,y2:double>>>")
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
+
+    def meet(s: Column, e: Column) -> Column:
+        cross, on = _crosses(px, py, lambda c: e[c])
+        return F.struct((s["odd"] != cross).alias("odd"), (s["on"] | on).alias("on"))
+
+    said = F.aggregate(F.get("_bands", band(F.col(y))), start, meet, lambda s: s["odd"] & ~s["on"])
+    return near.join(F.broadcast(one)).where(said).select(*df.columns)
+
+
+def mask_points(grid: DataFrame, edges: DataFrame, x: str, y: str, most: int = EDGES) -> DataFrame:
+    """Distinct points of grid inside the rings; a mask that is made once and joined to the grids of many days."""
+    return inside(grid.select(x, y), edges, x, y, most).distinct()
+
+
+def _banded(points: DataFrame, edges: DataFrame, x: str, y: str, band) -> DataFrame:
+    """Distinct points inside the rings, points and edges being dealt to bands."""
+    dealt = edges.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    both = points.select(x, y).distinct().withColumn("_band", band(F.col(y))).join(dealt, "_band")
+    cross, on = _crosses(F.col(x).cast("double"), F.col(y).cast("double"), F.col)
+    return both.groupBy(x, y).agg(F.count_if(cross).alias("n"), F.max(on).alias("on")).where("n % 2 = 1 and not on").select(x, y)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hourline.operators import segments
+
 
 def pearson(a: Column, b: Column) -> Column:
     """Pearson r over pairs that have both; null where either is constant."""
@@ -42,32 +44,40 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, None if v is None else float(v)) for c, v in zip(cols, out)], "name string, vif double")
 
 
-def numbered(df: DataFrame, ts: str, keys=()) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(ts)))
+#: Rows of a block of a series, within which lags are looked up.
+BLOCK = 1 << 13
 
 
-def acf(df: DataFrame, col: str, ts: str, nlags: int, keys=()) -> DataFrame:
+def acf(df: DataFrame, col: str, ts: str, nlags: int, keys=(), block: int = BLOCK) -> DataFrame:
     """lag and acf, lag 0 to nlags, with denominator n and one mean; rows with null values are left out first."""
-    x = numbered(df.where(F.col(col).isNotNull()).select(*keys, ts, F.col(col).alias("x")), ts, keys)
-    return _products(x, x, nlags, keys, range(nlags + 1)).withColumnRenamed("r", "acf")
+    return _products(df, col, col, ts, range(nlags + 1), keys, block).withColumnRenamed("r", "acf")
 
 
-def ccf(df: DataFrame, x: str, y: str, ts: str, max_lag: int, keys=()) -> DataFrame:
+def ccf(df: DataFrame, x: str, y: str, ts: str, max_lag: int, keys=(), block: int = BLOCK) -> DataFrame:
     """lag and ccf from -max_lag to max_lag: r(k) = sum x[t + k] y[t]; k > 0: x follows y."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    a = numbered(both.select(*keys, ts, F.col(x).alias("x")), ts, keys)
-    b = numbered(both.select(*keys, ts, F.col(y).alias("x")), ts, keys)
-    return _products(a, b, max_lag, keys, range(-max_lag, max_lag + 1)).withColumnRenamed("r", "ccf")
-
-
-def _products(a: DataFrame, b: DataFrame, n: int, keys, lags) -> DataFrame:
-    """Self-join on shifted row numbers, which needs no ordering in one task beyond the numbering."""
-    of = W.partitionBy(*keys)
-    centre = lambda d: d.withColumn("z", (F.col("x") - F.avg("x").over(of)) / F.stddev_pop("x").over(of)).withColumn("rows", F.count("*").over(of))
-    left = centre(a).select(*keys, "_n", F.col("z").alias("za"), "rows")
-    right = centre(b).select(*keys, F.col("z").alias("zb"), F.col("_n").alias("_m"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"))
-    right = right.withColumn("_n", F.col("_m") + F.col("lag"))
-    return left.join(right, [*keys, "_n"]).groupBy(*keys, "lag").agg((F.sum(F.col("za") * F.col("zb")) / F.max("rows")).alias("r"))
+    return _products(df, x, y, ts, range(-max_lag, max_lag + 1), keys, block).withColumnRenamed("r", "ccf")
+
+
+def _products(df: DataFrame, x: str, y: str, ts: str, lags, keys, block: int) -> DataFrame:
+    """lag and r of a series of numbered rows, all lags from one aggregate.
+
+    Rows are dealt out in blocks; the rows that end a block go to the next one too, as far back as the longest lag, so
+    that each finds its partners there. What is shuffled doesn't depend on the number of lags but for this edge.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, ts, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    facts = both.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))], F.count("*").alias("rows"))
+    z = lambda c: (F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0))
+    rows = segments.meet(segments.numbered(both, ts, "n", keys), facts, keys).select(*keys, "n", "rows", z("x").alias("zx"), z("y").alias("zy"))
+    longest = max(map(abs, lags))
+    block = max(block, longest, 1)
+    own = F.floor((F.col("n") - 1) / block)
+    to = F.when((F.col("n") - 1) % block >= block - longest, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = rows.withColumn("own", own).withColumn("block", F.explode(to))
+    w = W.partitionBy(*keys, "block").orderBy("n")
+    partners = {f"p{i}": F.col("zx" if k >= 0 else "zy") * F.lag("zy" if k >= 0 else "zx", abs(k)).over(w) for i, k in enumerate(lags)}
+    sums = dealt.withColumns(partners).where("block = own").groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.sum(p).alias(p) for p in partners])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"p{i}").alias("r")) for i, k in enumerate(lags)]))
+    return sums.select(*keys, "rows", each.alias("e")).where(F.abs("e.lag") < F.col("rows")).select(*keys, "e.lag", (F.col("e.r") / F.col("rows")).alias("r"))
 
 
 def pacf(acf_df: DataFrame, keys: list[str] = (), lag: str = "lag", col: str = "acf") -> DataFrame:

@@ -1,4 +1,8 @@
-"""Window operators over series. keys names the series; without keys there is one series, which one task orders."""
+"""Window operators over series. keys names the series; without keys there is one.
+
+Fills and gaps run over segments of time, so that many tasks share one series; lags, rolling means and decompositions order
+a series in one task.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hourline.operators import segments
 from hourline.operators.reshape import expected_keys
+from hourline.operators.segments import SEG, WIDTH
 
 
 def _over(ts: str, keys=()):
@@ -30,23 +36,38 @@ def lag_time(df: DataFrame, col: str, ts: str, interval: str, name: str, keys=()
     return df.join(past, [*keys, ts], "left")
 
 
-def ffill(df: DataFrame, cols: list[str], ts: str, keys=()) -> DataFrame:
-    w = _over(ts, keys).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+def ffill(df: DataFrame, cols: list[str], ts: str, keys=(), width: float = WIDTH) -> DataFrame:
+    """Nulls become the last value before them; those before the first value stay."""
+    rows = segments.cut(df, ts, width)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(ts))).alias(f"v{i}") for i, c in enumerate(cols)]
+    none = F.struct(*[F.lit(None).cast(df.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(cols)])
+    step = lambda s, x: F.struct(*[F.coalesce(x[f"v{i}"], s[f"v{i}"]).alias(f"v{i}") for i in range(len(cols))])
+    before = segments.scan(rows.groupBy(*keys, SEG).agg(*last), keys, none, step, alias="_before")
+    w = segments.window(ts, keys).rowsBetween(W.unboundedPreceding, 0)
+    inside = rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    filled = segments.back(inside, before, keys).withColumns({c: F.coalesce(c, F.col("_before")[f"v{i}"]) for i, c in enumerate(cols)})
+    return filled.select(*df.columns)
 
 
-def interpolate(df: DataFrame, col: str, ts: str, limit: int, keys=()) -> DataFrame:
+def interpolate(df: DataFrame, col: str, ts: str, limit: int, keys=(), width: float = WIDTH) -> DataFrame:
     """Straight lines over gaps, of which the first limit rows are filled; the last value goes on for limit rows."""
-    w = _over(ts, keys)
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    pos = F.row_number().over(w)
-    has = F.when(F.col(col).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(col).alias("v")))
-    out = df.withColumn("_p", pos).withColumn("_h", has)
-    out = out.withColumn("_a", F.last("_h", ignorenulls=True).over(back)).withColumn("_b", F.first("_h", ignorenulls=True).over(ahead))
-    d = F.col("_p") - F.col("_a.p")
-    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * d / F.nullif(F.col("_b.p") - F.col("_a.p"), F.lit(0))
-    filled = F.coalesce(F.col(col), F.when(d <= limit, F.coalesce(line, F.col("_a.v"))))
-    return out.withColumn(col, filled).drop("_p", "_h", "_a", "_b")
+    w = segments.window(ts, keys)
+    rows = segments.cut(df, ts, width).withColumn("_p", F.row_number().over(w).cast("long"))
+    rows = rows.withColumn("_h", F.when(F.col(col).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(col).alias("v"))))
+    ends = rows.groupBy(*keys, SEG).agg(F.max("_p").alias("n"), F.min("_h").alias("first"), F.max("_h").alias("last"))
+    kind = df.schema[col].dataType
+    none = F.struct(F.lit(None).cast("long").alias("p"), F.lit(None).cast(kind).alias("v"))
+    moved = lambda h, by: F.struct((h["p"] + by).alias("p"), h["v"].alias("v"))
+    known = lambda h, other: F.when(h.isNotNull(), h).otherwise(other)
+    ahead = segments.scan(ends, keys, F.struct(F.lit(0).cast("long").alias("n"), none.alias("h")), lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.when(x["last"].isNotNull(), moved(x["last"], s["n"])).otherwise(s["h"]).alias("h")), alias="_a")
+    # what follows a segment is counted from its first row: the rows of segments between are added on the way
+    behind = segments.scan(ends, keys, none, lambda s, x: moved(known(x["first"], F.when(s["p"].isNotNull(), moved(s, x["n"])).otherwise(none)), F.lit(0)), last_first=True, alias="_b")
+    out = rows.withColumn("_l", F.last("_h", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_r", F.first("_h", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))).withColumn("_n", F.count("*").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    out = segments.back(segments.back(out, ahead, keys), behind, keys)
+    left, right = known(F.col("_l"), moved(F.col("_a.h"), -F.col("_a.n"))), known(F.col("_r"), moved(F.col("_b"), F.col("_n")))
+    d = F.col("_p") - left["p"]
+    line = left["v"] + (right["v"] - left["v"]) * d / F.nullif(right["p"] - left["p"], F.lit(0))
+    return out.withColumn(col, F.coalesce(F.col(col), F.when(d <= limit, F.coalesce(line, left["v"])))).select(*df.columns)
 
 
 def rolling_centered(df: DataFrame, col: str, ts: str, w: int, name: str, min_periods: int | None = None, keys=()) -> DataFrame:
@@ -60,13 +81,19 @@ def regularise(df: DataFrame, ts: str, unit: str, keys=()) -> DataFrame:
     return expected_keys(df, ts, unit, keys).join(df, [*keys, ts], "left")
 
 
-def gap_ranges(df: DataFrame, ts: str, unit: str, keys=()) -> DataFrame:
-    """start, end and length of each run of missing hours or days."""
-    missing = expected_keys(df, ts, unit, keys).join(df.select(*keys, ts).distinct(), [*keys, ts], "left_anti")
-    step = F.expr(f"interval 1 {unit}")
-    new = F.coalesce((F.lag(ts).over(_over(ts, keys)) + step != F.col(ts)).cast("int"), F.lit(1))
-    runs = missing.withColumn("_new", new).withColumn("_run", F.sum("_new").over(_over(ts, keys)))
-    return runs.groupBy(*keys, "_run").agg(F.min(ts).alias("gap_start"), F.max(ts).alias("gap_end"), F.count("*").alias("length")).drop("_run")
+def gap_ranges(df: DataFrame, ts: str, unit: str, keys=(), width: float = WIDTH) -> DataFrame:
+    """start, end and length of each run of missing hours, days or months between a series' first and last row; rows off the slots that its first row begins don't count."""
+    kind = df.schema[ts].dataType
+    first = df.groupBy(*keys).agg(F.min(ts).alias("_first"))
+    seen = df.where(F.col(ts).isNotNull()).select(*keys, ts).distinct()
+    slot = F.expr(f"timestampadd({unit}, timestampdiff({unit}, _first, `{ts}`), _first)").cast(kind)
+    rows = segments.cut(segments.meet(seen, first, keys).where(slot == F.col(ts)), ts, width)
+    ends = rows.groupBy(*keys, SEG).agg(F.max(ts).alias("t"))
+    before = segments.scan(ends, keys, F.lit(None).cast(kind), lambda s, x: x["t"], alias="_before")
+    rows = segments.back(rows.withColumn("_last", F.lag(ts).over(segments.window(ts, keys))), before, keys).withColumn("_last", F.coalesce("_last", "_before"))
+    n, step = F.expr(f"timestampdiff({unit}, _last, `{ts}`)"), F.expr(f"interval 1 {unit}")
+    gaps = rows.where(n > 1)
+    return gaps.select(*keys, (F.col("_last") + step).cast(kind).alias("gap_start"), (F.col(ts) - step).cast(kind).alias("gap_end"), (n - 1).alias("length"))
 
 
 def decompose(df: DataFrame, col: str, ts: str, period: int, keys=()) -> DataFrame:
@@ -89,14 +116,10 @@ def decompose(df: DataFrame, col: str, ts: str, period: int, keys=()) -> DataFra
 
 def trim(df: DataFrame, ts: str, first: int = 0, last: int = 0, keys=()) -> DataFrame:
     """df without its first and last rows, so many, in the order of ts."""
-    from pyspark.sql import Window as W
-
     up, down = W.partitionBy(*keys).orderBy(ts), W.partitionBy(*keys).orderBy(F.desc(ts))
     return df.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down)).where((F.col("_up") > first) & (F.col("_down") > last)).drop("_up", "_down")
 
 
 def last_rows(df: DataFrame, ts: str, n: int, keys=()) -> DataFrame:
     """The last n rows in the order of ts."""
-    from pyspark.sql import Window as W
-
     return df.withColumn("_down", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts)))).where(F.col("_down") <= n).drop("_down")

@@ -63,7 +63,7 @@ def bbox_polygon_mask(t):
     grid = t("customer").select((F.col("c_custkey") % 100).alias("x"), F.floor(F.col("c_custkey") / 100).alias("y"), "c_acctbal")
     boxed = spatial.bbox(grid, "x", "y", 5, 0, 95, 14)
     edges = spatial.polygon_edges(t("region").limit(1).select(F.lit(POLYGON).alias("g")), "g")
-    return boxed.join(spatial.mask_points(boxed, edges, "x", "y"), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    return spatial.inside(boxed, edges, "x", "y").groupBy("x", "y").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
 @query("SELECT vec_id, (i - 1)::INTEGER AS col_idx, round(embedding[i]::DOUBLE, 6) AS value, ((i - 1) % 4)::INTEGER AS quality FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)")
