@@ -40,7 +40,7 @@ from hourline.llm.common import forget, slices, table, written
 
 CLASSES, ROUNDS = 32, 6
 #: Tokens of a block; blocks whose parts one cell merges; tokens of the corpus for each part of the words.
-BLOCK, MERGED, SHARE = 1 << 21, 256, 1 << 21
+BLOCK, MERGED, SHARE = 1 << 20, 256, 1 << 20
 #: Known words follow a run of unknown ones by the tables of this many steps at most; by then the classes' shares have settled.
 STEPS = 32
 #: The class of words without training counts.
@@ -142,13 +142,23 @@ def summed(sent: DataFrame, cells: int, last) -> DataFrame:
     def of(f: pd.DataFrame):
         keys, nnz = (np.concatenate([_of(x, k) for x in f[c]]) for c, k in (("keys", np.uint64), ("nnz", np.int32)))
         codes, counts = (np.concatenate([_of(x, k) for x in f[c]]) for c, k in (("codes", np.uint8), ("counts", np.int64)))
+        if len(f) == 1:  # one part has each word once, its codes side by side
+            order = np.argsort(keys)
+            rank = np.empty(len(keys), np.int64)
+            rank[order] = np.arange(len(keys))
+            return keys[order], np.repeat(rank, nnz), codes, counts
         own, at = np.unique(keys, return_inverse=True)
         both = np.repeat(at, nnz) * 256 + codes
-        u, place = np.unique(both, return_inverse=True)
-        return own, u // 256, (u % 256).astype(np.uint8), np.bincount(place, weights=counts, minlength=len(u)).astype(np.int64)
+        order = np.argsort(both)
+        both = both[order]
+        first = np.flatnonzero(np.diff(both, prepend=-1))
+        sums = np.add.reduceat(counts[order], first) if len(first) else counts
+        return own, both[first] // 256, (both[first] % 256).astype(np.uint8), sums
 
     def inside(f: pd.DataFrame) -> pd.DataFrame:
         own, word, codes, counts = of(f)
+        order = np.argsort(word, kind="stable") if len(f) == 1 else slice(None)
+        codes, counts = codes[order], counts[order]
         nnz = np.bincount(word, minlength=len(own)).astype(np.int32)
         cell = int(f["cell"].iloc[0])
         return pd.DataFrame([(cell // cells, cell, own.tobytes(), nnz.tobytes(), codes.tobytes(), counts.tobytes())], columns=["part", "cell", "keys", "nnz", "codes", "counts"])
@@ -225,11 +235,14 @@ def exchange(rows: DataFrame, known: DataFrame, n: np.ndarray, turn: int, parts:
                 a, b = _pairs(r)
                 dealt = list(_dealt(keys, parts, r.block, cells))
                 order = np.concatenate([at for _, _, at in dealt])
-                rank = np.zeros(len(keys), np.int64)
+                small = np.int32 if len(keys) < 1 << 23 else np.int64
+                rank = np.zeros(len(keys), small)
                 rank[order] = np.arange(len(order))
                 there = np.flatnonzero(_of(r.n, np.int32)[order])
-                both = np.concatenate([rank[b] * 256 + cls[a], rank[a] * 256 + k + cls[b], there * 256 + 2 * k + cls[order[there]]])
-                u, counts = np.unique(both.astype(np.int32) if len(keys) < 1 << 23 else both, return_counts=True)
+                both = np.concatenate([rank[b] * 256 + cls[a], rank[a] * 256 + (cls[b] + k), there.astype(small) * 256 + (cls[order[there]] + 2 * k)])
+                both.sort()
+                first = np.flatnonzero(np.diff(both, prepend=-1))
+                u, counts = both[first], np.diff(first, append=len(both))
                 nnz = np.bincount(u // 256, minlength=len(order)).astype(np.int32)
                 to, codes, own = np.r_[0, np.cumsum(nnz)], (u % 256).astype(np.uint8), keys[order]
                 out = [(c, own[s].tobytes(), nnz[s].tobytes(), codes[to[s.start] : to[s.stop]].tobytes(), counts[to[s.start] : to[s.stop]].tobytes()) for c, s, _ in dealt]
