@@ -37,8 +37,14 @@ def version_splice(old: DataFrame, new: DataFrame, last_old_year: int, year: str
 
 
 def match_suffix(df: DataFrame, col: str, names: DataFrame) -> DataFrame:
-    """name of the first (priority) of names' suffixes that the text ends with; names: priority, suffix, name, a small table."""
-    hits = df.select(F.col(col)).distinct().join(F.broadcast(names), F.col(col).endswith(F.col("suffix")))
+    """name of the first (priority) of names' suffixes that the text ends with; names: priority, suffix, name.
+
+    A text meets the names by its own endings, one of each length that a suffix has, so any number of names will do.
+    """
+    lengths = F.array_distinct(F.collect_list(F.length("suffix")))
+    ends = df.select(F.col(col)).distinct().join(names.agg(lengths.alias("_l"))).withColumn("_n", F.explode("_l")).where(F.length(col) >= F.col("_n"))  # one row
+    ends = ends.select(col, F.right(F.col(col), F.col("_n")).alias("suffix"))
+    hits = ends.join(names, "suffix")
     return df.join(hits.groupBy(col).agg(F.min_by("name", "priority").alias("name")), col, "left")
 
 

@@ -24,11 +24,44 @@ def rocv_folds(df: DataFrame, ts: str, min_train_years: int, step_years: int, ho
     return cuts.withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in horizons])))
 
 
-def split(df: DataFrame, folds: DataFrame, ts: str) -> DataFrame:
-    """Rows of each fold with part train (before the cutoff) or test (up to the horizon); a range join to a small fold table."""
-    end = F.date_add("cutoff", F.col("horizon_days"))
-    part = F.when(F.col(ts) < F.col("cutoff"), "train").otherwise("test")
-    return df.join(F.broadcast(folds), F.col(ts) < end).withColumn("part", part)
+def cutoffs(folds: DataFrame) -> list[tuple]:
+    """(fold, cutoff) in the order of time; folds are few."""
+    return sorted({(r["fold"], r["cutoff"]) for r in folds.select("fold", "cutoff").collect()}, key=lambda x: (x[1], x[0]))
+
+
+def sliced(df: DataFrame, folds: DataFrame, ts: str) -> DataFrame:
+    """df with slice, the place (from 0, in the order of cutoffs) of the first fold that trains on a row; all later folds do, too."""
+    at = F.lit(0)
+    for _, cutoff in cutoffs(folds):
+        at = at + (F.col(ts) >= F.lit(cutoff)).cast("int")
+    return df.withColumn("slice", at)
+
+
+def split(df: DataFrame, folds: DataFrame, ts: str, parts: tuple[str, ...] = ("train", "test")) -> DataFrame:
+    """Rows of each fold with part train (before the cutoff) or test (up to the horizon), or those of one part.
+
+    The few folds are a constant array that each row is held against, so nothing is joined.
+    """
+    rows = folds.select("fold", "cutoff", "horizon_days").collect()
+    if not rows:
+        return df.where("false").join(folds.limit(0)).withColumn("part", F.lit(""))
+    every = F.array(*[F.struct(*[F.lit(r[c]).cast(folds.schema[c].dataType).alias(c) for c in ("fold", "cutoff", "horizon_days")]) for r in rows])
+    t = F.col(ts)
+    train = lambda f: t < f["cutoff"]
+    ahead = lambda f: t < F.date_add(f["cutoff"], f["horizon_days"])
+    asked = {("train", "test"): ahead, ("test", "train"): ahead, ("train",): train, ("test",): lambda f: ~train(f) & ahead(f)}[tuple(parts)]
+    out = df.withColumn("_f", F.explode(F.filter(every, asked)))
+    return out.select(*df.columns, "_f.*").withColumn("part", F.when(t < F.col("cutoff"), "train").otherwise("test"))
+
+
+def train_stats(df: DataFrame, folds: DataFrame, ts: str, cols: list[str]) -> DataFrame:
+    """fold, and n, mean, low and high of each column over the training rows of the fold; one aggregate by slices, no row is counted twice."""
+    parts = [f(c).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("sum", F.sum), ("low", F.min), ("high", F.max))]
+    every = sliced(df, folds, ts).groupBy("slice").agg(*parts)  # a row a fold and one
+    places = df.sparkSession.createDataFrame([(f, i) for i, (f, _) in enumerate(cutoffs(folds))], "fold int, at int")
+    whole = places.join(every, F.col("slice") <= F.col("at"), "left").groupBy("fold")
+    out = whole.agg(*[f(f"{n}_{c}").alias(f"{n}_{c}") for c in cols for n, f in (("n", F.sum), ("sum", F.sum), ("low", F.min), ("high", F.max))])
+    return out.select("fold", *[x for c in cols for x in (F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}"), (F.col(f"sum_{c}") / F.nullif(F.col(f"n_{c}"), F.lit(0))).alias(f"mean_{c}"), F.col(f"low_{c}"), F.col(f"high_{c}"))])
 
 
 def _fitted(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
@@ -38,7 +71,7 @@ def _fitted(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
 def iqr_to_null(df: DataFrame, keys: list[str], cols: list[str], k: float = 1.5) -> DataFrame:
     """Training values beyond k interquartile ranges become null; test rows stay."""
     q = _fitted(df, keys, [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{c}") for c in cols])
-    out = df.join(F.broadcast(q), keys, "left")
+    out = df.join(q, keys, "left")
     for c in cols:
         lo, hi = F.get(f"_{c}", 0), F.get(f"_{c}", 1)
         inside = F.col(c).between(lo - k * (hi - lo), hi + k * (hi - lo))
@@ -49,7 +82,7 @@ def iqr_to_null(df: DataFrame, keys: list[str], cols: list[str], k: float = 1.5)
 def impute_mean(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Nulls of both parts become the training mean, 0.0 where there is none."""
     m = _fitted(df, keys, [F.avg(c).alias(f"_{c}") for c in cols])
-    out = df.join(F.broadcast(m), keys, "left")
+    out = df.join(m, keys, "left")
     return out.withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in cols}).drop(*[f"_{c}" for c in cols])
 
 
@@ -57,7 +90,7 @@ def scale(df: DataFrame, keys: list[str], cols: list[str], keep_bounds: bool = F
     """To 0..1 by the training range, nulls counting as 0; a constant column becomes 0. Bounds stay as lo_ and hi_ if asked for."""
     zero = df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cols})
     b = _fitted(zero, keys, [f(c).alias(f"{n}_{c}") for c in cols for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    out = zero.join(F.broadcast(b), keys, "left")
+    out = zero.join(b, keys, "left")
     out = out.withColumns({c: F.coalesce((F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0.0)), F.lit(0.0)) for c in cols})
     return out if keep_bounds else out.drop(*[f"{n}_{c}" for c in cols for n in ("lo", "hi")])
 

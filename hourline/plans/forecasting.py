@@ -119,15 +119,31 @@ def pinball(t):
     return rounded(out, *out.columns[1:], digits=3)
 
 
-@query()
+_DAYS = "date_diff('day', DATE '1970-01-01', day)"
+_X = ", ".join(["1.0", f"{_DAYS} / 365.25", *[f"{f}({_DAYS} * (2 * pi() * {k} / {p}))" for p in ("7.0", "365.25") for k in (1, 2) for f in ("sin", "cos")], "coalesce(lag(total, 180) OVER (ORDER BY day), 0.0)"])
+_K = 11
+#: The normal equations of each fold, solved by elimination, a column a step.
+_LINEAR = f"""WITH RECURSIVE {DAILY}, {_FOLDS}, v AS (SELECT day, total, [{_X}] AS x FROM d), u AS (SELECT DISTINCT fold, cutoff FROM f),
+g AS (SELECT fold, i, j, sum(x[i] * list_append(x, total)[j]) AS v FROM v JOIN u ON day < cutoff, range(1, {_K + 1}) AS a(i), range(1, {_K + 2}) AS b(j) GROUP BY ALL),
+r AS (SELECT fold, i, list(v ORDER BY j) AS r FROM g GROUP BY ALL), m AS (SELECT fold, list(r ORDER BY i) AS m FROM r GROUP BY fold),
+e AS (SELECT fold, 1 AS p, m FROM m UNION ALL
+  SELECT fold, p + 1, list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda z: z / m[p][p]) ELSE list_transform(r, lambda z, q: z - r[p] / m[p][p] * m[p][q]) END) FROM e WHERE p <= {_K}),
+co AS (SELECT fold, list_transform(m, lambda r: r[{_K + 1}]) AS b FROM e WHERE p = {_K + 1}),
+p AS (SELECT f.fold, horizon_days, total AS y, list_dot_product(x, b) AS yhat FROM v JOIN f ON day >= cutoff AND day < cutoff + horizon_days JOIN co ON co.fold = f.fold)"""
+
+
+@query(f"""{_LINEAR} SELECT fold, horizon_days, round(sqrt(avg((yhat - y) * (yhat - y))), 2) AS rmse, round(avg(abs(yhat - y)), 2) AS mae, round(100 * avg(CASE WHEN abs(y) > 1 THEN abs((yhat - y) / y) END), 3) AS mape_pct, round(corr(y, yhat), 5) AS pearson_r, count(yhat - y) AS n_samples FROM p GROUP BY 1, 2""")
 def forecast_linear(t):
-    """Folds and horizons that the data hold are few; each is one fit."""
     d, cols = evaluate.fourier(daily(t("orders")), "day", {"week": 7.0, "year": 365.25})
     d = windows.lag_rows(d, "total", "day", 180, "lag_180")
-    folds = _folds(t)
-    rows = features.split(d, folds, "day")
-    done = evaluate.forecast_linear(rows, "total", [*cols, "lag_180"], sorted((r.fold, r.horizon_days) for r in folds.collect()))
-    return evaluate.score(done, "total", "yhat", ["fold", "horizon_days"])
+    done = evaluate.forecast_linear(d, "total", [*cols, "lag_180"], _folds(t), "day")
+    scores = rounded(evaluate.score(done, "total", "yhat", ["fold", "horizon_days"]), "rmse", "mae", digits=2)
+    return rounded(rounded(scores, "mape_pct", digits=3), "pearson_r", digits=5)
+
+
+@query(f"WITH {DAILY}, {_FOLDS} SELECT fold, count(total) AS n_total, round(avg(total), 3) AS mean_total, min(total) AS low_total, max(total) AS high_total FROM (SELECT DISTINCT fold, cutoff FROM f) u JOIN d ON day < cutoff GROUP BY 1")
+def rocv_train_stats(t):
+    return rounded(features.train_stats(daily(t("orders")), _folds(t), "day", ["total"]), "mean_total", digits=3)
 
 
 @query(f"WITH {DAILY} SELECT day, (day BETWEEN DATE '1997-01-01' AND DATE '1998-06-30')::INTEGER AS crisis FROM d")
