@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNIT_MONTHS = {"quarter": 3, "semester": 6, "year": 12}
@@ -79,3 +79,34 @@ def explode_raster(df: DataFrame, band: str, quality: str | None = None, keys: l
     rows = df.select(*keys, F.posexplode(both).alias("row_idx", "r"))
     cells = rows.select(*keys, "row_idx", F.posexplode(F.arrays_zip(F.col("r.band").alias("value"), F.coalesce("r.q", F.array().cast("array<int>")).alias("quality"))).alias("col_idx", "c"))
     return cells.select(*keys, "row_idx", "col_idx", F.col("c.value").alias("value"), F.col("c.quality").alias("quality"))
+
+
+def axis_range(axis: Column, low: float, high: float) -> Column:
+    """struct(first, n): where a sorted axis, rising or falling, lies within bounds."""
+    at = F.filter(F.transform(axis, lambda v, i: F.when(v.between(low, high), i)), lambda i: i.isNotNull())
+    return F.struct(F.coalesce(F.array_min(at), F.lit(0)).alias("first"), F.size(at).alias("n"))
+
+
+def crop_raster(df: DataFrame, band: str, lat: str, lon: str, box: tuple[float, float, float, float], quality: str | None = None, keys: list[str] = ()) -> DataFrame:
+    """Cells within a box (west, south, east, north) with their places in the whole raster and their coordinates.
+
+    lat and lon are columns of sorted axes beside the band (array<array>, a row a latitude). The bounds are looked up in the axes
+    and the arrays cut to them before they are taken apart, so cells outside are never made. A granule without a cell inside, or
+    with a null band, gives none; cells that a band's row lacks are null.
+    """
+    west, south, east, north = box
+    # a lambda's parameter is computed once a granule, however often it is used
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    cut = lambda a, r: F.slice(a, r["first"] + 1, r["n"])
+    none = F.lit(None).cast("array<array<int>>")
+    marks = F.col(quality) if quality else none
+
+    def rows_of(r: Column) -> Column:
+        both = F.arrays_zip(cut(F.col(lat), r["rows"]).alias("lat"), cut(F.col(band), r["rows"]).alias("band"), F.coalesce(cut(marks, r["rows"]), F.array()).alias("q"))
+        lons = cut(F.col(lon), r["cols"])
+        return F.transform(both, lambda x, i: F.struct((r["rows"]["first"] + i).alias("row_idx"), r["cols"]["first"].alias("left"), x["lat"].alias("lat"), F.arrays_zip(lons.alias("lon"), F.coalesce(cut(x["band"], r["cols"]), F.array()).alias("value"), F.coalesce(cut(x["q"], r["cols"]), F.array()).alias("quality")).alias("cells")))
+
+    ranges = F.struct(axis_range(F.col(lat), south, north).alias("rows"), axis_range(F.col(lon), west, east).alias("cols"))
+    rows = df.where(F.col(band).isNotNull()).select(*keys, F.explode(once(ranges, rows_of)).alias("r"))
+    cells = rows.select(*keys, "r.row_idx", "r.left", "r.lat", F.posexplode("r.cells").alias("i", "c"))
+    return cells.select(*keys, "row_idx", (F.col("left") + F.col("i")).alias("col_idx"), "lat", "c.lon", "c.value", "c.quality")

@@ -126,8 +126,9 @@ m AS (SELECT year, ((q - 1) * 3 + i)::INTEGER AS month, topic, n FROM l, range(1
 SELECT year, month, max(CASE WHEN topic = '1-URGENT' THEN n END) AS urgent, max(CASE WHEN topic = '5-LOW' THEN n END) AS low FROM m WHERE topic IN ('1-URGENT', '5-LOW') GROUP BY 1, 2""")
 def wide_periods_to_monthly(t):
     names = F.create_map(F.lit("1-URGENT"), F.lit("urgent"), F.lit("5-LOW"), F.lit("low"))
-    quarters = [f"{y} q{q}" for y in range(1990, 2010) for q in range(1, 5)]
-    wide = t("orders").withColumn("period", F.concat(F.year("o_orderdate"), F.lit(" q"), F.quarter("o_orderdate"))).groupBy(F.col("o_orderpriority").alias("topic")).pivot("period", quarters).count()
+    labelled = t("orders").withColumn("period", F.concat(F.year("o_orderdate"), F.lit(" q"), F.quarter("o_orderdate")))
+    quarters = sorted(r["period"] for r in labelled.select("period").distinct().collect() if r["period"])  # the table's own: the header of a wide table
+    wide = labelled.groupBy(F.col("o_orderpriority").alias("topic")).pivot("period", quarters).count()
     long = wide.unpivot(["topic"], quarters, "period", "n").dropna().withColumn("name", F.try_element_at(names, "topic")).dropna()
     long = long.withColumn("year", F.substring("period", 1, 4).cast("int")).withColumn("q", F.substring("period", 7, 1).cast("int"))
     return reshape.pivot_first(reshape.expand_period(long, "quarter", n="q"), ["year", "month"], "name", "n", ["urgent", "low"])

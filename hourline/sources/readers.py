@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourline.functions.clean import parse_period
 
 
+#: What reading raises: errors of planning, and those of tasks.
+BROKEN = (PySparkException, Py4JJavaError)
+
+
 def read_messy_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ";", lang: str = "en") -> DataFrame:
     """Text columns of a delimited file whose preamble and footer are told by a first field that is no period."""
     df = spark.read.csv(path, sep=sep, schema=", ".join(f"`{c}` string" for c in columns), mode="PERMISSIVE", encoding="UTF-8")
@@ -39,17 +47,66 @@ def layout(df: DataFrame) -> str:
     return "wide" if "Country" in df.columns and len(hours) >= 24 else "long"
 
 
-def read_many(spark: SparkSession, paths: list[str], **options) -> DataFrame | None:
-    """The union of all files that can be read, columns aligned by name; None if there is none."""
-    out = None
+def read_many(spark: SparkSession, paths: list[str], kind: str | None = None, schema: str | None = None, **options) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """The union of all files that can be read to their end, columns aligned by name (None if there is none), and the others with the reason.
+
+    Files of one layout are read together. They are gone through once without keeping anything; a file that breaks is left
+    out, whole, and the others are gone through again. So each bad file costs one more pass, and no file more than that. CSV rows that don't
+    fit the columns break their file.
+    """
+    bad: list[tuple[str, str]] = []
+    layouts: dict[str, list[str]] = {}
+    frames: dict[str, DataFrame] = {}
+
+    def opened(many: list[str]) -> DataFrame:
+        how = kind or many[0].rsplit(".", 1)[-1]
+        reader = spark.read.options(**({"mode": "FAILFAST"} if how in ("csv", "json") else {}) | options).format(how)
+        return (reader.schema(schema) if schema else reader).load(many)
+
     for path in paths:
         try:
-            df = spark.read.options(**options).format(path.rsplit(".", 1)[-1]).load(path).withColumn("file", F.col("_metadata.file_name"))
-        except Exception as e:  # noqa: BLE001  any reader's error: the file is left out, as said above
-            print(f"skipped {path}: {type(e).__name__}")
-            continue
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+            layouts.setdefault(f"{path.rsplit('.', 1)[-1]} {opened([path]).schema.json()}", []).append(path)
+        except BROKEN as e:
+            bad.append((path, _reason(e)))
+    for layout, many in layouts.items():
+        while many:
+            frame = opened(many).withColumn("file", F.col("_metadata.file_name"))
+            try:
+                frame.write.format("noop").mode("overwrite").save()
+            except BROKEN as e:
+                broken = [p for p in many if _named(p, str(e))] or (many if len(many) == 1 else [])
+                if not broken:  # the error names no file: each is tried alone
+                    broken = [p for p in many if not _whole(opened([p]))]
+                if not broken:
+                    raise
+                bad += [(p, _reason(e)) for p in broken]
+                many = [p for p in many if p not in broken]
+                continue
+            frames[layout] = frame
+            break
+    out = None
+    for frame in frames.values():
+        out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
+    return out, bad
+
+
+def _reason(e: Exception) -> str:
+    """The last condition that an error names, which is the innermost."""
+    found = re.findall(r"\[([A-Z][A-Z_]+)[\]. ]", str(e))
+    return found[-1] if found else type(e).__name__
+
+
+def _named(path: str, error: str) -> bool:
+    """Whether an error names a file."""
+    return re.search(rf"/{re.escape(path.rstrip('/').rsplit('/', 1)[-1])}(?![\w.-]*\w)", error) is not None
+
+
+def _whole(df: DataFrame) -> bool:
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except BROKEN:
+        return False
+    return True
 
 
 def prefer_value(df: DataFrame, keys: list[str], value: str, fallback: str, name: str) -> DataFrame:
@@ -83,23 +140,28 @@ def discover(spark: SparkSession, patterns: list[str], exclude: str | None = Non
 
 def header_offset(spark: SparkSession, path: str, wanted: tuple[str, ...], sep: str = ";", most: int = 4) -> int | None:
     """How many lines stand above the header of a delimited file: the first of lines 0 to most that has all wanted names; None if none has."""
-    for i, row in enumerate(spark.read.text(path).limit(most + 1).collect()):
-        if set(wanted) <= {x.strip().strip('"') for x in row["value"].lstrip("\ufeff").split(sep)}:
-            return i
-    return None
+    return _header([r["value"] for r in spark.read.text(path).limit(most + 1).collect()], wanted, sep)
+
+
+def _header(lines: list[str], wanted: tuple[str, ...], sep: str) -> int | None:
+    return next((i for i, x in enumerate(lines) if set(wanted) <= {c.strip().strip('"') for c in x.lstrip("\ufeff").split(sep)}), None)
 
 
 def read_below_header(spark: SparkSession, path: str, wanted: tuple[str, ...], sep: str = ";", most: int = 4) -> DataFrame | None:
-    """The table below the header that is found by its names; columns are strings. None without a header."""
-    at = header_offset(spark, path, wanted, sep, most)
+    """The table below the header that is found by its names; columns are strings. None without a header.
+
+    Lines are told apart by their place, so a row below that looks like the header or a line above it stays.
+    """
+    lines = [r["value"] for r in spark.read.text(path).limit(most + 1).collect()]
+    at = _header(lines, wanted, sep)
     if at is None:
         return None
-    head = spark.read.text(path).limit(at + 1).collect()[at]["value"].lstrip("\ufeff")
-    names = [x.strip().strip('"') for x in head.split(sep)]
-    lines = [r["value"] for r in spark.read.text(path).limit(at + 1).collect()]
-    df = spark.read.csv(path, sep=sep, schema=", ".join(f"`{c}` string" for c in names))
-    skip = [x.lstrip("\ufeff").split(sep)[0].strip().strip('"') for x in lines]
-    return df.where(F.col(f"`{names[0]}`").isNull() | ~F.regexp_replace(F.trim(f"`{names[0]}`"), "^\ufeff", "").isin(skip))
+    names = [x.strip().strip('"') for x in lines[at].lstrip("\ufeff").split(sep)]
+    # a file's first split begins with its first line, and lines of a split keep their order
+    head = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_block_start").alias("_block"))
+    body = head.where((F.col("_block") > 0) | (F.col("_at").bitwiseAND((1 << 33) - 1) > at)).where(F.trim("value") != "")
+    row = F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in names)), {"sep": sep, "mode": "PERMISSIVE"})
+    return body.select(row.alias("r")).select("r.*")
 
 
 def read_long_load(df: DataFrame, value: str = "Value", scaled: str = "Value_ScaleTo100", country: str | None = None) -> DataFrame:
