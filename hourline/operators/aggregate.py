@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourline.functions.clean import classify
+from hourline.operators.quantiles import quantiles
+from hourline.operators.segments import meet
 
 
 def daily_quality_agg(df: DataFrame, day: str, value: str, quality: str, fill: str, total: int | None = None, min_cov: float = 0.1, selective: bool = True) -> DataFrame:
@@ -28,10 +30,10 @@ def station_mean(df: DataFrame, ts: str, variables: list[str], count_var: str) -
 
 def box_summary(df: DataFrame, by: list[str], v: str) -> DataFrame:
     """Quartiles, and the outermost values within 1.5 interquartile ranges of them."""
-    q = df.groupBy(*by).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*by, *[F.get("q", i).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = quantiles(df.select(*by, v), by, [v], [0.25, 0.5, 0.75])
+    q = q.select(*by, *[F.get(v, i).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(q, by).where(F.col(v).between(low, high))
+    inside = meet(df, q, by).where(F.col(v).between(low, high))
     return inside.groupBy(*by, "q1", "median", "q3").agg(F.min(v).alias("whisker_low"), F.max(v).alias("whisker_high"))
 
 

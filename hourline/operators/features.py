@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hourline.operators.quantiles import quantiles
+
 
 def lag_design(df: DataFrame, target: str, predictors: list[str], ts: str, horizon_days: int, per_day: int = 24, extra: tuple[int, ...] = (0, 24, 168, 8760), keys=()) -> DataFrame:
     """Every predictor and four target lags, shifted by the horizon in rows; the first rows without lags are dropped."""
@@ -70,7 +72,7 @@ def _fitted(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
 
 def iqr_to_null(df: DataFrame, keys: list[str], cols: list[str], k: float = 1.5) -> DataFrame:
     """Training values beyond k interquartile ranges become null; test rows stay."""
-    q = _fitted(df, keys, [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{c}") for c in cols])
+    q = quantiles(df.where("part = 'train'").select(*keys, *cols), keys, cols, [0.25, 0.75]).withColumnsRenamed({c: f"_{c}" for c in cols})
     out = df.join(q, keys, "left")
     for c in cols:
         lo, hi = F.get(f"_{c}", 0), F.get(f"_{c}", 1)
