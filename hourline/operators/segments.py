@@ -42,15 +42,20 @@ def window(ts: str, keys=()):
     return W.partitionBy(*keys, SEG).orderBy(ts)
 
 
-def scan(summary: DataFrame, keys, start: Column, step: Callable[[Column, Column], Column], last_first: bool = False, alias: str = "s") -> DataFrame:
-    """keys, segment and the state (alias) in front of each segment: start, then step(state, row of the segment before), a row at a time in their order or against it."""
-    facts = [c for c in summary.columns if c not in keys]
-    rows = F.sort_array(F.collect_list(F.struct(SEG, *[c for c in facts if c != SEG])))
-    one = summary.groupBy(*keys).agg((F.reverse(rows) if last_first else rows).alias("a"))
-    kind = one.select(F.transform("a", lambda x: F.struct(x[SEG].alias(SEG), start.alias(alias))).alias("o")).schema["o"].dataType.simpleString()
-    into = lambda acc, x: F.struct(F.concat(acc["o"], F.array(F.struct(x[SEG].alias(SEG), acc["s"].alias(alias)))).alias("o"), step(acc["s"], x).alias("s"))
-    gone = F.aggregate("a", F.struct(F.array().cast(kind).alias("o"), start.alias("s")), into, lambda acc: acc["o"])
-    return one.select(*keys, F.inline(gone))
+def scan(summary: DataFrame, keys, *passes: tuple[str, Column, Callable[[Column, Column], Column], bool]) -> DataFrame:
+    """keys, segment and a column for each pass (name, start, step, last_first): the state in front of each segment.
+
+    A state is start, then step(state, row of the segment before), a row at a time in their order, or against it if last_first.
+    """
+    facts = [c for c in summary.columns if c not in keys and c != SEG]
+    one = summary.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(SEG, *facts))).alias("a"))
+    out = one.withColumn(SEG, F.transform("a", lambda x: x[SEG]))
+    for name, start, step, last_first in passes:
+        kind = one.select(F.array(start).alias("o")).schema["o"].dataType.simpleString()
+        into = lambda acc, x: F.struct(F.concat(acc["o"], F.array(acc["s"])).alias("o"), step(acc["s"], x).alias("s"))
+        states = F.aggregate(F.reverse("a") if last_first else F.col("a"), F.struct(F.array().cast(kind).alias("o"), start.alias("s")), into, lambda acc: acc["o"])
+        out = out.withColumn(name, F.reverse(states) if last_first else states)
+    return out.select(*keys, F.inline(F.arrays_zip(SEG, *[p[0] for p in passes])))
 
 
 def meet(rows: DataFrame, facts: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -71,6 +76,6 @@ def numbered(df: DataFrame, ts: str, name: str, keys=(), width: float = WIDTH) -
     """df with the number of each row in its series, from 1."""
     rows = cut(df, ts, width)
     sizes = rows.groupBy(*keys, SEG).agg(F.count("*").alias("n"))
-    before = scan(sizes, keys, F.lit(0).cast("long"), lambda s, x: s + x["n"], alias="_before")
+    before = scan(sizes, keys, ("_before", F.lit(0).cast("long"), lambda s, x: s + x["n"], False))
     inside = rows.withColumn(name, F.row_number().over(window(ts, keys)).cast("long"))
     return back(inside, before, keys).withColumn(name, F.col(name) + F.col("_before")).drop("_before", SEG)

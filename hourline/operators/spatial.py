@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,20 +41,25 @@ def inside(df: DataFrame, edges: DataFrame, x: str, y: str, most: int = EDGES) -
     The edges are sorted into bands of y, a row's point meets those of its own band only. They go along with each task as one small array,
     so no point is moved; with more than most edges, points and edges meet by a join on the band.
     """
-    facts = edges.agg(F.count("*").alias("n"), F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi")).first()
-    if not facts["n"]:
+    few = edges.select("x1", "y1", "x2", "y2").dropna().limit(most + 1).collect()
+    if not few:
         return df.where(F.lit(False))
-    bands, lo, span = max(1, min(facts["n"], 1 << 14)), float(facts["lo"]), float(facts["hi"] - facts["lo"])
+    lo, hi = min(min(e[1], e[3]) for e in few), max(max(e[1], e[3]) for e in few)
+    if len(few) > most:
+        whole = edges.agg(F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi")).first()
+        lo, hi = whole["lo"], whole["hi"]
+    bands, span = max(1, min(len(few), 1 << 14)), float(hi - lo)
     band = lambda c: F.least(F.floor((c.cast("double") - lo) / span * bands) if span else F.lit(0), F.lit(bands - 1)).cast("int")
-    near = df.where(F.col(y).between(lo, facts["hi"]))
-    if facts["n"] > most:
+    near = df.where(F.col(y).between(lo, hi))
+    if len(few) > most:
         return near.join(_banded(near, edges, x, y, band), [x, y], "left_semi")
     index: list[list] = [[] for _ in range(bands)]
-    dealt = edges.withColumn("a", band(F.least("y1", "y2"))).withColumn("b", band(F.greatest("y1", "y2")))
-    for e in dealt.select("a", "b", "x1", "y1", "x2", "y2").collect():  # most rows at most
-        for i in range(e["a"], e["b"] + 1):
-            index[i].append(tuple(e)[2:])
-    one = df.sparkSession.createDataFrame([(index,)], "_bands array<array<struct<x1:double,y1:double,x2:double,y2:double>>>")
+    at = lambda v: min(math.floor((v - lo) / span * bands), bands - 1) if span else 0
+    for e in few:
+        for i in range(at(min(e[1], e[3])), at(max(e[1], e[3])) + 1):
+            index[i].append(dict(zip(("x1", "y1", "x2", "y2"), map(float, e))))
+    # a constant of the plan: it is read once and goes along with the tasks
+    held = F.from_json(F.lit(json.dumps(index)), "array<array<struct<x1:double,y1:double,x2:double,y2:double>>>")
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
 
@@ -59,8 +67,7 @@ def inside(df: DataFrame, edges: DataFrame, x: str, y: str, most: int = EDGES) -
         cross, on = _crosses(px, py, lambda c: e[c])
         return F.struct((s["odd"] != cross).alias("odd"), (s["on"] | on).alias("on"))
 
-    said = F.aggregate(F.get("_bands", band(F.col(y))), start, meet, lambda s: s["odd"] & ~s["on"])
-    return near.join(F.broadcast(one)).where(said).select(*df.columns)
+    return near.where(F.aggregate(F.get(held, band(F.col(y))), start, meet, lambda s: s["odd"] & ~s["on"]))
 
 
 def mask_points(grid: DataFrame, edges: DataFrame, x: str, y: str, most: int = EDGES) -> DataFrame:

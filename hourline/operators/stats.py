@@ -68,16 +68,23 @@ def _products(df: DataFrame, x: str, y: str, ts: str, lags, keys, block: int) ->
     facts = both.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))], F.count("*").alias("rows"))
     z = lambda c: (F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0))
     rows = segments.meet(segments.numbered(both, ts, "n", keys), facts, keys).select(*keys, "n", "rows", z("x").alias("zx"), z("y").alias("zy"))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("zx", "zy")})  # flat series; lists leave nulls out
     longest = max(map(abs, lags))
     block = max(block, longest, 1)
     own = F.floor((F.col("n") - 1) / block)
     to = F.when((F.col("n") - 1) % block >= block - longest, F.array(own, own + 1)).otherwise(F.array(own))
     dealt = rows.withColumn("own", own).withColumn("block", F.explode(to))
-    w = W.partitionBy(*keys, "block").orderBy("n")
-    partners = {f"p{i}": F.col("zx" if k >= 0 else "zy") * F.lag("zy" if k >= 0 else "zx", abs(k)).over(w) for i, k in enumerate(lags)}
-    sums = dealt.withColumns(partners).where("block = own").groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.sum(p).alias(p) for p in partners])
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"p{i}").alias("r")) for i, k in enumerate(lags)]))
-    return sums.select(*keys, "rows", each.alias("e")).where(F.abs("e.lag") < F.col("rows")).select(*keys, "e.lag", (F.col("e.r") / F.col("rows")).alias("r"))
+    w = W.partitionBy(*keys, "block").orderBy("n").rowsBetween(-longest, 0)
+
+    def products(z: str, past: str, sign: int) -> Column:
+        """lag and product of a row with each of those before it in its frame, for the lags of a sign that are asked for."""
+        every = F.transform(F.reverse(F.col(past)), lambda v, i: F.struct((i * sign).alias("lag"), (v * F.col(z)).alias("p")))
+        return F.filter(every, lambda e: e["lag"].between(min(lags), max(lags)) & (e["lag"] * sign >= (0 if sign > 0 else 1)))
+
+    framed = dealt.withColumn("py", F.collect_list("zy").over(w)).withColumn("px", F.collect_list("zx").over(w)).where("block = own")
+    each = F.concat(products("zx", "py", 1), products("zy", "px", -1)) if min(lags) < 0 else products("zx", "py", 1)
+    # products are summed where they are made, so what moves is a row a lag and task
+    return framed.select(*keys, "rows", F.inline(each)).groupBy(*keys, "lag").agg(F.nanvl(F.sum("p") / F.max("rows"), F.lit(None).cast("double")).alias("r"))
 
 
 def pacf(acf_df: DataFrame, keys: list[str] = (), lag: str = "lag", col: str = "acf") -> DataFrame:

@@ -42,7 +42,7 @@ def ffill(df: DataFrame, cols: list[str], ts: str, keys=(), width: float = WIDTH
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(ts))).alias(f"v{i}") for i, c in enumerate(cols)]
     none = F.struct(*[F.lit(None).cast(df.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(cols)])
     step = lambda s, x: F.struct(*[F.coalesce(x[f"v{i}"], s[f"v{i}"]).alias(f"v{i}") for i in range(len(cols))])
-    before = segments.scan(rows.groupBy(*keys, SEG).agg(*last), keys, none, step, alias="_before")
+    before = segments.scan(rows.groupBy(*keys, SEG).agg(*last), keys, ("_before", none, step, False))
     w = segments.window(ts, keys).rowsBetween(W.unboundedPreceding, 0)
     inside = rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
     filled = segments.back(inside, before, keys).withColumns({c: F.coalesce(c, F.col("_before")[f"v{i}"]) for i, c in enumerate(cols)})
@@ -59,11 +59,12 @@ def interpolate(df: DataFrame, col: str, ts: str, limit: int, keys=(), width: fl
     none = F.struct(F.lit(None).cast("long").alias("p"), F.lit(None).cast(kind).alias("v"))
     moved = lambda h, by: F.struct((h["p"] + by).alias("p"), h["v"].alias("v"))
     known = lambda h, other: F.when(h.isNotNull(), h).otherwise(other)
-    ahead = segments.scan(ends, keys, F.struct(F.lit(0).cast("long").alias("n"), none.alias("h")), lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.when(x["last"].isNotNull(), moved(x["last"], s["n"])).otherwise(s["h"]).alias("h")), alias="_a")
-    # what follows a segment is counted from its first row: the rows of segments between are added on the way
-    behind = segments.scan(ends, keys, none, lambda s, x: moved(known(x["first"], F.when(s["p"].isNotNull(), moved(s, x["n"])).otherwise(none)), F.lit(0)), last_first=True, alias="_b")
+    ahead = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.when(x["last"].isNotNull(), moved(x["last"], s["n"])).otherwise(s["h"]).alias("h"))
+    # what follows a segment is counted from its own first row: rows of segments between are added on the way
+    behind = lambda s, x: moved(known(x["first"], F.when(s["p"].isNotNull(), moved(s, x["n"])).otherwise(none)), F.lit(0))
+    states = segments.scan(ends, keys, ("_a", F.struct(F.lit(0).cast("long").alias("n"), none.alias("h")), ahead, False), ("_b", none, behind, True))
     out = rows.withColumn("_l", F.last("_h", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_r", F.first("_h", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))).withColumn("_n", F.count("*").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    out = segments.back(segments.back(out, ahead, keys), behind, keys)
+    out = segments.back(out, states, keys)
     left, right = known(F.col("_l"), moved(F.col("_a.h"), -F.col("_a.n"))), known(F.col("_r"), moved(F.col("_b"), F.col("_n")))
     d = F.col("_p") - left["p"]
     line = left["v"] + (right["v"] - left["v"]) * d / F.nullif(right["p"] - left["p"], F.lit(0))
@@ -89,7 +90,7 @@ def gap_ranges(df: DataFrame, ts: str, unit: str, keys=(), width: float = WIDTH)
     slot = F.expr(f"timestampadd({unit}, timestampdiff({unit}, _first, `{ts}`), _first)").cast(kind)
     rows = segments.cut(segments.meet(seen, first, keys).where(slot == F.col(ts)), ts, width)
     ends = rows.groupBy(*keys, SEG).agg(F.max(ts).alias("t"))
-    before = segments.scan(ends, keys, F.lit(None).cast(kind), lambda s, x: x["t"], alias="_before")
+    before = segments.scan(ends, keys, ("_before", F.lit(None).cast(kind), lambda s, x: x["t"], False))
     rows = segments.back(rows.withColumn("_last", F.lag(ts).over(segments.window(ts, keys))), before, keys).withColumn("_last", F.coalesce("_last", "_before"))
     n, step = F.expr(f"timestampdiff({unit}, _last, `{ts}`)"), F.expr(f"interval 1 {unit}")
     gaps = rows.where(n > 1)
