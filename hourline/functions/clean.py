@@ -115,3 +115,14 @@ def granularity(label: Column) -> Column:
         .when(c.rlike(r"^\d{4} \d\w\w quarter$"), "quarter")
         .when(c.rlike(r"^\d{4} [a-z]+$"), "month")
     )
+
+
+def is_entity(c: Column, name: str) -> Column:
+    """Whether a label, without blanks around it, is a name; false for null."""
+    return F.coalesce(F.trim(c) == name, F.lit(False))
+
+
+def mapped(c: Column, names: dict[str, str]) -> Column:
+    """The name that a label stands for, without blanks around it and whatever its case; null for labels that names lacks."""
+    known = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k.lower(), v)]) if names else None
+    return F.lit(None).cast("string") if known is None else F.try_element_at(known, F.lower(F.trim(c)))

@@ -51,3 +51,10 @@ def match_suffix(df: DataFrame, col: str, names: DataFrame) -> DataFrame:
 def key_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct keys of a that b lacks."""
     return a.select(key).distinct().join(b.select(key), key, "left_anti")
+
+
+def lookup(df: DataFrame, other: DataFrame, keys: list[str], suffix: str, cols: list[str] | None = None) -> DataFrame:
+    """df with other's columns (or cols of them), null where it lacks the key; names that df has take the suffix. Of several rows of a key each makes a row."""
+    cols = [c for c in other.columns if c not in keys] if cols is None else cols
+    have = {c.lower() for c in df.columns}
+    return df.join(other.select(*keys, *[F.col(c).alias(f"{c}{suffix}" if c.lower() in have else c) for c in cols]), keys, "left")

@@ -17,6 +17,16 @@ def lag_design(df: DataFrame, target: str, predictors: list[str], ts: str, horiz
     return out.where(F.col("_n") > h + max(extra)).drop("_n")
 
 
+def design(df: DataFrame, ts: str, components: list[str], predictors: list[str], target: str, missing: tuple[str, ...] = ()) -> DataFrame:
+    """ts, components, predictors and the target last; null predictors and components count as 0, and those named in missing, which df need not have, are 0 where it lacks them."""
+    have = {*df.columns}
+    unknown = [c for c in [*components, *predictors] if c not in have and c not in missing]
+    if unknown:
+        raise ValueError(f"{unknown} are no columns of {df.columns}")
+    value = lambda c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)).alias(c)
+    return df.select(ts, *[value(c) for c in dict.fromkeys([*components, *predictors])], target)
+
+
 def rocv_folds(df: DataFrame, ts: str, min_train_years: int, step_years: int, horizons: list[int]) -> DataFrame:
     """fold, cutoff and horizon_days; a cutoff must leave the longest horizon, so all horizons share their folds."""
     span = df.agg(F.min(F.to_date(ts)).alias("a"), F.max(F.to_date(ts)).alias("b")).where("a is not null")

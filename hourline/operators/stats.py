@@ -30,10 +30,12 @@ def corr_matrix(df: DataFrame, cols: list[str], min_rows: int = 0) -> DataFrame:
     return df.agg(F.array(*aggs).alias("m")).select(F.inline("m"))
 
 
-def vif(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Inflation factors by the Gram matrix of complete rows; only its k x k sums come to the driver."""
+def vif(df: DataFrame, cols: list[str], least: int = 36) -> DataFrame:
+    """Inflation factors by the Gram matrix of complete rows, of which least are needed (else there are none); only k x k sums come to the driver."""
     full = df.select(*[F.col(c).cast("double") for c in cols]).dropna()
-    sums = full.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]).first()
+    sums = full.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j], F.count("*").alias("rows")).first()
+    if sums["rows"] < least:
+        return df.sparkSession.createDataFrame([], "name string, vif double")
     k = len(cols)
     g = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
     scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
@@ -48,24 +50,30 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
 BLOCK = 1 << 13
 
 
-def acf(df: DataFrame, col: str, ts: str, nlags: int, keys=(), block: int = BLOCK) -> DataFrame:
-    """lag and acf, lag 0 to nlags, with denominator n and one mean; rows with null values are left out first."""
-    return _products(df, col, col, ts, range(nlags + 1), keys, block).withColumnRenamed("r", "acf")
+def acf(df: DataFrame, col: str, ts: str, nlags: int, keys=(), block: int = BLOCK, least: int | None = None) -> DataFrame:
+    """lag and acf, lag 0 to nlags, with denominator n and one mean; rows with null values are left out first.
+
+    A series of fewer than least rows (nlags + 6 unless given) has no rows.
+    """
+    return _products(df, col, col, ts, range(nlags + 1), keys, block, nlags + 6 if least is None else least).withColumnRenamed("r", "acf")
 
 
-def ccf(df: DataFrame, x: str, y: str, ts: str, max_lag: int, keys=(), block: int = BLOCK) -> DataFrame:
-    """lag and ccf from -max_lag to max_lag: r(k) = sum x[t + k] y[t]; k > 0: x follows y."""
-    return _products(df, x, y, ts, range(-max_lag, max_lag + 1), keys, block).withColumnRenamed("r", "ccf")
+def ccf(df: DataFrame, x: str, y: str, ts: str, max_lag: int, keys=(), block: int = BLOCK, least: int | None = None) -> DataFrame:
+    """lag and ccf from -max_lag to max_lag: r(k) = sum x[t + k] y[t]; k > 0: x follows y.
+
+    A series that has both values in fewer than least rows (three times max_lag unless given) has no rows.
+    """
+    return _products(df, x, y, ts, range(-max_lag, max_lag + 1), keys, block, 3 * max_lag if least is None else least).withColumnRenamed("r", "ccf")
 
 
-def _products(df: DataFrame, x: str, y: str, ts: str, lags, keys, block: int) -> DataFrame:
+def _products(df: DataFrame, x: str, y: str, ts: str, lags, keys, block: int, least: int) -> DataFrame:
     """lag and r of a series of numbered rows, all lags from one aggregate.
 
     Rows are dealt out in blocks; the rows that end a block go to the next one too, as far back as the longest lag, so
     that each finds its partners there. What is shuffled doesn't depend on the number of lags but for this edge.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, ts, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    facts = both.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))], F.count("*").alias("rows"))
+    facts = both.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))], F.count("*").alias("rows")).where(F.col("rows") >= least)
     z = lambda c: (F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0))
     rows = segments.meet(segments.numbered(both, ts, "n", keys), facts, keys).select(*keys, "n", "rows", z("x").alias("zx"), z("y").alias("zy"))
     rows = rows.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("zx", "zy")})  # flat series; lists leave nulls out

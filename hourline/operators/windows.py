@@ -97,8 +97,13 @@ def gap_ranges(df: DataFrame, ts: str, unit: str, keys=(), width: float = WIDTH)
     return gaps.select(*keys, (F.col("_last") + step).cast(kind).alias("gap_start"), (F.col(ts) - step).cast(kind).alias("gap_end"), (n - 1).alias("length"))
 
 
-def decompose(df: DataFrame, col: str, ts: str, period: int, keys=()) -> DataFrame:
-    """Classical additive decomposition: centred moving average, phase means of the rest (centred), residual."""
+def decompose(df: DataFrame, col: str, ts: str, period: int, keys=(), least: int | None = None) -> DataFrame:
+    """Classical additive decomposition: centred moving average, phase means of the rest (centred), residual.
+
+    A series of fewer than least rows (three periods unless given) has no rows.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= (3 * period if least is None else least))
+    df = segments.meet(df, sizes, keys).drop("_rows")
     half, w = period // 2, _over(ts, keys)
     if period % 2:
         over = w.rowsBetween(-half, half)
@@ -124,3 +129,9 @@ def trim(df: DataFrame, ts: str, first: int = 0, last: int = 0, keys=()) -> Data
 def last_rows(df: DataFrame, ts: str, n: int, keys=()) -> DataFrame:
     """The last n rows in the order of ts."""
     return df.withColumn("_down", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts)))).where(F.col("_down") <= n).drop("_down")
+
+
+def recent(df: DataFrame, ts: str, months: int) -> DataFrame:
+    """The rows later than so many months before the last one."""
+    last = df.agg(F.add_months(F.max(F.to_date(ts)), -months).alias("_after"))  # one row
+    return df.join(last, F.to_date(F.col(ts)) > F.col("_after")).drop("_after")

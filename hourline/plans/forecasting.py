@@ -80,7 +80,7 @@ def lag_design(t):
 @query(f"SELECT day, round(sin(2 * pi() * date_diff('day', DATE '1970-01-01', day) / 7), 6) + 0.0 AS week_sin1, total_lag, total_lag_7, total FROM ({_LAGS}) q")
 def design_matrix(t):
     df, _ = evaluate.fourier(lag_design(t), "day", {"week": 7.0}, 1)
-    return df.select("day", (F.round("week_sin1", 6) + 0.0).alias("week_sin1"), "total_lag", "total_lag_7", "total")
+    return features.design(df, "day", ["week_sin1"], ["total_lag", "total_lag_7"], "total").withColumn("week_sin1", F.round("week_sin1", 6) + 0.0)
 
 
 _NAIVE = f"""{_SPLIT}, g AS (SELECT day, lag(total, 60) OVER (ORDER BY day) AS lag_60, lag(total, 364) OVER (ORDER BY day) AS lag_364 FROM d), p AS (SELECT fold, horizon_days, total AS y, m AS model, CASE m WHEN 'lag_60' THEN lag_60 ELSE lag_364 END AS yhat FROM x JOIN g USING (day), unnest(['lag_60', 'lag_364']) AS u(m) WHERE part = 'test'),

@@ -125,11 +125,10 @@ def year_to_months(t):
 m AS (SELECT year, ((q - 1) * 3 + i)::INTEGER AS month, topic, n FROM l, range(1, 4) AS r(i) WHERE topic <> '3-MEDIUM')
 SELECT year, month, max(CASE WHEN topic = '1-URGENT' THEN n END) AS urgent, max(CASE WHEN topic = '5-LOW' THEN n END) AS low FROM m WHERE topic IN ('1-URGENT', '5-LOW') GROUP BY 1, 2""")
 def wide_periods_to_monthly(t):
-    names = F.create_map(F.lit("1-URGENT"), F.lit("urgent"), F.lit("5-LOW"), F.lit("low"))
     labelled = t("orders").withColumn("period", F.concat(F.year("o_orderdate"), F.lit(" q"), F.quarter("o_orderdate")))
     quarters = sorted(r["period"] for r in labelled.select("period").distinct().collect() if r["period"])  # the table's own: the header of a wide table
     wide = labelled.groupBy(F.col("o_orderpriority").alias("topic")).pivot("period", quarters).count()
-    long = wide.unpivot(["topic"], quarters, "period", "n").dropna().withColumn("name", F.try_element_at(names, "topic")).dropna()
+    long = wide.unpivot(["topic"], quarters, "period", "n").dropna().withColumn("name", clean.mapped(F.col("topic"), {"1-URGENT": "urgent", "5-LOW": "low"})).dropna()
     long = long.withColumn("year", F.substring("period", 1, 4).cast("int")).withColumn("q", F.substring("period", 7, 1).cast("int"))
     return reshape.pivot_first(reshape.expand_period(long, "quarter", n="q"), ["year", "month"], "name", "n", ["urgent", "low"])
 
@@ -138,7 +137,7 @@ def wide_periods_to_monthly(t):
 SELECT event_id, round(CASE WHEN has THEN v ELSE scaled END, 4) AS load FROM x JOIN h USING (user_id) WHERE trim(event_type) = 'click'""")
 def column_preference(t):
     x = t("events").select("event_id", "user_id", "event_type", F.when(F.col("user_id") % 3 != 0, F.col("value")).alias("v"), (F.col("value") * 2).alias("scaled"))
-    return rounded(prefer_value(x, ["user_id"], "v", "scaled", "load").where(F.trim("event_type") == "click").select("event_id", "load"), "load")
+    return rounded(prefer_value(x, ["user_id"], "v", "scaled", "load").where(clean.is_entity(F.col("event_type"), "click")).select("event_id", "load"), "load")
 
 
 _MODEL = """WITH w AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, sum(value) AS load, count(*) AS n, avg(CASE WHEN event_type = 'click' THEN value END) AS val, avg(CASE WHEN event_type = 'view' THEN value END) AS raw FROM events GROUP BY 1),

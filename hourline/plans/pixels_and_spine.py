@@ -141,8 +141,9 @@ n AS (SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, count(*) AS n
 SELECT year::INTEGER AS year, month::INTEGER AS month, n, levy AS levy_old FROM n LEFT JOIN l USING (year, month)""")
 def lookup_join(t):
     by = lambda c: [F.year(c).alias("year"), F.month(c).alias("month")]
-    old = t("orders").where("o_orderstatus = 'F'").groupBy(*by("o_orderdate")).agg(F.count("*").alias("levy_old"))
-    return t("lineitem").groupBy(*by("l_shipdate")).agg(F.count("*").alias("n")).join(old, ["year", "month"], "left")
+    old = t("orders").where("o_orderstatus = 'F'").groupBy(*by("o_orderdate")).agg(F.count("*").alias("n"), F.max("o_custkey").alias("best"))
+    new = t("lineitem").groupBy(*by("l_shipdate")).agg(F.count("*").alias("n"))
+    return align.lookup(new, old, ["year", "month"], "_old", ["n"]).withColumnRenamed("n_old", "levy_old")
 
 
 @query("""SELECT o_orderkey, year(o_orderdate)::INTEGER AS year, o_totalprice AS price, o_orderstatus AS status, NULL::VARCHAR AS priority FROM orders WHERE year(o_orderdate) <= 1997

@@ -304,9 +304,7 @@ def sample_hash(t):
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate::DATE > (SELECT max(o_orderdate::DATE) - INTERVAL 5 YEAR FROM orders)")
 def recent_window(t):
-    o = t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    last = o.agg(F.add_months(F.max("day"), -60).alias("after"))
-    return o.join(F.broadcast(last), F.col("day") > F.col("after")).select("o_orderkey", "day")
+    return windows.recent(t("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day", 60)
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
