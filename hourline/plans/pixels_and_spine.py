@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourline.functions import clean
+from hourline import stages
 from hourline.operators import aggregate, align, quality, reports, reshape, spatial
 from hourline.plans.registry import DAILY, FULL_HOURLY, HOURLY, PIXELS, daily, hourly, pixels, query, rounded
 from hourline.schema import with_missing_columns
@@ -201,3 +202,27 @@ def station_grid(t):
 @query(f"WITH {HOURLY} SELECT year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, round(avg(load), 4) AS mean, count(*) AS n FROM h GROUP BY 1, 2")
 def monthly_from_hourly(t):
     return rounded(hourly(t("events")).groupBy(F.year("ts").alias("year"), F.month("ts").alias("month")).agg(F.avg("load").alias("mean"), F.count("*").alias("n")), "mean")
+
+
+_MERGED = f"""WITH {_SPINE}, {HOURLY}, c AS (SELECT timestamp, {_CALENDAR} FROM s),
+p AS (SELECT (l_shipdate + INTERVAL 8400 DAY)::DATE AS day, l_extendedprice AS value, l_linenumber % 4 AS quality, l_returnflag = 'A' AND l_linestatus = 'O' AS fill FROM lineitem),
+px AS (SELECT day, avg(CASE WHEN NOT fill AND quality <= 1 THEN value END) AS mean, sum(CASE WHEN NOT fill AND quality <= 1 THEN value END) AS sum, {_AGG}),
+st AS (SELECT ts, avg(v) AS v, count(v)::INTEGER AS n FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, user_id, avg(value) AS v FROM events GROUP BY 1, 2) q GROUP BY ts),
+a AS (SELECT month(o_orderdate) AS month, count(*) AS orders FROM orders WHERE month(o_orderdate) <> 1 OR o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT month(l_shipdate) AS month, max(l_suppkey) AS supplier FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""{_MERGED} SELECT c.timestamp, load, round(mean + 1e-9, 4) AS px_mean, round(px.sum, 4) AS px_sum, valid_count AS px_valid_count, fill_count AS px_fill_count, invalid_count AS px_invalid_count, round(st.v + 1e-9, 4) AS st_v, st.n AS st_station_count,
+ a.orders AS mo_a_orders, b.supplier AS mo_b_supplier, c.year, c.month, c.day, c.hour, c.quarter, c.week_of_year, c.day_of_week, c.day_of_year, c.is_weekend
+ FROM c LEFT JOIN h ON c.timestamp = h.ts LEFT JOIN px ON px.day = c.timestamp::DATE LEFT JOIN st ON st.ts = c.timestamp LEFT JOIN a ON c.year = 2024 AND a.month = c.month LEFT JOIN b ON c.year = 2024 AND b.month = c.month""")
+def merged_table(t):
+    """Events as load and stations, line items as pixels, orders and line items by month."""
+    li, o, hour = t("lineitem"), t("orders"), clean.hour_floor(F.col("ts")).alias("timestamp")
+    px = pixels(li).select(F.date_add("day", 8400).alias("date"), "value", "quality", "fill")
+    st = t("events").groupBy(hour, F.col("user_id").alias("station")).agg(F.avg("value").alias("v"))
+    by = lambda c: [F.lit(2024).alias("year"), F.month(c).alias("month")]
+    a = o.where((F.month("o_orderdate") != 1) | (F.col("o_orderkey") % 2 == 0)).groupBy(*by("o_orderdate")).agg(F.count("*").alias("orders"))
+    b = li.groupBy(*by("l_shipdate")).agg(F.max("l_suppkey").alias("supplier"))
+    load = hourly(t("events")).withColumnRenamed("ts", "timestamp")
+    parts = stages.aggregated({"load": load, "pixels": px, "stations": st, "monthly_a": a, "monthly_b": b})
+    out = stages.merged(_spine(t), parts)
+    return rounded(out, "px_mean", "st_v", nudge=1e-9).withColumn("px_sum", F.round("px_sum", 4))
