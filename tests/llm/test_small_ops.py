@@ -207,3 +207,17 @@ def test_licence_texts(spark):
     import re
 
     assert all(re.search(licenses.ANCHORS, v) for v in t.values())
+
+
+def test_licences_that_differ_by_a_word(spark):
+    said = {"CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-ND 4.0": "CC-BY-ND-4.0", "CC BY 4.0": "CC-BY-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "GNU Affero General Public License, version 3": "AGPL-3.0", "GNU AGPL version 3": "AGPL-3.0", "GNU Lesser General Public License, version 3": "LGPL-3.0", "GNU Lesser General Public License, version 2.1": "LGPL-2.1", "GNU General Public License, version 3": "GPL-3.0", "Apache 2.0": "Apache-2.0", "BSD 3-clause": "BSD-3-Clause", "Mozilla Public 2.0": "MPL-2.0", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0", "mit der Apache": None}
+    rows = [(i, f"d{i}/a.py", f"{PROSE}\n{t}\n{PROSE}") for i, t in enumerate(said)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
+def test_licences_of_very_long_texts(spark):
+    lines = "\n".join(f"line {i} of prose" for i in range(200_000))
+    rows = [(1, "a/x.py", lines + "\nReleased under the MIT License"), (2, "b/x.py", "# note\n" * 150 + "# Released under the MIT License\n" + "word " * 400_000), (3, "c/x", "x" * 2_000_000)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: None}
