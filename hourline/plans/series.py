@@ -164,14 +164,22 @@ def corr_pairs(t):
     return rounded(stats.corr_matrix(t("lineitem"), _COLS[:2]), "r", digits=6)
 
 
-@query()
+#: The Gram matrix beside the unit matrix, eliminated a column a step, leaves its inverse.
+_VIF = f"""WITH RECURSIVE x AS (SELECT [{', '.join(f'{c}::DOUBLE' for c in _COLS)}] AS v FROM lineitem),
+g AS (SELECT i, j, CASE WHEN j <= {len(_COLS)} THEN sum(v[i] * v[least(j, {len(_COLS)})]) WHEN j = i + {len(_COLS)} THEN 1.0 ELSE 0.0 END AS v FROM x, range(1, {len(_COLS) + 1}) AS a(i), range(1, {2 * len(_COLS) + 1}) AS b(j) GROUP BY i, j),
+r AS (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i), e AS (SELECT 1 AS p, list(r ORDER BY i) AS m FROM r UNION ALL
+  SELECT p + 1, list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda z: z / m[p][p]) ELSE list_transform(r, lambda z, q: z - r[p] / m[p][p] * m[p][q]) END) FROM e WHERE p <= {len(_COLS)}),
+n AS (SELECT {_COLS}[i] AS name, (SELECT m FROM e WHERE p = {len(_COLS) + 1})[i][{len(_COLS)} + i] * g.v AS vif FROM g WHERE i = j)"""
+
+
+@query(f"{_VIF} SELECT name, round(vif, 5) AS vif FROM n")
 def vif(t):
-    return stats.vif(t("lineitem"), _COLS)
+    return rounded(stats.vif(t("lineitem"), _COLS), "vif", digits=5)
 
 
-@query()
+@query(f"{_VIF} SELECT name, round(vif, 5) AS vif, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END AS severity FROM n ORDER BY vif DESC")
 def vif_ranked(t):
-    return stats.vif(t("lineitem"), _COLS).withColumn("severity", clean.severity(F.col("vif"), 10, 5)).orderBy(F.desc("vif"))
+    return rounded(stats.vif(t("lineitem"), _COLS).withColumn("severity", clean.severity(F.col("vif"), 10, 5)), "vif", digits=5).orderBy(F.desc("vif"))
 
 
 @query("""WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), b AS (SELECT least(greatest(ceil((l_extendedprice - lo) / ((hi - lo) / 30)), 1), 30)::INTEGER AS bin, l_quantity AS y, lo, hi FROM lineitem, s)
@@ -205,10 +213,20 @@ def acf_top10(t):
     return a.where("lag > 0").orderBy(F.desc(F.abs("acf")), "lag").limit(10)
 
 
-@query()
+#: The recursion that gives the coefficients of order k from those of order k - 1.
+_PACF = """WITH RECURSIVE h AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, sum(value) AS load FROM events GROUP BY 1, 2),
+x AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n, (load - avg(load) OVER w) / stddev_pop(load) OVER w AS z, count(*) OVER w AS c FROM h WINDOW w AS (PARTITION BY event_type)),
+l AS (SELECT b.event_type, k::INTEGER AS lag, sum(a.z * b.z) / max(a.c) AS r FROM range(1, 25) AS g(k), x b JOIN x a ON a.event_type = b.event_type AND a.n = b.n + k WHERE b.c >= 30 GROUP BY 1, 2),
+s AS (SELECT event_type, list(r ORDER BY lag) AS r FROM l GROUP BY 1),
+p AS (SELECT event_type, r, 1 AS lag, [r[1]] AS phi FROM s UNION ALL
+  SELECT event_type, r, lag + 1, list_append(list_transform(phi, lambda f, i: f - (r[lag + 1] - list_dot_product(phi, list_reverse(r[1:lag]))) / (1 - list_dot_product(phi, r[1:lag])) * phi[lag + 1 - i]), (r[lag + 1] - list_dot_product(phi, list_reverse(r[1:lag]))) / (1 - list_dot_product(phi, r[1:lag]))) FROM p WHERE lag < 24)
+SELECT event_type, lag, round(phi[lag], 6) AS pacf FROM p UNION ALL SELECT event_type, 0, 1.0 FROM s"""
+
+
+@query(_PACF)
 def pacf(t):
     h = t("events").groupBy("event_type", clean.hour_floor(F.col("ts")).alias("ts")).agg(F.sum("value").alias("load"))
-    return stats.pacf(stats.acf(h, "load", "ts", 24, ["event_type"]), ["event_type"])
+    return rounded(stats.pacf(stats.acf(h, "load", "ts", 24, ["event_type"]), ["event_type"]), "pacf", digits=6)
 
 
 _PAIR = "w AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, round(sum(value), 2) AS load, round(avg(CASE WHEN event_type = 'view' THEN value END), 4) AS seen FROM events GROUP BY 1), v AS (SELECT * FROM w WHERE seen IS NOT NULL), x AS (SELECT row_number() OVER (ORDER BY ts) AS n, (load - avg(load) OVER ()) / stddev_pop(load) OVER () AS zx, (seen - avg(seen) OVER ()) / stddev_pop(seen) OVER () AS zy, count(*) OVER () AS c FROM v), r AS (SELECT k::INTEGER AS lag, round(sum(a.zx * b.zy) / max(a.c), 6) AS ccf FROM range(-24, 25) AS g(k), x b JOIN x a ON a.n = b.n + k GROUP BY k)"
