@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hourline.operators import segments
 from hourline.operators.quantiles import quantiles
 
 
 def lag_design(df: DataFrame, target: str, predictors: list[str], ts: str, horizon_days: int, per_day: int = 24, extra: tuple[int, ...] = (0, 24, 168, 8760), keys=()) -> DataFrame:
     """Every predictor and four target lags, shifted by the horizon in rows; the first rows without lags are dropped."""
-    w, h = W.partitionBy(*keys).orderBy(ts), horizon_days * per_day
+    h = horizon_days * per_day
+    rows, w = segments.haloed(df.where(F.col(target).isNotNull()), ts, h + max(extra), 0, keys)
     lags = {f"{p}_lag": F.lag(p, h).over(w) for p in predictors} | {f"{target}_lag_{n}": F.lag(target, h + n).over(w) for n in extra}
-    out = df.where(F.col(target).isNotNull()).withColumn("_n", F.row_number().over(w)).select(*keys, ts, target, "_n", *[c.alias(n) for n, c in lags.items()])
-    return out.where(F.col("_n") > h + max(extra)).drop("_n")
+    out = rows.select(*keys, ts, target, "_n", "_own", "_block", *[c.alias(n) for n, c in lags.items()])
+    return out.where("_block = _own").where(F.col("_n") > h + max(extra)).drop("_n", "_own", "_block")
 
 
 def design(df: DataFrame, ts: str, components: list[str], predictors: list[str], target: str, missing: tuple[str, ...] = ()) -> DataFrame:

@@ -79,3 +79,21 @@ def numbered(df: DataFrame, ts: str, name: str, keys=(), width: float = WIDTH) -
     before = scan(sizes, keys, ("_before", F.lit(0).cast("long"), lambda s, x: s + x["n"], False))
     inside = rows.withColumn(name, F.row_number().over(window(ts, keys)).cast("long"))
     return back(inside, before, keys).withColumn(name, F.col(name) + F.col("_before")).drop("_before", SEG)
+
+
+#: Rows of a block.
+BLOCK = 1 << 13
+
+
+def haloed(df: DataFrame, ts: str, back: int, ahead: int, keys=(), block: int = BLOCK):
+    """df's rows in blocks by their number (_n) in the series, and a window over a block in their order.
+
+    Rows near the edges of a block go to its neighbours, too, so that a window sees so many rows back and ahead of each
+    of the block's own rows, which are those where _block = _own; at most three times as many rows as the series has are made,
+    and hardly more than itself where blocks are longer than what is looked for.
+    """
+    block = max(block, back, ahead, 1)
+    place, own = (F.col("_n") - 1) % block, F.floor((F.col("_n") - 1) / block)
+    near = F.array(own, F.when(place >= block - back, own + 1), F.when((place < ahead) & (own > 0), own - 1))
+    rows = numbered(df, ts, "_n", keys).withColumn("_own", own).withColumn("_block", F.explode(F.filter(near, lambda b: b.isNotNull())))
+    return rows, W.partitionBy(*keys, "_block").orderBy("_n")

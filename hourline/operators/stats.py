@@ -7,7 +7,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourline.operators import segments
@@ -46,11 +45,7 @@ def vif(df: DataFrame, cols: list[str], least: int = 36) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, None if v is None else float(v)) for c, v in zip(cols, out)], "name string, vif double")
 
 
-#: Rows of a block of a series, within which lags are looked up.
-BLOCK = 1 << 13
-
-
-def acf(df: DataFrame, col: str, ts: str, nlags: int, keys=(), block: int = BLOCK, least: int | None = None) -> DataFrame:
+def acf(df: DataFrame, col: str, ts: str, nlags: int, keys=(), block: int = segments.BLOCK, least: int | None = None) -> DataFrame:
     """lag and acf, lag 0 to nlags, with denominator n and one mean; rows with null values are left out first.
 
     A series of fewer than least rows (nlags + 6 unless given) has no rows.
@@ -58,7 +53,7 @@ def acf(df: DataFrame, col: str, ts: str, nlags: int, keys=(), block: int = BLOC
     return _products(df, col, col, ts, range(nlags + 1), keys, block, nlags + 6 if least is None else least).withColumnRenamed("r", "acf")
 
 
-def ccf(df: DataFrame, x: str, y: str, ts: str, max_lag: int, keys=(), block: int = BLOCK, least: int | None = None) -> DataFrame:
+def ccf(df: DataFrame, x: str, y: str, ts: str, max_lag: int, keys=(), block: int = segments.BLOCK, least: int | None = None) -> DataFrame:
     """lag and ccf from -max_lag to max_lag: r(k) = sum x[t + k] y[t]; k > 0: x follows y.
 
     A series that has both values in fewer than least rows (three times max_lag unless given) has no rows.
@@ -75,21 +70,18 @@ def _products(df: DataFrame, x: str, y: str, ts: str, lags, keys, block: int, le
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, ts, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     facts = both.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))], F.count("*").alias("rows")).where(F.col("rows") >= least)
     z = lambda c: (F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0))
-    rows = segments.meet(segments.numbered(both, ts, "n", keys), facts, keys).select(*keys, "n", "rows", z("x").alias("zx"), z("y").alias("zy"))
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("zx", "zy")})  # flat series; lists leave nulls out
+    z = lambda c: F.coalesce((F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0)), F.lit(float("nan")))  # noqa: E731  NaN in flat series, as lists leave nulls out
+    rows = segments.meet(both, facts, keys).select(*keys, ts, "rows", z("x").alias("zx"), z("y").alias("zy"))
     longest = max(map(abs, lags))
-    block = max(block, longest, 1)
-    own = F.floor((F.col("n") - 1) / block)
-    to = F.when((F.col("n") - 1) % block >= block - longest, F.array(own, own + 1)).otherwise(F.array(own))
-    dealt = rows.withColumn("own", own).withColumn("block", F.explode(to))
-    w = W.partitionBy(*keys, "block").orderBy("n").rowsBetween(-longest, 0)
+    dealt, order = segments.haloed(rows, ts, longest, 0, keys, block)
+    w = order.rowsBetween(-longest, 0)
 
     def products(z: str, past: str, sign: int) -> Column:
         """lag and product of a row with each of those before it in its frame, for the lags of a sign that are asked for."""
         every = F.transform(F.reverse(F.col(past)), lambda v, i: F.struct((i * sign).alias("lag"), (v * F.col(z)).alias("p")))
         return F.filter(every, lambda e: e["lag"].between(min(lags), max(lags)) & (e["lag"] * sign >= (0 if sign > 0 else 1)))
 
-    framed = dealt.withColumn("py", F.collect_list("zy").over(w)).withColumn("px", F.collect_list("zx").over(w)).where("block = own")
+    framed = dealt.withColumn("py", F.collect_list("zy").over(w)).withColumn("px", F.collect_list("zx").over(w)).where("_block = _own")
     each = F.concat(products("zx", "py", 1), products("zy", "px", -1)) if min(lags) < 0 else products("zx", "py", 1)
     # products are summed where they are made, so what moves is a row a lag and task
     return framed.select(*keys, "rows", F.inline(each)).groupBy(*keys, "lag").agg(F.nanvl(F.sum("p") / F.max("rows"), F.lit(None).cast("double")).alias("r"))

@@ -1,7 +1,7 @@
 """Window operators over series. keys names the series; without keys there is one.
 
-Fills and gaps run over segments of time, so that many tasks share one series; lags, rolling means and decompositions order
-a series in one task.
+Many tasks share one series: fills and gaps run over segments of time, lags, rolling means and decompositions over blocks of
+rows that also hold what is looked for of the blocks beside them.
 """
 
 from __future__ import annotations
@@ -12,11 +12,7 @@ from pyspark.sql import functions as F
 
 from hourline.operators import segments
 from hourline.operators.reshape import expected_keys
-from hourline.operators.segments import SEG, WIDTH
-
-
-def _over(ts: str, keys=()):
-    return W.partitionBy(*keys).orderBy(ts)
+from hourline.operators.segments import BLOCK, SEG, WIDTH
 
 
 def dedupe_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -25,9 +21,14 @@ def dedupe_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def lag_rows(df: DataFrame, col: str, ts: str, n: int, name: str, keys=()) -> DataFrame:
+def lag_rows(df: DataFrame, col: str, ts: str, n: int, name: str, keys=(), block: int = BLOCK) -> DataFrame:
     """The value n rows before."""
-    return df.withColumn(name, F.lag(col, n).over(_over(ts, keys)))
+    rows, w = segments.haloed(df, ts, n, 0, keys, block)
+    return _own(rows.withColumn(name, F.lag(col, n).over(w)))
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    return rows.where("_block = _own").drop("_n", "_own", "_block")
 
 
 def lag_time(df: DataFrame, col: str, ts: str, interval: str, name: str, keys=()) -> DataFrame:
@@ -71,10 +72,12 @@ def interpolate(df: DataFrame, col: str, ts: str, limit: int, keys=(), width: fl
     return out.withColumn(col, F.coalesce(F.col(col), F.when(d <= limit, F.coalesce(line, left["v"])))).select(*df.columns)
 
 
-def rolling_centered(df: DataFrame, col: str, ts: str, w: int, name: str, min_periods: int | None = None, keys=()) -> DataFrame:
+def rolling_centered(df: DataFrame, col: str, ts: str, w: int, name: str, min_periods: int | None = None, keys=(), block: int = BLOCK) -> DataFrame:
     """Mean of w rows around each row; for even w one more before than after. Null with fewer than min_periods values."""
-    over = _over(ts, keys).rowsBetween(-(w // 2), w - w // 2 - 1)
-    return df.withColumn(name, F.when(F.count(col).over(over) >= (min_periods or w), F.avg(col).over(over)))
+    back, ahead = w // 2, w - w // 2 - 1
+    rows, order = segments.haloed(df, ts, back, ahead, keys, block)
+    over = order.rowsBetween(-back, ahead)
+    return _own(rows.withColumn(name, F.when(F.count(col).over(over) >= (min_periods or w), F.avg(col).over(over))))
 
 
 def regularise(df: DataFrame, ts: str, unit: str, keys=()) -> DataFrame:
@@ -97,38 +100,40 @@ def gap_ranges(df: DataFrame, ts: str, unit: str, keys=(), width: float = WIDTH)
     return gaps.select(*keys, (F.col("_last") + step).cast(kind).alias("gap_start"), (F.col(ts) - step).cast(kind).alias("gap_end"), (n - 1).alias("length"))
 
 
-def decompose(df: DataFrame, col: str, ts: str, period: int, keys=(), least: int | None = None) -> DataFrame:
+def decompose(df: DataFrame, col: str, ts: str, period: int, keys=(), least: int | None = None, block: int = BLOCK) -> DataFrame:
     """Classical additive decomposition: centred moving average, phase means of the rest (centred), residual.
 
     A series of fewer than least rows (three periods unless given) has no rows.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= (3 * period if least is None else least))
-    df = segments.meet(df, sizes, keys).drop("_rows")
-    half, w = period // 2, _over(ts, keys)
+    half = period // 2
+    rows, w = segments.haloed(segments.meet(df, sizes, keys).drop("_rows"), ts, half, half, keys, block)
+    wide, inner = w.rowsBetween(-half, half), w.rowsBetween(-half + 1, half - 1)
     if period % 2:
-        over = w.rowsBetween(-half, half)
-        total, n = F.sum(col).over(over), F.count(col).over(over)
-        trend, full = total / period, n == period
+        trend, full = F.sum(col).over(wide) / period, F.count(col).over(wide) == period
     else:
-        wide, inner = w.rowsBetween(-half, half), w.rowsBetween(-half + 1, half - 1)
         trend, full = (F.sum(col).over(wide) + F.sum(col).over(inner)) / (2 * period), F.count(col).over(wide) == period + 1
-    out = df.withColumn("trend", F.when(full, trend)).withColumn("_phase", (F.row_number().over(w) - 1) % period)
+    out = rows.withColumn("trend", F.when(full, trend)).withColumn("_phase", (F.col("_n") - 1) % period)
+    out = _own(out)
     phase = out.groupBy(*keys, "_phase").agg(F.avg(F.col(col) - F.col("trend")).alias("_s"))
-    mean = F.avg("_s").over(W.partitionBy(*keys))
-    phase = phase.withColumn("seasonal", F.col("_s") - mean).drop("_s")
-    out = out.join(phase, [*keys, "_phase"]).drop("_phase")
+    phase = phase.withColumn("seasonal", F.col("_s") - F.avg("_s").over(W.partitionBy(*keys))).drop("_s")  # a row a phase
+    out = segments.meet(out, phase, [*keys, "_phase"]).drop("_phase")
     return out.withColumn("resid", F.col(col) - F.col("trend") - F.col("seasonal"))
 
 
 def trim(df: DataFrame, ts: str, first: int = 0, last: int = 0, keys=()) -> DataFrame:
     """df without its first and last rows, so many, in the order of ts."""
-    up, down = W.partitionBy(*keys).orderBy(ts), W.partitionBy(*keys).orderBy(F.desc(ts))
-    return df.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down)).where((F.col("_up") > first) & (F.col("_down") > last)).drop("_up", "_down")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    rows = segments.meet(segments.numbered(df, ts, "_n", keys), sizes, keys)
+    return rows.where((F.col("_n") > first) & (F.col("_n") <= F.col("_rows") - last)).drop("_n", "_rows")
 
 
 def last_rows(df: DataFrame, ts: str, n: int, keys=()) -> DataFrame:
     """The last n rows in the order of ts."""
-    return df.withColumn("_down", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts)))).where(F.col("_down") <= n).drop("_down")
+    if not keys:
+        return df.orderBy(F.desc(ts)).limit(n)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return segments.meet(segments.numbered(df, ts, "_n", keys), sizes, keys).where(F.col("_n") > F.col("_rows") - n).drop("_n", "_rows")
 
 
 def recent(df: DataFrame, ts: str, months: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hourline.operators import reshape, segments, spatial, stats, windows
+from hourline.operators import features, reshape, segments, spatial, stats, windows
 
 DAY = 86400
 
@@ -73,10 +73,10 @@ def test_gaps(spark, unit, step):
 
 def test_no_task_orders_a_whole_series(spark):
     df, _ = series(spark, 50, keys=("a",))
-    for out in (windows.ffill(df, ["x"], "ts"), windows.interpolate(df, "x", "ts", 7), windows.gap_ranges(df, "ts", "hour"), stats.acf(df, "x", "ts", 5)):
+    for out in (windows.ffill(df, ["x"], "ts"), windows.interpolate(df, "x", "ts", 7), windows.gap_ranges(df, "ts", "hour"), stats.acf(df, "x", "ts", 5), windows.lag_rows(df, "x", "ts", 3, "l"), windows.rolling_centered(df, "x", "ts", 5, "m"), features.lag_design(df, "x", ["x"], "ts", 1, 3, (0, 2))):
         plan = out._jdf.queryExecution().executedPlan().toString()
         specs = re.findall(r"windowspecdefinition\((\w+)#", plan)
-        assert specs and set(specs) <= {segments.SEG, "block"}
+        assert specs and set(specs) <= {segments.SEG, "_block"}
 
 
 @pytest.mark.parametrize("block", [1, 9, 5000])
@@ -135,3 +135,23 @@ def test_polygons(spark):
     assert spatial.inside(grid, edges.limit(0), "x", "y").count() == 0
     flat = spark.createDataFrame([(0.0, 1.0, 5.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")
     assert spatial.inside(grid, flat, "x", "y").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 10, 5000])
+def test_blocks(spark, block):
+    df, rows = series(spark, 120, hole=0.1)
+    lag = by_key((r.k, r.ts, r.v) for r in windows.lag_rows(df, "x", "ts", 7, "v", ["k"], block).collect())
+    mean = by_key((r.k, r.ts, r.v) for r in windows.rolling_centered(df, "x", "ts", 6, "v", 2, ["k"], block).collect())
+    odd = by_key((r.k, r.ts, r.trend) for r in windows.decompose(df, "x", "ts", 5, ["k"], block=block).collect())
+    even = by_key((r.k, r.ts, r.trend) for r in windows.decompose(df, "x", "ts", 4, ["k"], block=block).collect())
+    plain = lambda own: np.array([x for _, x in own], dtype=float)
+    for k, own in by_key(rows).items():
+        x = pd.Series(plain(own))
+        assert np.allclose(plain(lag[k]), x.shift(7), equal_nan=True)
+        assert np.allclose(plain(mean[k]), x.rolling(6, center=True, min_periods=2).mean(), equal_nan=True)
+        assert np.allclose(plain(odd[k]), x.rolling(5, center=True).mean(), equal_nan=True)
+        assert np.allclose(plain(even[k]), (x.rolling(5, center=True).sum() + x.rolling(3, center=True).sum()) / 8, equal_nan=True)
+    ends = windows.trim(df, "ts", 2, 3, ["k"]), windows.last_rows(df, "ts", 4, ["k"])
+    for out, cut in zip(ends, (slice(2, -3), slice(-4, None))):
+        got = by_key((r.k, r.ts, r.x) for r in out.collect())
+        assert all(got[k] == own[cut] for k, own in by_key(rows).items())
