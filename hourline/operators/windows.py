@@ -23,8 +23,13 @@ def dedupe_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def lag_rows(df: DataFrame, col: str, ts: str, n: int, name: str, keys=(), block: int = BLOCK) -> DataFrame:
     """The value n rows before."""
-    rows, w = segments.haloed(df, ts, n, 0, keys, block)
-    return _own(rows.withColumn(name, F.lag(col, n).over(w)))
+    return lag_many(df, {name: (col, n)}, ts, keys, block)
+
+
+def lag_many(df: DataFrame, lags: dict[str, tuple[str, int]], ts: str, keys=(), block: int = BLOCK) -> DataFrame:
+    """A column for each name: the value of a column so many rows before."""
+    rows, w = segments.haloed(df, ts, max(n for _, n in lags.values()), 0, keys, block)
+    return _own(rows.withColumns({name: F.lag(c, n).over(w) for name, (c, n) in lags.items()}))
 
 
 def _own(rows: DataFrame) -> DataFrame:

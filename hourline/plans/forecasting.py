@@ -89,7 +89,7 @@ k AS (SELECT model, fold, horizon_days, sqrt(avg((yhat - y) * (yhat - y))) AS rm
 
 def _naive(t):
     d = daily(t("orders"))
-    lags = windows.lag_rows(windows.lag_rows(d, "total", "day", 60, "lag_60"), "total", "day", 364, "lag_364").drop("total")
+    lags = windows.lag_many(d, {"lag_60": ("total", 60), "lag_364": ("total", 364)}, "day").drop("total")
     return _split(t).where("part = 'test'").join(lags, "day").withColumnRenamed("total", "y").unpivot(["fold", "horizon_days", "y"], ["lag_60", "lag_364"], "model", "yhat")
 
 
