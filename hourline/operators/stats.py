@@ -69,7 +69,6 @@ def _products(df: DataFrame, x: str, y: str, ts: str, lags, keys, block: int, le
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, ts, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     facts = both.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))], F.count("*").alias("rows")).where(F.col("rows") >= least)
-    z = lambda c: (F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0))
     z = lambda c: F.coalesce((F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0)), F.lit(float("nan")))  # noqa: E731  NaN in flat series, as lists leave nulls out
     rows = segments.meet(both, facts, keys).select(*keys, ts, "rows", z("x").alias("zx"), z("y").alias("zy"))
     longest = max(map(abs, lags))

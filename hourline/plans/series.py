@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourline.functions import clean
-from hourline.operators import aggregate, quality, reports, reshape, stats, windows
+from hourline.operators import aggregate, quality, reports, stats, windows
 from hourline.plans.registry import DAILY, FULL_HOURLY, HOURLY, daily, hourly, query, rounded
 
 

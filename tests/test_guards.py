@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from hourline import schema, session
 from hourline.functions import clean
 from hourline.operators import align, features, stats, windows
 from hourline.sources import sinks
@@ -72,3 +73,17 @@ def test_results_of_variants(spark, tmp_path):
     rows = list(csv.DictReader(part.open()))
     assert len(rows) == 4 and {(r["variant"], r["fold"], r["r"]) for r in rows} == {("a", "0", ""), ("a", "1", ""), ("b", "0", "x"), ("b", "1", "x")}
     assert (tmp_path / "results_a.json").exists() and (tmp_path / "results_b.csv").exists()
+
+
+def test_rows_that_a_hash_picks(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    one, two = (sorted(r.k for r in stats.sample_n(d, "k", 50).collect()) for d in (df, df.repartition(7)))
+    assert one == two and len(set(one)) == 50 and one != sorted(r.k for r in stats.sample_n(df, "k", 50, seed=1).collect())
+
+
+def test_columns_that_are_there(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b2 int, b1 int, c int")
+    assert schema.keep_present(df, ["c", "none", "a"]).columns == ["c", "a"]
+    assert schema.order_columns(df, ["c", "none"], ["b"], ["a"]).columns == ["c", "b1", "b2", "a"]
+    assert schema.drop_like(df, ("b",), ("c",)).columns == ["a"]
+    assert session.session("local[1]").conf.get("spark.sql.session.timeZone") == "UTC"
