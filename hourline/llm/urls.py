@@ -1,7 +1,8 @@
 """URL filters: host and path rules, and for the rest a logistic regression on hashed character n-grams.
 
 The model is Spark ML's, fitted on a small labelled URL table (``labelled_urls()`` unless given); its features are the 3-
-and 4-grams of ``^host$`` and of the path, hashed. All stays in the JVM.
+to 5-grams of ``^host$`` and of the path, hashed. All stays in the JVM. It knows themes by their words: of a theme that the
+table lacks it blocks little.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: then up to ``?``, ``#`` or the
 end. A null url or one without ``://`` has both empty and is judged by the model like any other. A rule fits its host
@@ -12,8 +13,9 @@ named are dropped.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,37 +23,86 @@ from hourline.llm.common import let, local_table, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: The words of unwanted hosts by theme, the words of hosts that inform, syllables of made-up names, and paths of any host.
-UNWANTED = (
-    ("casino", "poker", "slots", "bets", "jackpot", "bonus", "win", "free"),
-    ("pills", "pharma", "viagra", "meds", "cheap", "discount"),
-    ("adult", "xxx", "porn", "cams", "singles", "hot"),
-    ("ads", "track", "click", "banner", "popup", "affiliate"),
-    ("spam", "farm", "prize", "lottery", "links", "traffic"),
-    ("warez", "crack", "keygen", "torrent", "serial", "nulled"),
-)
-INFORMING = ("city", "library", "garden", "weather", "museum", "recipes", "history", "school", "harbour", "railway", "forest", "science", "music", "poetry", "compiler", "market", "health", "travel")
-SYLLABLES = ("ka", "lor", "ment", "vi", "est", "oun", "ber", "han", "tion", "ing", "sol", "dre", "whe", "ter")
-PATHS = ("/", "/en/12", "/de/article/345", "/fr/history", "/es/7.html", "/news/2024/03/", "/about", "/item/88")
-UNWANTED_PATHS = ("/win/free-bonus-777", "/xxx/live-cams", "/buy-cheap-pills-online", "/track/click/ad", "/crack/keygen-download", "/casino/free-spins")
-_SUBDOMAINS, _DOMAINS = ("", "www.", "blog.", "m.", "news."), ("example.com", "example.net", "example.org", "example.biz", "example.info")
-
-
-def labelled_urls() -> list[tuple[str, float]]:
+# Everyday words of unwanted hosts by theme, words of hosts that inform, words of such hosts that hold pieces of
+# unwanted ones, and words that stand in hosts of either kind.
+UNWANTED = {
+    "gambling": ("casino", "poker", "slots", "bets", "betting", "jackpot", "roulette", "gambling", "blackjack", "bingo", "lotto", "wager"),
+    "medicines": ("pills", "viagra", "cialis", "pharma", "meds", "tablets", "steroids", "xanax", "tramadol", "diet-pill"),
+    "adult": ("adult", "porn", "xxx", "sexy", "sexcam", "escort", "nude", "erotic", "fetish", "milf"),
+    "advertising": ("ads", "adserver", "adtrack", "tracker", "adclick", "popunder", "affiliate", "adbanner", "adnetwork"),
+    "spam": ("spam", "backlinks", "linkfarm", "freegift", "prizedraw", "clickbait", "bulkmail", "giveaway", "seo-links"),
+    "piracy": ("warez", "crack", "keygen", "torrents", "serialz", "nulled", "cracked", "pirated", "fullrip"),
+    "loans": ("payday", "quickcash", "fastloan", "cashadvance", "debtfix", "badcredit", "easyloan", "instantcash"),
+    "malware": ("malware", "phishing", "trojan", "keylogger", "ransomware", "botnet", "spyware", "hacktool", "stealer"),
+    "replicas": ("replica", "counterfeit", "knockoff", "fakeid", "fakewatch", "fakepassport"),
+    "schemes": ("getrich", "ponzi", "moneymaker", "cryptodouble", "binaryoptions", "easymoney", "hyip"),
+}
+INFORMING = (
+    "city", "library", "garden", "weather", "museum", "recipes", "history", "school", "harbour", "railway", "forest", "science", "music", "poetry",
+    "compiler", "market", "health", "travel", "news", "press", "weekly", "times", "gazette", "field", "sports", "football", "cinema", "theatre",
+    "bakery", "university", "college", "village", "river", "mountain", "bicycle", "software", "kitchen", "clinic", "hospital", "council", "parish",
+    "law", "farm", "orchard", "hotel", "insurance", "bank", "docs", "wiki", "forum", "physics", "chess",
+)
+ALIKE = (
+    "farmers", "hotels", "winnipeg", "trackandfield", "windows", "freedom", "freepress", "roads", "heads", "broads", "adsorption", "adulthood",
+    "alphabets", "better", "essex", "sussex", "pharmacology", "medicine", "campus", "camshaft", "nutcracker", "crackers", "timeslots", "torrential",
+    "serials", "seoul", "nobelprize", "specialist", "socialist", "caterpillars", "spills", "traffic", "banners", "popupbooks", "loanword", "credits",
+    "hotline", "photos", "winter", "wine", "freelance", "discounting", "bonnet", "clicker", "tracking", "racetrack", "prizes", "sextant", "casimir",
+    "pokemon", "stable", "wagner", "replication", "escorial", "nuance",
+)
+EITHER = (
+    "online", "world", "shop", "club", "best", "my", "fast", "royale", "live", "download", "web", "hub", "zone", "direct", "home", "central", "24",
+    "365", "super", "mega", "king", "star", "win", "free", "cheap", "bonus", "hot", "top", "discount", "deals", "pro", "group", "media", "x", "farm",
+    "track", "buy", "new", "the", "one",
+)
+ONSETS, VOWELS, CODAS = ("", "b", "br", "d", "f", "g", "gr", "h", "k", "l", "m", "n", "p", "r", "s", "sh", "st", "t", "th", "v", "w"), ("a", "e", "i", "o", "u", "ea", "ou"), ("", "", "n", "r", "l", "s", "nt", "st", "th", "ng", "m", "d")
+SECTIONS = ("", "en/", "de/", "fr/", "es/", "news/", "article/", "item/", "about/")
+_SUBDOMAINS = ("", "www.", "blog.", "m.", "news.")
+_DOMAINS = ("com", "net", "org", "biz", "info", "io", "example.com", "example.net", "example.org", "co.uk", "de")
+
+
+def labelled_hosts() -> list[tuple[str, float, str, str]]:
+    """Host, 1 if unwanted, theme and partner of the labelled table's hosts.
+
+    A word stands alone, with words of its own theme, and before and behind fourteen words that stand in hosts of either kind,
+    with and without a hyphen; so these partners tell nothing. Wanted words partner with each other, too, and there are
+    4,000 made-up names of two to four syllables.
+    """
+    out = []
+
+    def hosts(words: tuple[str, ...], label: float, theme: str, at: int) -> None:
+        for i, w in enumerate(words):
+            out.append((w, label, theme, ""))
+            for j in range(14):
+                p = EITHER[((i + at) * 7 + j * 3) % len(EITHER)]
+                out.append(((f"{w}-{p}", f"{p}-{w}", f"{w}{p}", f"{p}{w}")[j % 4], label, theme, p))
+            out.extend((f"{w}{'-' * (k % 2)}{words[(i + k) % len(words)]}", label, theme, "") for k in (1, 2, 3))
+
+    for n, (theme, words) in enumerate(UNWANTED.items()):
+        hosts(words, 1.0, theme, n)
+    hosts(INFORMING, 0.0, "informing", 3)
+    hosts(ALIKE, 0.0, "alike", 5)
+    out.extend((f"{w}{'-' * (i % 2)}{INFORMING[(i * 5 + k) % len(INFORMING)]}", 0.0, "alike", "") for i, w in enumerate(ALIKE) for k in (0, 2))
+    syllables = [o + v + c for o in ONSETS for v in VOWELS for c in CODAS]
+    out.extend(("".join(syllables[(i * 7919 + k * (i + 3) * 104729) % len(syllables)] for k in range(2 + i % 3)), 0.0, "made up", "") for i in range(4000))
+    return out
+
+
+def labelled_urls(hosts: list[tuple[str, float, str, str]] | None = None) -> list[tuple[str, float]]:
     """The small labelled table: (url, 1 if unwanted).
 
-    Hosts join two words of one theme (unwanted) or two informing words or three syllables (wanted). Subdomains, domains
-    and paths are dealt to both classes alike, so that they tell nothing; unwanted paths occur on wanted hosts too.
+    Subdomains, domains and paths are dealt to both classes alike, so that they tell nothing. Wanted hosts also stand with
+    unwanted words in the path, which makes them unwanted.
     """
-    bad = [f"{a}{'-' if i % 3 else ''}{b}" for theme in UNWANTED for i, (a, b) in enumerate((a, b) for a in theme for b in theme if a != b)]
-    good = [f"{a}{'-' if i % 3 else ''}{b}" for i, (a, b) in enumerate((a, b) for a in INFORMING for b in INFORMING if a != b)]
-    good += [a + b + c for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in SYLLABLES[(i + j) % 3 :: 5]]
-    hosts = [(h, 1.0) for h in bad] + [(h, 0.0) for h in good]
-    urls = [(f"https://{_SUBDOMAINS[i % 5]}{h}.{_DOMAINS[i // 5 % 5]}{PATHS[i * 7 % 8]}", label) for i, (h, label) in enumerate(hosts)]
-    return urls + [(f"https://{_SUBDOMAINS[i % 5]}{h}.{_DOMAINS[i // 5 % 5]}{UNWANTED_PATHS[i % 6]}", 1.0) for i, h in enumerate(good[::17])]
+    hosts = labelled_hosts() if hosts is None else hosts
+    path = lambda i: f"/{SECTIONS[i * 7 % 9]}{i * 7919 % 10007 if i % 4 else ''}"
+    urls = [(f"https://{_SUBDOMAINS[i % 5]}{h}.{_DOMAINS[i // 5 % 11]}{path(i)}", label) for i, (h, label, _, _) in enumerate(hosts)]
+    bad = sorted({h for h, label, _, partner in hosts if label and not partner})
+    good = [h for h, label, _, _ in hosts if not label][::5]
+    return urls + [(f"https://{h}.{_DOMAINS[i % 11]}{path(i).rstrip('/')}/{bad[i * 5 % len(bad)]}", 1.0) for i, h in enumerate(good) if bad]
 
 
-DIM = 1 << 14
+DIM = 1 << 17
 
 
 def host(url: Column) -> Column:
@@ -62,7 +113,7 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def grams(text: Column, mark: str, sizes: tuple[int, ...] = (3, 4), piece: int = 256) -> Column:
+def grams(text: Column, mark: str, sizes: tuple[int, ...] = (3, 4, 5), piece: int = 256) -> Column:
     """The character n-grams of a string, each with a mark in front.
 
     Taken from overlapping pieces, since a substring is found by walking there from the start of its string.
@@ -93,17 +144,18 @@ def _featured(urls: DataFrame, dim: int) -> DataFrame:
     return HashingTF(inputCol="tokens", outputCol="features", numFeatures=dim).transform(marked).drop("tokens")
 
 
+def fit(labelled: DataFrame, dim: int = DIM) -> LogisticRegressionModel:
+    """The model of a labelled table of url and label (1 is block)."""
+    known = labelled.select("label", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    return LogisticRegression(regParam=1e-4, standardization=False, maxIter=60, probabilityCol="p", predictionCol="block").fit(_featured(known, dim).coalesce(1))
+
+
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, dim: int = DIM, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and p_block of every row; labelled: url, label (1 is block)."""
-    spark = pages.sparkSession
-    labelled = labelled or local_table(spark, labelled_urls(), "url string, label double")
-    known = labelled.select("label", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    model = LogisticRegression(regParam=0.01, maxIter=60, probabilityCol="p", predictionCol="block").fit(_featured(known, dim).coalesce(1))
+    model = fit(labelled or local_table(pages.sparkSession, labelled_urls(), "url string, label double"), dim)
     model.setThreshold(threshold)
     rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    from pyspark.ml.functions import vector_to_array
-
     judged = model.transform(_featured(rows, dim)).withColumn("p_block", F.get(vector_to_array("p"), 1))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("block") == 1, "block").otherwise("allow")).alias("verdict"), "p_block")
 

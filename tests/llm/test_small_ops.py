@@ -1,4 +1,6 @@
 import hashlib
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -80,16 +82,46 @@ def test_urls(spark):
     assert urls.filter_urls(equal, rules=(("allow", "a.b/c"), ("block", "a.b/c"))).first().verdict == "allow"
 
 
-def test_url_model_on_held_out_hosts(spark):
-    """Two of seven labelled urls are held out; every host stands in the table once, so none of theirs is learned."""
-    rows = urls.labelled_urls()
-    train, test = [r for i, r in enumerate(rows) if i % 7 % 5], [r for i, r in enumerate(rows) if not i % 7 % 5]
-    fitted = spark.createDataFrame(train, "url string, label double")
-    asked = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in urls.filter_urls(asked, rules=(), labelled=fitted).collect()}
-    right = [(got[i] == "block") == (label == 1) for i, (_, label) in enumerate(test)]
-    assert sum(right) >= 0.95 * len(right)
-    assert sum(ok for ok, (_, label) in zip(right, test) if label) >= 0.9 * sum(label for _, label in test)
+def blocked(spark, hosts, fitted):
+    asked = spark.createDataFrame([(i, f"https://{h}/en/1") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(asked, rules=(), labelled=spark.createDataFrame(fitted, "url string, label double")).collect()}
+    return {h for i, h in enumerate(hosts) if got[i] == "block"}
+
+
+def test_url_model_on_held_out_partners(spark):
+    """No host with one of the held-out partner words is learned from."""
+    rows, out = urls.labelled_hosts(), set(urls.EITHER[::4])
+    test = [(f"{h}.com", label) for h, label, _, partner in rows if partner in out]
+    found = blocked(spark, [h for h, _ in test], urls.labelled_urls([r for r in rows if r[3] not in out]))
+    bad, good = {h for h, label in test if label}, {h for h, label in test if not label}
+    assert len(bad) > 150 and len(good) > 150
+    assert len(found & bad) >= 0.9 * len(bad) and len(found & good) <= 0.05 * len(good)
+
+
+def test_url_model_on_other_hosts(spark):
+    """Hosts that aren't made from the table's rule; of a theme that isn't learned little is blocked, but nothing else more."""
+    good = ["hotels.example.com", "www.farmersweekly.co.uk", "winnipegfreepress.com", "trackandfieldnews.com", "en.wikipedia.org", "nature.com", "bbc.co.uk", "openstreetmap.org", "python.org", "gutenberg.org", "stanford.edu", "lemonde.fr", "spiegel.de", "elpais.com", "allrecipes.com", "mayoclinic.org", "springer.com", "freebsd.org", "windowscentral.com", "essexlive.news"]
+    bad = ["payday-loan-fast.org", "malware-download.io", "onlinegambling.com", "casino-royale.biz", "buy-viagra-now.net", "bestpokersites.com", "xxxvideos.biz", "warezforum.info", "replicawatches.co", "ads.trackerpixel.net"]
+    found = blocked(spark, good + bad, urls.labelled_urls())
+    assert len(found & set(good)) <= 1 and len(found & set(bad)) >= 9
+    less = blocked(spark, good + bad, urls.labelled_urls([r for r in urls.labelled_hosts() if r[2] != "gambling"]))
+    assert len(less & set(good)) <= 1 and len(less & set(bad)) >= 6
+
+
+def test_url_verdict_recomputed(spark):
+    """The probability by plain sums over the grams of a url."""
+    from pyspark.ml.feature import HashingTF
+
+    asked = ["https://casino-royale.biz/en/1", "http://Éa.org/" + "ab" * 700, None, "https://x.y", "nothing"]
+    fitted = spark.createDataFrame(urls.labelled_urls(), "url string, label double")
+    model, index = urls.fit(fitted), HashingTF(numFeatures=urls.DIM)
+    got = urls.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(asked)], "page_id long, url string"), rules=(), labelled=fitted).collect()
+    weight = model.coefficients.toArray()
+    for r in got:
+        grams = [m + s[i : i + n] for m, s in (("h", f"^{r.host}$"), ("p", r.path)) for n in (3, 4, 5) for i in range(max(len(s) - n + 1, 1))]
+        of = {g: index.indexOf(g) for g in set(grams)}
+        p = 1 / (1 + np.exp(-(model.intercept + sum(weight[of[g]] for g in grams))))
+        assert abs(p - r.p_block) < 1e-9 and r.verdict == ("block" if p > 0.5 else "allow")
 
 
 def test_warc(spark, tmp_path):
@@ -204,9 +236,8 @@ def test_licence_texts(spark):
     rows = [(i, f"{i}/{name}", text) for i, (_, name, text) in enumerate(cases)]
     got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert [got[i] for i in range(len(cases))] == [c[0] for c in cases]
-    import re
-
-    assert all(re.search(licenses.ANCHORS, v) for v in t.values())
+    names = licenses.naming(t)
+    assert all(any(names.get(w) == licenses.family(k) for w in re.findall("[a-z0-9]+", v.lower())) for k, v in t.items())
 
 
 def test_licences_that_differ_by_a_word(spark):
@@ -216,6 +247,37 @@ def test_licences_that_differ_by_a_word(spark):
     assert [got[i] for i in range(len(said))] == list(said.values())
 
 
+def test_numbers_name_no_licence(spark):
+    said = ["version 3", "Version 2.0", "4.0", "by 4.0", "no. 3 of version 2", "MIT", "general version 3"]
+    rows = [(i, f"d{i}/a.py", f"{PROSE}\n{t}\n{PROSE}") for i, t in enumerate(said)]
+    assert {r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()} <= {None, "GPL-3.0"}
+    assert [r.license for r in licenses.scan(spark.createDataFrame(rows[:5], "doc_id long, path string, text string")).collect()] == [None] * 5
+
+
+def test_licences_by_plain_python(spark):
+    """Licences of texts of one line from cosines of plain loops, without any pruning."""
+    rng, t = np.random.default_rng(8), licenses.TEMPLATES
+    idf, unknown, unit = licenses._weights(t)
+    names, texts = licenses.naming(t), []
+    for text in t.values():
+        terms = re.findall("[a-z0-9]+", text.lower())
+        for _ in range(4):
+            bag = [*rng.choice(terms, rng.integers(1, len(terms) + 1)), *["strange"] * int(rng.integers(0, 2)), *[f"odd{i}" for i in range(rng.integers(0, 3))]]
+            texts.append(" ".join(bag))
+    want = []
+    for text in texts:
+        bag = Counter(text.split())
+        norm = math.sqrt(sum((n * idf.get(w, unknown)) ** 2 for w, n in bag.items()))
+        said = {names[w] for w in bag if w in names}
+        near = [(-round(sum(n * unit[k].get(w, 0) for w, n in bag.items()) / norm, 6), licenses.WEAK.get(k, 0), k) for k in t if licenses.family(k) in said]
+        near = [x for x in near if -x[0] >= 0.6] if sum(w in idf for w in bag) > 1 else []
+        want.append(min(near)[2] if near else None)
+    rows = [(i, f"{i}/x.py", x) for i, x in enumerate(texts)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    strip = lambda k: k and re.sub(licenses._FORM, "", k)
+    assert sum(k is not None for k in want) > 60 and [got[i] for i in range(len(texts))] == [strip(k) for k in want]
+
+
 def test_licences_of_very_long_texts(spark):
     lines = "\n".join(f"line {i} of prose" for i in range(200_000))
     rows = [(1, "a/x.py", lines + "\nReleased under the MIT License"), (2, "b/x.py", "# note\n" * 150 + "# Released under the MIT License\n" + "word " * 400_000), (3, "c/x", "x" * 2_000_000)]
