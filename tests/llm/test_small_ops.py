@@ -278,6 +278,13 @@ def test_licences_by_plain_python(spark):
     assert sum(k is not None for k in want) > 60 and [got[i] for i in range(len(texts))] == [strip(k) for k in want]
 
 
+def test_units_far_from_their_families_are_not_compared(spark):
+    common = " ".join(["only", *["the"] * 30, *[f"odd{i}" for i in range(40)]])
+    rows = [(1, "a/x.py", common, 1), (2, "b/x.py", f"{common}\nReleased under the MIT License\n{common}", 2)]
+    got = licenses.units(spark.createDataFrame(rows, "doc_id long, path string, t string, th long")).collect()
+    assert {(r.doc_id, r.kind, r.unit_words, tuple(r.families)) for r in got} == {(2, "line", 5, ("MIT",))}
+
+
 def test_licences_of_very_long_texts(spark):
     lines = "\n".join(f"line {i} of prose" for i in range(200_000))
     rows = [(1, "a/x.py", lines + "\nReleased under the MIT License"), (2, "b/x.py", "# note\n" * 150 + "# Released under the MIT License\n" + "word " * 400_000), (3, "c/x", "x" * 2_000_000)]
