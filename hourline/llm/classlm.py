@@ -97,6 +97,26 @@ def _of(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(raw, dtype=kind)
 
 
+def _packed(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as a byte each; those of 255 and more stand as 255 and follow whole."""
+    large = counts[counts >= 255]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype(np.int64).tobytes()
+
+
+def _unpacked(small: bytes, large: bytes) -> np.ndarray:
+    counts = _of(small, np.uint8).astype(np.int64)
+    if large:
+        counts[counts == 255] = _of(large, np.int64)
+    return counts
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _pairs(r) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of neighbouring words in a block's training texts; an end stands before each text."""
     lens, known, tokens = _of(r.lens, np.int32), _of(r.learned, bool), _of(r.tokens, np.int32)
@@ -137,23 +157,30 @@ def entries(rows: DataFrame, parts: int, cells: int) -> DataFrame:
 
 
 def summed(sent: DataFrame, cells: int, last) -> DataFrame:
-    """sent (cell, keys, nnz, codes, counts; the codes of a word side by side), summed by word within cells and then over them; last(keys, words' rows, codes, counts, members) makes the rows of the schema it names."""
+    """sent (cell, keys, nnz, codes, counts and large, as packed; the codes of a word side by side), summed by word within cells and then over them; last(keys, words' rows, codes, counts, members) makes the rows of the schema it names."""
 
     def of(f: pd.DataFrame):
         keys, nnz = (np.concatenate([_of(x, k) for x in f[c]]) for c, k in (("keys", np.uint64), ("nnz", np.int32)))
-        codes, counts = (np.concatenate([_of(x, k) for x in f[c]]) for c, k in (("codes", np.uint8), ("counts", np.int64)))
+        codes = np.concatenate([_of(x, np.uint8) for x in f["codes"]])
+        counts = np.concatenate([_unpacked(x, y) for x, y in zip(f["counts"], f["large"])])
         if len(f) == 1:  # one part has each word once, its codes side by side
             order = np.argsort(keys)
             rank = np.empty(len(keys), np.int64)
             rank[order] = np.arange(len(keys))
             return keys[order], np.repeat(rank, nnz), codes, counts
         own, at = np.unique(keys, return_inverse=True)
-        both = np.repeat(at, nnz) * 256 + codes
-        order = np.argsort(both)
-        both = both[order]
-        first = np.flatnonzero(np.diff(both, prepend=-1))
-        sums = np.add.reduceat(counts[order], first) if len(first) else counts
-        return own, both[first] // 256, (both[first] % 256).astype(np.uint8), sums
+        wide = int(codes.max(initial=0)) + 1
+        both = np.repeat(at, nnz) * wide + codes
+        if len(own) * wide <= 16 * len(both):  # a table of all words and codes is no larger than what a sort takes
+            table_ = np.bincount(both, weights=counts, minlength=len(own) * wide)  # whole numbers, exact below 2 ** 53
+            met = np.flatnonzero(table_)
+            sums = table_[met].astype(np.int64)
+        else:
+            order = np.argsort(both)
+            both = both[order]
+            first = _starts(both)
+            met, sums = both[first], np.add.reduceat(counts[order], first) if len(first) else counts
+        return own, met // wide, (met % wide).astype(np.uint8), sums
 
     def inside(f: pd.DataFrame) -> pd.DataFrame:
         own, word, codes, counts = of(f)
@@ -161,12 +188,12 @@ def summed(sent: DataFrame, cells: int, last) -> DataFrame:
         codes, counts = codes[order], counts[order]
         nnz = np.bincount(word, minlength=len(own)).astype(np.int32)
         cell = int(f["cell"].iloc[0])
-        return pd.DataFrame([(cell // cells, cell, own.tobytes(), nnz.tobytes(), codes.tobytes(), counts.tobytes())], columns=["part", "cell", "keys", "nnz", "codes", "counts"])
+        return pd.DataFrame([(cell // cells, cell, own.tobytes(), nnz.tobytes(), codes.tobytes(), *_packed(counts))], columns=["part", "cell", "keys", "nnz", "codes", "counts", "large"])
 
     def over(f: pd.DataFrame) -> pd.DataFrame:
         return last(*of(f), [(c, _of(k, np.uint64)) for c, k in zip(f["cell"], f["keys"])])
 
-    merged = sent.groupBy("cell").applyInPandas(lambda f: inside(f), "part long, cell long, keys binary, nnz binary, codes binary, counts binary")
+    merged = sent.groupBy("cell").applyInPandas(lambda f: inside(f), "part long, cell long, keys binary, nnz binary, codes binary, counts binary, large binary")
     return merged.groupBy("part").applyInPandas(lambda f: over(f), last.schema)
 
 
@@ -178,7 +205,8 @@ def vocabulary(known: DataFrame, cells: int, top: int) -> tuple[dict, list[int]]
             some = [np.flatnonzero(_of(n, np.int32)) for n in f["n"]]
             n = [_of(x, np.int32)[s].astype(np.int64) for x, s in zip(f["n"], some)]
             keys = [_of(x, np.uint64)[s].tobytes() for x, s in zip(f["keys"], some)]
-            yield pd.DataFrame({"cell": f["cell"], "keys": keys, "nnz": [np.ones(len(x), np.int32).tobytes() for x in n], "codes": [bytes(len(x)) for x in n], "counts": [x.tobytes() for x in n]})
+            counts, large = zip(*map(_packed, n)) if n else ((), ())
+            yield pd.DataFrame({"cell": f["cell"], "keys": keys, "nnz": [np.ones(len(x), np.int32).tobytes() for x in n], "codes": [bytes(len(x)) for x in n], "counts": counts, "large": large})
 
     def last(keys, word, codes, counts, members) -> pd.DataFrame:
         best = np.lexsort((keys, -counts))[:top]
@@ -186,7 +214,7 @@ def vocabulary(known: DataFrame, cells: int, top: int) -> tuple[dict, list[int]]
         return pd.concat([whole, pd.DataFrame({"key": keys[best].view(np.int64), "words": None, "once": None, "twice": None, "tokens": counts[best]})])
 
     last.schema = "key long, words long, once long, twice long, tokens long"
-    found = written(summed(known.select("cell", "keys", "n").mapInPandas(run, "cell long, keys binary, nnz binary, codes binary, counts binary"), cells, last))
+    found = written(summed(known.select("cell", "keys", "n").mapInPandas(run, "cell long, keys binary, nnz binary, codes binary, counts binary, large binary"), cells, last))
     figures = found.where("key is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "once", "twice")]).first().asDict()
     most = [r["key"] & (1 << 64) - 1 for r in found.where("key is not null").orderBy(F.desc("tokens"), "key").limit(top).collect()]
     forget(found)
@@ -241,12 +269,12 @@ def exchange(rows: DataFrame, known: DataFrame, n: np.ndarray, turn: int, parts:
                 there = np.flatnonzero(_of(r.n, np.int32)[order])
                 both = np.concatenate([rank[b] * 256 + cls[a], rank[a] * 256 + (cls[b] + k), there.astype(small) * 256 + (cls[order[there]] + 2 * k)])
                 both.sort()
-                first = np.flatnonzero(np.diff(both, prepend=-1))
+                first = _starts(both)
                 u, counts = both[first], np.diff(first, append=len(both))
                 nnz = np.bincount(u // 256, minlength=len(order)).astype(np.int32)
                 to, codes, own = np.r_[0, np.cumsum(nnz)], (u % 256).astype(np.uint8), keys[order]
-                out = [(c, own[s].tobytes(), nnz[s].tobytes(), codes[to[s.start] : to[s.stop]].tobytes(), counts[to[s.start] : to[s.stop]].tobytes()) for c, s, _ in dealt]
-                yield pd.DataFrame(out, columns=["cell", "keys", "nnz", "codes", "counts"])
+                out = [(c, own[s].tobytes(), nnz[s].tobytes(), codes[to[s.start] : to[s.stop]].tobytes(), *_packed(counts[to[s.start] : to[s.stop]])) for c, s, _ in dealt]
+                yield pd.DataFrame(out, columns=["cell", "keys", "nnz", "codes", "counts", "large"])
 
     def last(keys, word, codes, counts, members) -> pd.DataFrame:
         dense = np.zeros((len(keys), 3 * k))
@@ -265,7 +293,7 @@ def exchange(rows: DataFrame, known: DataFrame, n: np.ndarray, turn: int, parts:
         return pd.DataFrame(out, columns=["cell", "words", "cls", "total", "types"])
 
     last.schema = "cell long, words binary, cls binary, total binary, types array<long>"
-    sent = rows.mapInPandas(send, "cell long, keys binary, nnz binary, codes binary, counts binary")
+    sent = rows.mapInPandas(send, "cell long, keys binary, nnz binary, codes binary, counts binary, large binary")
     return written(summed(sent, cells, last), bucket="cell")
 
 

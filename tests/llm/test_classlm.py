@@ -105,6 +105,14 @@ def test_brute(spark, parts, size, merged, share):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_counts_are_sent_as_bytes():
+    counts = np.array([1, 254, 255, 256, 3, 1 << 40, 0])
+    small, large = classlm._packed(counts)
+    assert len(small) == 7 and len(large) == 3 * 8
+    assert classlm._unpacked(small, large).tolist() == counts.tolist() and classlm._unpacked(*classlm._packed(counts[:0])).tolist() == []
+    assert classlm._starts(np.array([4, 4, 5, 7, 7])).tolist() == [0, 2, 3] and classlm._starts(counts[:0]).tolist() == []
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     count = rng.integers(1, 9, 40)
