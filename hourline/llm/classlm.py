@@ -7,15 +7,15 @@ word's class is hidden: the classes are summed over (a forward pass, by tables,
 a text's score is the log10 of its whole probability, and the probabilities of all words and the unknown one sum to 1.
 
 1. Blocks. Each task turns texts into blocks of about ``BLOCK`` tokens: numbers of words within the block, and its
-   distinct words as 64-bit fingerprints (two of n words share one with probability n * n / 2 ** 65).
-2. Counts. A block sends each of its distinct words once, with its count; words are dealt by fingerprint over cells.
-   Cells hold at most ``MERGED`` blocks' parts of their words and are merged into a word's whole, so a word that is met
-   everywhere is summed in two steps, and no task gets more than a bounded share.
+   distinct words as 64-bit fingerprints in ascending order (two of n words share one with probability n * n / 2 ** 65).
+2. Counts. A block sends each of its distinct words once, with its count; words are dealt by ranges of fingerprints over parts,
+   and the blocks over the cells of a part. Cells hold at most ``MERGED`` blocks' parts of their words and, where there are several, are
+   merged into a word's whole, so no task gets more than a bounded share. The cells tell the blocks their words' places and counts once.
 3. Exchange, ``rounds`` times. A block sends for each distinct word how often which class stands before and behind it. The sums
    over all blocks, with the counts of class pairs, give the first-order change of the corpus's log likelihood for
    each class the word could move to; the best is taken. Half of the words (by fingerprint) may move in a round, so that
    neighbours don't swap places for ever. New classes go back to the blocks by way of the cells. At the start the most
-   frequent words have a class each and all others share the last.
+   frequent words have a class each and all others share the last. A class travels as a byte, whose highest bit tells the half.
 4. Scores. Each block scores its texts by arrays.
 
 All counts cover all training texts and all words. What comes to the driver is ``classes`` squared numbers a round and the
@@ -27,10 +27,12 @@ scores are 0. Columns other than the named are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -48,48 +50,68 @@ NONE = 255
 _END = b"\n"
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
+#: A text of more bytes is cut before its words are; a block ends at so many bytes a token, too.
+SLICE, WIDE = 1 << 20, 32
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
 
-
-def _tokens(text: bytes | None, numbers: _Numbers) -> np.ndarray:
-    parts = [np.array(list(map(numbers.__getitem__, piece.split())), dtype=np.int32) for piece in slices((text or b"").lower())]
-    return np.concatenate([*parts, np.zeros(1, np.int32)])
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, one after another, and how many each text has."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    owner = None
+    if (pc.max(pc.binary_length(texts)).as_py() or 0) > SLICE:
+        pieces = [list(slices(t.as_py(), SLICE)) for t in texts]
+        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        texts = pa.array([x for p in pieces for x in p], pa.binary())
+        rows = len(pieces)
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    full = pc.greater(pc.binary_length(low), 0)
+    lists = pc.ascii_split_whitespace(low.filter(full))
+    n = np.zeros(len(low), np.int64)
+    n[full.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy()
+    return lists.flatten(), n if owner is None else np.bincount(owner, weights=n, minlength=rows).astype(np.int64)
 
 
 def blocks(docs: DataFrame, learned: Column, id_col: str, text_col: str, size: int = BLOCK) -> DataFrame:
-    """block, doc_ids, learned, lens, tokens, keys (fingerprints of its words) and n (their counts in training texts)."""
+    """block, doc_ids, learned, lens, tokens, stop (the number of the end), keys (fingerprints of its words, ascending) and n (their counts in training texts)."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, part = 0, TaskContext.get().partitionId()
-        numbers, rows, total = _Numbers({_END: 0}), [], 0
+        made, part, held, total = 0, TaskContext.get().partitionId(), [], 0
 
         def block() -> pa.RecordBatch:
-            tokens, known = np.concatenate([r[2] for r in rows]), np.array([r[1] for r in rows], dtype=bool)
-            lens = np.array([len(r[2]) for r in rows], dtype=np.int32)
-            keys = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64)
+            ids = pa.concat_arrays([h[0] for h in held])
+            known, lens = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+            lens = (lens + 1).astype(np.int32)
+            coded = pa.chunked_array([h[3] for h in held], pa.string()).dictionary_encode().chunks  # all by one dictionary
+            words = coded[-1].dictionary.cast(pa.binary()).to_pylist() if coded else []
+            keys = np.frombuffer(b"".join(map(xxhash.xxh64_digest, [*words, _END])), ">u8").astype(np.uint64)
+            keys, at = np.unique(keys, return_inverse=True)
+            tokens = np.full(lens.sum(), at[-1], np.int32)
+            inner = np.ones(len(tokens), bool)
+            inner[np.cumsum(lens) - 1] = False
+            tokens[inner] = at.astype(np.int32)[np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded)])]
             n = np.bincount(tokens[np.repeat(known, lens)], minlength=len(keys)).astype(np.int32)
-            ids = pa.array([[r[0] for r in rows]], pa.list_(id_type))
             binary = [pa.array([x.tobytes()], pa.binary()) for x in (known, lens, tokens, keys, n)]
-            return pa.RecordBatch.from_arrays([pa.array([(part << 33) + made], pa.int64()), ids, *binary], ["block", "doc_ids", "learned", "lens", "tokens", "keys", "n"])
+            whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 33) + made], pa.int64()), whole, pa.array([int(at[-1])], pa.int32()), *binary], ["block", "doc_ids", "stop", "learned", "lens", "tokens", "keys", "n"])
 
         for b in batches:
-            id_type = b.column(0).type
-            for i, known, text in zip(b.column(0), b.column(1), b.column(2).cast(pa.binary())):
-                rows.append((i.as_py(), known.as_py(), _tokens(text.as_py(), numbers)))
-                total += len(rows[-1][2])
+            ids, known = b.column(0), pc.fill_null(b.column(1), False).to_numpy(zero_copy_only=False)
+            words, n = _split(b.column(2))
+            weight = np.maximum(n + 1, pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy() // WIDE)
+            ends, row = np.r_[0, np.cumsum(n)], 0
+            while row < len(n):
+                upto = min(row + int(np.searchsorted(np.cumsum(weight[row:]), size - total)) + 1, len(n))
+                held.append((ids.slice(row, upto - row), known[row:upto], n[row:upto], words.slice(ends[row], ends[upto] - ends[row])))
+                total += int(weight[row:upto].sum())
+                row = upto
                 if total >= size:
                     yield block()
-                    made, numbers, rows, total = made + 1, _Numbers({_END: 0}), [], 0
-        if rows:
+                    made, held, total = made + 1, [], 0
+        if held:
             yield block()
 
-    out = docs.select(id_col, learned.alias("known"), text_col).mapInArrow(run, f"block long, doc_ids array<{kind.simpleString()}>, learned binary, lens binary, tokens binary, keys binary, n binary")
+    out = docs.select(id_col, learned.alias("known"), text_col).mapInArrow(run, f"block long, doc_ids array<{kind.simpleString()}>, stop int, learned binary, lens binary, tokens binary, keys binary, n binary")
     return written(out, bucket="block")
 
 
@@ -110,6 +132,13 @@ def _unpacked(small: bytes, large: bytes) -> np.ndarray:
     return counts
 
 
+def _cut(counts: np.ndarray, edges: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Counts as packed, cut at the edges."""
+    small, large = _packed(counts)
+    far = np.r_[0, np.cumsum(counts >= 255)][edges] * 8
+    return [small[a:b] for a, b in pairwise(edges.tolist())], [large[a:b] for a, b in pairwise(far.tolist())]
+
+
 def _starts(values: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     new = np.ones(len(values), bool)
@@ -121,7 +150,7 @@ def _pairs(r) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of neighbouring words in a block's training texts; an end stands before each text."""
     lens, known, tokens = _of(r.lens, np.int32), _of(r.learned, bool), _of(r.tokens, np.int32)
     before = np.roll(tokens, 1)
-    before[np.cumsum(lens) - lens] = 0
+    before[np.cumsum(lens) - lens] = r.stop
     own = np.repeat(known, lens)
     return before[own], tokens[own]
 
@@ -134,116 +163,112 @@ def _first(keys: np.ndarray, top: list[int], classes: int) -> np.ndarray:
     return out
 
 
-def _dealt(keys: np.ndarray, parts: int, block: int, cells: int) -> Iterator[tuple[int, slice, np.ndarray]]:
-    """The cell, the slice and the places of a block's words in each part."""
-    p = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(p, kind="stable")
-    edge = np.flatnonzero(np.diff(p[order], prepend=-1, append=parts + 1))
-    for a, b in zip(edge[:-1], edge[1:]):
-        yield int(p[order[a]]) * cells + (block ^ block >> 33) % cells, slice(a, b), order[a:b]
+def _bytes(keys: np.ndarray, cls: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Classes as they travel: NONE for words without training counts, else the highest bit tells the half that the word is in."""
+    return np.where(total == 0, NONE, cls | (keys >> np.uint64(7) & np.uint64(1)).astype(np.uint8) << 7).astype(np.uint8)
+
+
+def _plain(cls: np.ndarray) -> np.ndarray:
+    """Classes without the bit of the half."""
+    return np.where(cls == NONE, NONE, cls & 127).astype(np.uint8)
+
+
+def _joined(column: pd.Series, kind) -> np.ndarray:
+    return _of(b"".join(column), kind)
 
 
 def entries(rows: DataFrame, parts: int, cells: int) -> DataFrame:
-    """cell, block, keys, places (of the words in the block) and n: who wants to know of which words."""
+    """cell, block, keys and n: which words a block has in each part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = np.array([-(-(p << 64) // parts) for p in range(1, parts)], dtype=np.uint64)
         for f in frames:
             for r in f.itertuples():
-                keys, n = _of(r.keys, np.uint64), _of(r.n, np.int32)
-                out = [(c, r.block, keys[at].tobytes(), at.astype(np.int32).tobytes(), n[at].tobytes()) for c, _, at in _dealt(keys, parts, r.block, cells)]
-                yield pd.DataFrame(out, columns=["cell", "block", "keys", "places", "n"])
-
-    return written(rows.select("block", "keys", "n").mapInPandas(run, "cell long, block long, keys binary, places binary, n binary"), bucket="cell")
-
-
-def summed(sent: DataFrame, cells: int, last) -> DataFrame:
-    """sent (cell, keys, nnz, codes, counts and large, as packed; the codes of a word side by side), summed by word within cells and then over them; last(keys, words' rows, codes, counts, members) makes the rows of the schema it names."""
-
-    def of(f: pd.DataFrame):
-        keys, nnz = (np.concatenate([_of(x, k) for x in f[c]]) for c, k in (("keys", np.uint64), ("nnz", np.int32)))
-        codes = np.concatenate([_of(x, np.uint8) for x in f["codes"]])
-        counts = np.concatenate([_unpacked(x, y) for x, y in zip(f["counts"], f["large"])])
-        if len(f) == 1:  # one part has each word once, its codes side by side
-            order = np.argsort(keys)
-            rank = np.empty(len(keys), np.int64)
-            rank[order] = np.arange(len(keys))
-            return keys[order], np.repeat(rank, nnz), codes, counts
-        own, at = np.unique(keys, return_inverse=True)
-        wide = int(codes.max(initial=0)) + 1
-        both = np.repeat(at, nnz) * wide + codes
-        if len(own) * wide <= 16 * len(both):  # a table of all words and codes is no larger than what a sort takes
-            table_ = np.bincount(both, weights=counts, minlength=len(own) * wide)  # whole numbers, exact below 2 ** 53
-            met = np.flatnonzero(table_)
-            sums = table_[met].astype(np.int64)
-        else:
-            order = np.argsort(both)
-            both = both[order]
-            first = _starts(both)
-            met, sums = both[first], np.add.reduceat(counts[order], first) if len(first) else counts
-        return own, met // wide, (met % wide).astype(np.uint8), sums
+                to = np.r_[0, np.searchsorted(_of(r.keys, np.uint64), edges), len(r.keys) // 8].tolist()
+                mine = (r.block ^ r.block >> 33) % cells
+                out = [(p * cells + mine, r.block, r.keys[8 * a : 8 * b], r.n[4 * a : 4 * b]) for p, (a, b) in enumerate(pairwise(to)) if a < b]
+                yield pd.DataFrame(out, columns=["cell", "block", "keys", "n"])
+
+    return written(rows.select("block", "keys", "n").mapInPandas(run, "cell long, block long, keys binary, n binary"), bucket="cell")
+
+
+def vocabulary(asked: DataFrame, cells: int, top: int) -> tuple[DataFrame, dict, list[int]]:
+    """cell, words, total (their counts in all training texts) and places (among the words of the part); figures of the training words (tokens, words, once, twice), and the fingerprints of the most frequent ones."""
+
+    def sums(f: pd.DataFrame, kind):
+        keys, at = np.unique(_joined(f["keys"], np.uint64), return_inverse=True)
+        return keys, at, np.bincount(at, weights=_joined(f["n"], kind), minlength=len(keys)).astype(np.int64)
 
     def inside(f: pd.DataFrame) -> pd.DataFrame:
-        own, word, codes, counts = of(f)
-        order = np.argsort(word, kind="stable") if len(f) == 1 else slice(None)
-        codes, counts = codes[order], counts[order]
-        nnz = np.bincount(word, minlength=len(own)).astype(np.int32)
+        keys, _, n = sums(f, np.int32)
         cell = int(f["cell"].iloc[0])
-        return pd.DataFrame([(cell // cells, cell, own.tobytes(), nnz.tobytes(), codes.tobytes(), *_packed(counts))], columns=["part", "cell", "keys", "nnz", "codes", "counts", "large"])
+        return pd.DataFrame([(cell // cells, cell, keys.tobytes(), n.tobytes())], columns=["part", "cell", "keys", "n"])
 
     def over(f: pd.DataFrame) -> pd.DataFrame:
-        return last(*of(f), [(c, _of(k, np.uint64)) for c, k in zip(f["cell"], f["keys"])])
+        keys, at, n = sums(f, np.int64)
+        met = n[n > 0]
+        best = np.lexsort((keys.view(np.int64), -n))[:top]
+        best = best[n[best] > 0]
+        figures = [len(met), int((met == 1).sum()), int((met == 2).sum()), int(met.sum()), keys[best].view(np.int64).tolist(), n[best].tolist()]
+        to = np.r_[0, np.cumsum([len(k) // 8 for k in f["keys"]])].tolist()
+        out = [(c, k, n[at[a:b]].tobytes(), at[a:b].astype(np.int32).tobytes(), *(figures if a == 0 else [None] * 6)) for c, k, (a, b) in zip(f["cell"], f["keys"], pairwise(to))]
+        return pd.DataFrame(out, columns=["cell", "words", "total", "places", "distinct", "once", "twice", "tokens", "best", "most"])
+
+    merged = asked.select("cell", "keys", "n").groupBy("cell").applyInPandas(lambda f: inside(f), "part long, cell long, keys binary, n binary")
+    told = written(merged.groupBy("part").applyInPandas(lambda f: over(f), "cell long, words binary, total binary, places binary, distinct long, once long, twice long, tokens long, best array<long>, most array<long>"), bucket="cell")
+    figures = told.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("tokens", "tokens"), ("distinct", "words"), ("once", "once"), ("twice", "twice"))]).first().asDict()
+    each = told.select(F.explode(F.arrays_zip("best", "most")).alias("w")).select("w.*")
+    most = [r["best"] & (1 << 64) - 1 for r in each.orderBy(F.desc("most"), "best").limit(top).collect()]
+    return told, figures, most
+
+
+def places(asked: DataFrame, told: DataFrame, top: list[int], classes: int) -> tuple[DataFrame, DataFrame]:
+    """cell, block and at (the places of a block's words among the cell's), and block, cells, sizes (words in each), at, total (count in all training texts) and cls (at the start) of each block's words."""
+
+    def back(f: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        words, total = _joined(own["words"], np.uint64), _joined(own["total"], np.int64)
+        cls = _bytes(words, _first(words, top, classes), total)
+        out = []
+        for r in f.itertuples():
+            at = np.searchsorted(words, _of(r.keys, np.uint64))
+            out.append((r.cell, r.block, at.astype(np.int32).tobytes(), total[at].tobytes(), cls[at].tobytes()))
+        return pd.DataFrame(out, columns=["cell", "block", "at", "total", "cls"])
 
-    merged = sent.groupBy("cell").applyInPandas(lambda f: inside(f), "part long, cell long, keys binary, nnz binary, codes binary, counts binary, large binary")
-    return merged.groupBy("part").applyInPandas(lambda f: over(f), last.schema)
+    def whole(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("cell")
+        sizes = np.array([len(c) for c in f["cls"]], dtype=np.int32)
+        return pd.DataFrame([(f["block"].iloc[0], f["cell"].to_numpy(np.int64).tobytes(), sizes.tobytes(), *(b"".join(f[c]) for c in ("at", "total", "cls")))], columns=["block", "cells", "sizes", "at", "total", "cls"])
 
+    pairs = asked.select("cell", "block", "keys").groupBy("cell").cogroup(told.select("cell", "words", "total").groupBy("cell"))
+    known = written(pairs.applyInPandas(lambda a, b: back(a, b), "cell long, block long, at binary, total binary, cls binary"), bucket="cell")
+    of = known.groupBy("block").applyInPandas(lambda f: whole(f), "block long, cells binary, sizes binary, at binary, total binary, cls binary")
+    return known, written(of, bucket="block")
 
-def vocabulary(known: DataFrame, cells: int, top: int) -> tuple[dict, list[int]]:
-    """Figures of the training words (tokens, words, once, twice), and the fingerprints of the most frequent ones."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            some = [np.flatnonzero(_of(n, np.int32)) for n in f["n"]]
-            n = [_of(x, np.int32)[s].astype(np.int64) for x, s in zip(f["n"], some)]
-            keys = [_of(x, np.uint64)[s].tobytes() for x, s in zip(f["keys"], some)]
-            counts, large = zip(*map(_packed, n)) if n else ((), ())
-            yield pd.DataFrame({"cell": f["cell"], "keys": keys, "nnz": [np.ones(len(x), np.int32).tobytes() for x in n], "codes": [bytes(len(x)) for x in n], "counts": counts, "large": large})
-
-    def last(keys, word, codes, counts, members) -> pd.DataFrame:
-        best = np.lexsort((keys, -counts))[:top]
-        whole = pd.DataFrame([(None, len(counts), int((counts == 1).sum()), int((counts == 2).sum()), int(counts.sum()))], columns=["key", "words", "once", "twice", "tokens"])
-        return pd.concat([whole, pd.DataFrame({"key": keys[best].view(np.int64), "words": None, "once": None, "twice": None, "tokens": counts[best]})])
-
-    last.schema = "key long, words long, once long, twice long, tokens long"
-    found = written(summed(known.select("cell", "keys", "n").mapInPandas(run, "cell long, keys binary, nnz binary, codes binary, counts binary, large binary"), cells, last))
-    figures = found.where("key is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "once", "twice")]).first().asDict()
-    most = [r["key"] & (1 << 64) - 1 for r in found.where("key is not null").orderBy(F.desc("tokens"), "key").limit(top).collect()]
-    forget(found)
-    return figures, most
-
-
-def transitions(rows: DataFrame, classes: int, top: list[int]) -> np.ndarray:
+def summed_pairs(found: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class pairs (pair, n), summed."""
+    out = np.zeros(classes * classes, np.int64)
+    for r in found.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # classes squared rows
+        out[r["pair"]] = r["n"]
+    return out.reshape(classes, classes)
+
+
+def _class_pairs(cls: np.ndarray, a: np.ndarray, b: np.ndarray, classes: int) -> np.ndarray:
+    return np.bincount(cls[a].astype(np.int64) * classes + cls[b], minlength=classes * classes)
+
+
+def transitions(rows: DataFrame, classes: int) -> np.ndarray:
     """How often each class follows each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(classes * classes, np.int64)
         for f in frames:
             for r in f.itertuples():
-                cls = _classes(r, top, classes)
-                a, b = _pairs(r)
-                n += np.bincount(cls[a].astype(np.int64) * classes + cls[b], minlength=classes * classes)
+                n += _class_pairs(_of(r.cls, np.uint8) & 127, *_pairs(r), classes)
         at = np.flatnonzero(n)
         yield pd.DataFrame({"pair": at, "n": n[at]})
 
-    out = np.zeros(classes * classes, np.int64)
-    found = written(rows.mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
-    for r in found.collect():  # classes squared rows
-        out[r["pair"]] = r["n"]
-    forget(found)
-    return out.reshape(classes, classes)
-
-
-def _classes(r, top: list[int], classes: int) -> np.ndarray:
-    return _first(_of(r.keys, np.uint64), top, classes) if r.cls is None else _of(r.cls, np.uint8)
+    return summed_pairs(rows.select("learned", "lens", "tokens", "stop", "cls").mapInPandas(run, "pair long, n long"), classes)
 
 
 def gains(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -252,77 +277,112 @@ def gains(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> np.ndarray:
     return left @ log + right @ log.T - left.sum(axis=1, keepdims=True) * ends
 
 
-def exchange(rows: DataFrame, known: DataFrame, n: np.ndarray, turn: int, parts: int, cells: int, top: list[int]) -> DataFrame:
-    """cell, words, cls and total of the words of each cell after a round, and types (how many words each class has in a part, once a part); rows: blocks with their classes so far."""
-    k = len(n)
+_SENT = "cell long, steps binary, far binary, cls binary, nnz binary, codes binary, counts binary, large binary"
+
+
+def neighbours(rows: DataFrame, classes: int) -> DataFrame:
+    """What blocks send to cells: places of words (as steps from one to the next), classes, and how many and which classes stand beside each, how often; counts as packed. pairs: a block's class pairs, once a block."""
+    k = classes
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                keys, cls = _of(r.keys, np.uint64), _classes(r, top, k)
+                cls = _of(r.cls, np.uint8) & 127
                 a, b = _pairs(r)
-                dealt = list(_dealt(keys, parts, r.block, cells))
-                order = np.concatenate([at for _, _, at in dealt])
-                small = np.int32 if len(keys) < 1 << 23 else np.int64
-                rank = np.zeros(len(keys), small)
-                rank[order] = np.arange(len(order))
-                there = np.flatnonzero(_of(r.n, np.int32)[order])
-                both = np.concatenate([rank[b] * 256 + cls[a], rank[a] * 256 + (cls[b] + k), there.astype(small) * 256 + (cls[order[there]] + 2 * k)])
+                if len(cls) >= 1 << 23:
+                    a, b = a.astype(np.int64), b.astype(np.int64)
+                both = np.concatenate([b * 256 + cls[a], a * 256 + (cls[b] + k)])
                 both.sort()
                 first = _starts(both)
                 u, counts = both[first], np.diff(first, append=len(both))
-                nnz = np.bincount(u // 256, minlength=len(order)).astype(np.int32)
-                to, codes, own = np.r_[0, np.cumsum(nnz)], (u % 256).astype(np.uint8), keys[order]
-                out = [(c, own[s].tobytes(), nnz[s].tobytes(), codes[to[s.start] : to[s.stop]].tobytes(), *_packed(counts[to[s.start] : to[s.stop]])) for c, s, _ in dealt]
-                yield pd.DataFrame(out, columns=["cell", "keys", "nnz", "codes", "counts", "large"])
-
-    def last(keys, word, codes, counts, members) -> pd.DataFrame:
-        dense = np.zeros((len(keys), 3 * k))
-        dense[word, codes] = counts
-        left, right, now = dense[:, :k], dense[:, k : 2 * k], dense[:, 2 * k :].argmax(axis=1)
-        g, at = gains(left, right, n), np.arange(len(keys))
-        stay = ((keys >> np.uint64(7)) + np.uint64(turn)) % np.uint64(2) == 1
-        best = np.where(stay | (g[at, now] >= g.max(axis=1) - 1e-9), now, g.argmax(axis=1)).astype(np.uint8)
-        total = left.sum(axis=1).astype(np.int64)
-        best[total == 0] = NONE  # met in texts held out alone, whose cells ask all the same
-        types = np.bincount(best[total > 0], minlength=k).tolist()
-        out = []
-        for i, (cell, own) in enumerate(members):
-            at = np.searchsorted(keys, own)
-            out.append((cell, own.tobytes(), best[at].tobytes(), total[at].tobytes(), types if i == 0 else None))
-        return pd.DataFrame(out, columns=["cell", "words", "cls", "total", "types"])
+                nnz = np.bincount(u >> 8, minlength=len(cls)).astype(np.uint8)
+                at, edges = _of(r.at, np.int32), np.r_[0, np.cumsum(_of(r.sizes, np.int32), dtype=np.int64)]
+                steps = np.diff(at, prepend=0)
+                steps[edges[:-1]] = at[edges[:-1]]
+                to, codes, degrees = np.r_[0, np.cumsum(nnz, dtype=np.int64)][edges], (u & 255).astype(np.uint8).tobytes(), nnz.tobytes()
+                (near, far), (small, large) = _cut(steps, edges), _cut(counts, to)
+                out = {"cell": _of(r.cells, np.int64), "steps": near, "far": far, "cls": [r.cls[x:y] for x, y in pairwise(edges.tolist())], "nnz": [degrees[x:y] for x, y in pairwise(edges.tolist())], "codes": [codes[x:y] for x, y in pairwise(to.tolist())], "counts": small, "large": large}
+                yield pd.DataFrame(out | {"pairs": [_class_pairs(cls, a, b, k).tobytes(), *[None] * (len(near) - 1)]})
+
+    return written(rows.select("learned", "lens", "tokens", "stop", "cells", "sizes", "at", "cls").mapInPandas(send, f"{_SENT}, pairs binary"), bucket="cell")
+
+
+def sent_pairs(sent: DataFrame, classes: int) -> np.ndarray:
+    """How often each class follows each, from what blocks sent."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(classes * classes, np.int64)
+        for f in frames:
+            for x in f["pairs"]:
+                n += _of(x, np.int64)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"pair": at, "n": n[at]})
+
+    return summed_pairs(sent.select("pairs").where("pairs is not null").mapInPandas(run, "pair long, n long"), classes)
 
-    last.schema = "cell long, words binary, cls binary, total binary, types array<long>"
-    sent = rows.mapInPandas(send, "cell long, keys binary, nnz binary, codes binary, counts binary, large binary")
-    return written(summed(sent, cells, last), bucket="cell")
+
+def exchange(sent: DataFrame, told: DataFrame, n: np.ndarray, turn: int, cells: int) -> DataFrame:
+    """cell, cls of the words of each cell after a round, and types (how many words each class has in a part, once a part)."""
+    k = len(n)
+
+    def summed(f: pd.DataFrame, width: int | None = None):
+        lens = np.array([len(x) for x in f["cls"]])
+        starts = np.cumsum(lens) - lens
+        steps = _unpacked(b"".join(f["steps"]), b"".join(f["far"]))
+        at = np.cumsum(steps)
+        at -= np.repeat(at[starts] - steps[starts], lens)
+        cls = np.empty(int(at.max()) + 1, np.uint8)
+        cls[at] = _joined(f["cls"], np.uint8)
+        both = np.repeat(at * (2 * k), _joined(f["nnz"], np.uint8)) + _joined(f["codes"], np.uint8)
+        table_ = np.bincount(both, weights=_unpacked(b"".join(f["counts"]), b"".join(f["large"])), minlength=len(cls) * 2 * k)  # whole numbers, exact below 2 ** 53
+        return at, np.r_[starts, len(at)], cls, table_
+
+    def inside(f: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """The cell's words by their places in the part."""
+        _, _, cls, table_ = summed(f)
+        met = np.flatnonzero(table_)
+        nnz = np.bincount(met // (2 * k), minlength=len(cls)).astype(np.uint8)
+        steps, counts = _packed(np.diff(_joined(own["places"], np.int32), prepend=0)), _packed(table_[met].astype(np.int64))
+        return pd.DataFrame([(int(f["cell"].iloc[0]), *steps, cls.tobytes(), nnz.tobytes(), (met % (2 * k)).astype(np.uint8).tobytes(), *counts)], columns=["cell", "steps", "far", "cls", "nnz", "codes", "counts", "large"])
+
+    def over(f: pd.DataFrame) -> pd.DataFrame:
+        at, edges, cls, table_ = summed(f)
+        table_ = table_.reshape(-1, 2 * k)
+        g, own = gains(table_[:, :k], table_[:, k:], n), np.arange(len(cls))
+        none = cls == NONE  # met in texts held out alone, whose cells ask all the same
+        now = np.where(none, 0, cls & 127)
+        stay = ((cls >> 7) + turn) % 2 == 1
+        best = np.where(stay | (g[own, now] >= g.max(axis=1) - 1e-9), now, g.argmax(axis=1)).astype(np.uint8)
+        types = np.bincount(best[~none], minlength=k).tolist()
+        best = np.where(none, NONE, best | cls & 128).astype(np.uint8)
+        if cells == 1:
+            out = [(int(f["cell"].iloc[0]), best.tobytes(), types)]
+        else:
+            out = [(c, best[at[a:b]].tobytes(), types if a == 0 else None) for c, (a, b) in zip(f["cell"], pairwise(edges.tolist()))]
+        return pd.DataFrame(out, columns=["cell", "cls", "types"])
+
+    parts = sent.drop("pairs")
+    if cells == 1:
+        parts = parts.groupBy("cell")
+    else:
+        merged = parts.groupBy("cell").cogroup(told.select("cell", "places").groupBy("cell")).applyInPandas(lambda a, b: inside(a, b), _SENT)
+        parts = merged.groupBy(F.expr(f"cell div {cells}"))
+    return written(parts.applyInPandas(lambda f: over(f), "cell long, cls binary, types array<long>"), bucket="cell")
 
 
 def returned(known: DataFrame, said: DataFrame) -> DataFrame:
-    """block, cls and total (count in all training texts) of each block's words, by their places; words without a count are of class NONE."""
+    """block and cls of each block's words."""
 
-    def back(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        words = [_of(x, np.uint64) for x in told["words"]]
-        keys, cls, total = (np.concatenate([*x, np.zeros(0, k)]).astype(k) for x, k in ((words, np.uint64), ([_of(x, np.uint8) for x in told["cls"]], np.uint8), ([_of(x, np.int64) for x in told["total"]], np.int64)))
-        out = []
-        for r in asked.itertuples():
-            own = _of(r.keys, np.uint64)
-            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            there = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-            c, t = np.full(len(own), NONE, np.uint8), np.zeros(len(own), np.int64)
-            c[there], t[there] = cls[at[there]], total[at[there]]
-            out.append((r.block, r.places, c.tobytes(), t.tobytes()))
-        return pd.DataFrame(out, columns=["block", "places", "cls", "total"])
+    def back(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        cls = _joined(own["cls"], np.uint8)
+        return pd.DataFrame({"block": asked["block"], "cell": asked["cell"], "cls": [cls[_of(x, np.int32)].tobytes() for x in asked["at"]]})
 
     def whole(f: pd.DataFrame) -> pd.DataFrame:
-        places = np.concatenate([_of(x, np.int32) for x in f["places"]])
-        cls, total = np.empty(len(places), np.uint8), np.empty(len(places), np.int64)
-        cls[places] = np.concatenate([_of(x, np.uint8) for x in f["cls"]])
-        total[places] = np.concatenate([_of(x, np.int64) for x in f["total"]])
-        return pd.DataFrame({"block": f["block"].iloc[:1], "cls": [cls.tobytes()], "total": [total.tobytes()]})
+        return pd.DataFrame({"block": f["block"].iloc[:1], "cls": [b"".join(f.sort_values("cell")["cls"])]})
 
     # a cell's words are told once: in one row of said
-    parts = known.groupBy("cell").cogroup(said.groupBy("cell")).applyInPandas(lambda a, b: back(a, b), "block long, places binary, cls binary, total binary")
-    return written(parts.groupBy("block").applyInPandas(lambda f: whole(f), "block long, cls binary, total binary"), bucket="block")
+    parts = known.select("cell", "block", "at").groupBy("cell").cogroup(said.select("cell", "cls").groupBy("cell")).applyInPandas(lambda a, b: back(a, b), "block long, cell long, cls binary")
+    return written(parts.groupBy("block").applyInPandas(lambda f: whole(f), "block long, cls binary"), bucket="block")
 
 
 class Model:
@@ -375,7 +435,7 @@ def scores(rows: DataFrame, model: Model, kind: str) -> DataFrame:
             ids = b.column("doc_ids")
             for i, r in enumerate(b.drop_columns(["doc_ids"]).to_pylist()):
                 lens = _of(r["lens"], np.int32)
-                known, base, score = held.value.score(_of(r["tokens"], np.int32), lens, _of(r["cls"], np.uint8), _of(r["total"], np.int64))
+                known, base, score = held.value.score(_of(r["tokens"], np.int32), lens, _plain(_of(r["cls"], np.uint8)), _of(r["total"], np.int64))
                 columns = [ids[i].values, pa.array(~_of(r["learned"], bool)), pa.array(lens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -390,23 +450,29 @@ def language_model(docs: DataFrame, learned: Column, classes: int = CLASSES, rou
     shape = texts.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("bytes")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shape["bytes"] // (4 * share)))
     cells = max(-(-shape["blocks"] // merged), 1)
-    known = entries(texts, parts, cells)
-    figures, top = vocabulary(known, cells, classes - 1)
-    rows, behind = texts.withColumn("cls", F.lit(None).cast("binary")), []
+    asked = entries(texts, parts, cells)
+    told, figures, top = vocabulary(asked, cells, classes - 1)
+    known, place = places(asked, told, top, classes)
+    forget(asked)
+    placed, now = texts.join(place.drop("cls"), "block"), place.select("block", "cls")
+    behind = []
     for turn in range(rounds):
-        said = exchange(rows, known, transitions(rows, classes, top), turn, parts, cells, top)
+        sent = neighbours(placed.join(now, "block"), classes)
+        forget(*behind)
+        said = exchange(sent, told, sent_pairs(sent, classes), turn, cells)
+        forget(sent)
         now = returned(known, said)
-        rows = texts.join(now, "block")
         types = said.select(F.posexplode("types").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()  # a row a class
-        forget(said, *behind)
+        forget(said)
         behind = [now]
-    n = transitions(rows, classes, top)
-    of_end = [r["cls"] for r in rows.select(F.substring("cls", 1, 1).alias("cls")).limit(1).collect()]
+    rows = placed.join(now, "block")
+    n = transitions(rows, classes)
+    of_end = [r["cls"] for r in rows.select(F.substring("cls", F.col("stop") + 1, F.lit(1)).alias("cls")).limit(1).collect()]
     sizes = np.zeros(classes)
     sizes[[r["k"] for r in types]] = [r["n"] for r in types]
-    model = Model(figures, n, sizes, of_end[0][0] if of_end else 0)
+    model = Model(figures, n, sizes, of_end[0][0] & 127 if of_end and of_end[0][0] != NONE else 0)
     out = written(scores(rows, model, kind))
-    forget(texts, known, *behind)
+    forget(texts, told, known, place, *behind)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(figures["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -113,6 +114,39 @@ def test_counts_are_sent_as_bytes():
     assert classlm._starts(np.array([4, 4, 5, 7, 7])).tolist() == [0, 2, 3] and classlm._starts(counts[:0]).tolist() == []
 
 
+def test_tokens_are_counted_in_one_pass_a_round(spark, monkeypatch):
+    passes = []
+    counted = classlm.transitions
+    monkeypatch.setattr(classlm, "transitions", lambda *args: passes.append(1) or counted(*args))
+    docs = spark.createDataFrame([(i, text(random.Random(i), 20)) for i in range(30)], "doc_id long, text string").repartition(2)
+    assert classlm.language_model(docs, F.lit(True), classes=3, rounds=3).count() == 30
+    assert len(passes) == 1  # the last classes' pairs; those of the rounds come with what blocks send
+
+
+def test_what_blocks_send(spark):
+    docs = spark.createDataFrame(odd(), "doc_id long, text string").repartition(3)
+    flag = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(False))
+    texts = classlm.blocks(docs, flag, "doc_id", "text", 300)
+    asked = classlm.entries(texts, 5, 1)
+    told, _, top = classlm.vocabulary(asked, 1, 3)
+    _, place = classlm.places(asked, told, top, 4)
+    rows = texts.join(place, "block")
+    sent = classlm.neighbours(rows, 4)
+    assert (classlm.sent_pairs(sent, 4) == classlm.transitions(rows, 4)).all()
+    for r in sent.collect():  # a byte a word for its place, class and number of counts, and no fingerprints
+        assert len(r.steps) == len(r.cls) == len(r.nnz) > 0 and len(r.codes) == len(r.counts) == sum(r.nnz)
+
+
+def test_words_of_texts():
+    rows = [None, "", *(f"A{chr(i)}Bc{chr(i)}ÀÉ d é " for i in range(128)), "\x1c \n\x85", " ", "Long one " * 200_000, "x" * 2_000_000]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()) for t in rows]
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in low]
+    for at, upto in ((0, len(rows)), (1, 131)):  # with and without texts that are cut
+        words, n = classlm._split(pa.array(rows).slice(at, upto - at))
+        assert n.tolist() == [len(w) for w in want[at:upto]]
+        assert words.cast(pa.binary()).to_pylist() == [x for w in want[at:upto] for x in w]
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     count = rng.integers(1, 9, 40)
